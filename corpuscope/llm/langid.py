@@ -130,7 +130,7 @@ class ChainCRF:
         return out
 
 
-def train(texts: list, langs: list, batches: int = 160, rate: float = 0.3, seed: int = 5) -> ChainCRF:
+def train(texts: list, langs: list, batches: int = 400, rate: float = 0.3, seed: int = 5) -> ChainCRF:
     """Adagrad on the chain's likelihood over spliced sequences: runs of words from texts of several languages."""
     crf = ChainCRF(sorted({x for x in langs if x}))
     k = len(crf.labels)
