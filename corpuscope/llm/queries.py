@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontamination, langid, packing, secrets, toxicity
+from corpuscope.llm import decontamination, jaccard, langid, packing, secrets, toxicity
 from corpuscope.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(read(spark, sf_dir, "documents"), n=3, theta=90)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
 
