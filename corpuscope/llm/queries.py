@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontamination, jaccard, langid, neighbours, packing, secrets, templates, toxicity
+from corpuscope.llm import decontamination, jaccard, langid, neighbours, packing, pii, secrets, templates, toxicity
 from corpuscope.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(read(spark, sf_dir, "documents"), n=3, theta=90)
 
