@@ -112,9 +112,11 @@ def glob(files: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
 
 def trigram_table(files: DataFrame, key: str = "file", content: str = "content") -> DataFrame:
     """(trigram, key): an index to write once, by trigram."""
-    low = F.lower(content)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return files.filter(F.length(content) >= 3).select(key, F.explode(F.array_distinct(grams)).alias("trigram"))
+    # characters as an array: reaching into a string by position would scan it from the start each time
+    own = files.filter(F.length(content) >= 3).select(key, F.split(F.lower(content), "").alias("__c"))
+    at = lambda i: F.get(F.col("__c"), i)
+    grams = F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
+    return own.select(key, F.explode(F.array_distinct(grams)).alias("trigram"))
 
 
 def trigram_search(files: DataFrame, needle: str, index: DataFrame | None = None) -> DataFrame:

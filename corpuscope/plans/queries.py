@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from corpuscope.plans import queries_eval, queries_graph, queries_rank, queries_text  # noqa: F401  (they register)
+from corpuscope.plans.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
