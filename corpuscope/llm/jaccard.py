@@ -110,10 +110,13 @@ def _prefixes(n: int, theta: int, table, order):
 
 def _sets(n: int, table):
     def run(batches):
-        for texts in batches:
-            yield pd.Series([s.tobytes() for s in shingle_sets(texts.tolist(), n, table)])
+        for pdf in batches:
+            sets = list(shingle_sets(pdf["text"].tolist(), n, table))
+            same = [len(s) > 0 and class_of(s) == c for s, c in zip(sets, pdf["class"].tolist())]
+            out = pdf[["root", "class", "blocks"]].assign(grams=[s.tobytes() for s in sets])
+            yield out[same]
 
-    return F.pandas_udf(run, "binary", F.PandasUDFType.SCALAR_ITER)
+    return run
 
 
 def link_block(keys: np.ndarray, sets: list[np.ndarray], theta: int) -> list[tuple[int, int]]:
@@ -212,8 +215,8 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
     own = clusters.join(some, clusters["node"] == some["class"]).select("root", "class", "doc_id", "n")
     blocks = own.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_NGRAMS))).cast("int").alias("blocks"))
     own = own.join(blocks, "root")
-    picked = own.join(docs, "doc_id").select("root", "class", "blocks", _sets(n, table)("text").alias("grams"), _classes(n, table)("text").alias("s"))
-    picked = picked.filter("s.class = class").select("root", "class", "blocks", "grams")
+    # a map over rows, not a function of the text: that would be evaluated for all texts, below the join
+    picked = own.join(docs, "doc_id").select("root", "class", "blocks", "text").mapInPandas(_sets(n, table), "root long, class long, blocks int, grams binary")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = picked.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "grams")
