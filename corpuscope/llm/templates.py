@@ -24,7 +24,7 @@ MIN_TOKENS = 3
 MIN_DOCS = 10
 MIN_CONSTANT = 0.6
 #: Families of documents per distinct text: below this, a template's documents are copies of a few.
-MIN_UNLIKE = 0.5
+MIN_UNLIKE = 0.7
 #: Leaves are sieved in the second pass by a bitmap of fixed size.
 SIEVE_BITS = 22
 
@@ -42,17 +42,25 @@ def leaf_of(tokens: list[str], depth: int) -> int:
 
 
 def parse(text, depth: int, min_tokens: int):
-    """(family, [(line number, leaf, tokens)]): the family is the least leaf of all lines, shared by most near copies."""
-    lines, family = [], None
+    """[(line number, leaf, tokens, families)] of a text.
+
+    A line's families are the least and second least hash of how the text's other lines begin. Most
+    near copies share them, unlike documents do not; there are two because one may be a common line itself.
+    """
+    lines, openings = [], set()
     for i, line in enumerate(text.split("\n")):
         tokens = line.split()
-        if not tokens:
-            continue
-        leaf = leaf_of(tokens, depth)
-        family = leaf if family is None else min(family, leaf)
+        if tokens:
+            opening = _hash(f"{len(tokens)} " + " ".join(tokens[:depth]))
+            openings.add(opening)
+            lines.append((i, opening, tokens))
+    least = sorted(openings)[:3]
+    out = []
+    for i, opening, tokens in lines:
         if len(tokens) >= min_tokens:
-            lines.append((i, leaf, tokens))
-    return family, lines
+            others = [x for x in least if x != opening][:2] + [0, 0]
+            out.append((i, leaf_of(tokens, depth), tokens, others[0], others[1]))
+    return out
 
 
 def _leaves(depth, min_tokens):
@@ -60,13 +68,12 @@ def _leaves(depth, min_tokens):
         for pdf in batches:
             seen = set()
             for text in pdf["text"]:
-                if not isinstance(text, str):
-                    continue
-                family, lines = parse(text, depth, min_tokens)
-                seen.update((leaf, family) for _, leaf, _ in lines)
+                if isinstance(text, str):
+                    for _, leaf, _, one, two in parse(text, depth, min_tokens):
+                        seen.update(((leaf, 1, one), (leaf, 2, two)))
             if seen:
                 rows = np.array(list(seen), np.int64)
-                yield pd.DataFrame({"leaf": rows[:, 0], "family": rows[:, 1]})
+                yield pd.DataFrame({"leaf": rows[:, 0], "slot": rows[:, 1].astype(np.int32), "family": rows[:, 2]})
 
     return run
 
@@ -79,34 +86,35 @@ def _tokens(depth, min_tokens, sieve):
             for key, text in zip(pdf["key"].tolist(), pdf["text"].tolist()):
                 if not isinstance(text, str):
                     continue
-                family, lines = parse(text, depth, min_tokens)
                 own = None
-                for i, leaf, tokens in lines:
+                for i, leaf, tokens, one, two in parse(text, depth, min_tokens):
                     if known[leaf & (1 << SIEVE_BITS) - 1]:
                         own = _hash(text) if own is None else own
-                        out.append((key, i, leaf, family, own, [0 if _DIGIT.search(t) else _hash(t) for t in tokens]))
+                        out.append((key, i, leaf, [one, two], own, [0 if _DIGIT.search(t) else _hash(t) for t in tokens]))
             if out:
-                yield pd.DataFrame(out, columns=["key", "line", "leaf", "family", "body", "tokens"])
+                yield pd.DataFrame(out, columns=["key", "line", "leaf", "families", "body", "tokens"])
 
     return run
 
 
 def _unlike(rows: DataFrame, by: str) -> DataFrame:
-    """For each value of ``by``: its families, and its distinct texts."""
-    each = rows.select(by, "family", "body").distinct().groupBy(by, "family").agg(F.count("*").alias("n"))
-    return each.groupBy(by).agg(F.count("*").alias("families"), F.sum("n").alias("bodies"))
+    """For each value of ``by``: its families (the larger number of the two slots), and its distinct texts."""
+    own = rows.select(by, "body", F.posexplode("families").alias("slot", "family"))
+    each = own.distinct().groupBy(by, "slot", "family").agg(F.count("*").alias("n"))
+    slots = each.groupBy(by, "slot").agg(F.count("*").alias("families"), F.sum("n").alias("bodies"))
+    return slots.groupBy(by).agg(F.max("families").alias("families"), F.max("bodies").alias("bodies"))
 
 
 def recurring_lines(docs: DataFrame, key: str, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(key, line): the lines of ``docs`` (columns key and text) whose template recurs."""
-    leaves = docs.select("text").mapInPandas(_leaves(depth, min_tokens), "leaf long, family long").distinct()
-    common = checkpoint(leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+    leaves = docs.select("text").mapInPandas(_leaves(depth, min_tokens), "leaf long, slot int, family long").distinct()
+    common = checkpoint(leaves.groupBy("leaf", "slot").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf").distinct())
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     slots = common.select(F.col("leaf").bitwiseAND((1 << SIEVE_BITS) - 1).cast("int").alias("slot")).distinct()
     for row in slots.toLocalIterator():  # at most 2 ** SIEVE_BITS small numbers
         sieve[row.slot] = True
     sieve = docs.sparkSession.sparkContext.broadcast(sieve)
-    lines = docs.select("key", "text").mapInPandas(_tokens(depth, min_tokens, sieve), "key long, line int, leaf long, family long, body long, tokens array<long>")
+    lines = docs.select("key", "text").mapInPandas(_tokens(depth, min_tokens, sieve), "key long, line int, leaf long, families array<long>, body long, tokens array<long>")
     lines = checkpoint(lines.join(common, "leaf", "left_semi"))
     # constant tokens: those that recur at their place in the leaf, exact copies counted once
     placed = lines.select("key", "line", "leaf", "body", F.posexplode("tokens").alias("place", "token")).filter("token <> 0")
@@ -119,8 +127,8 @@ def recurring_lines(docs: DataFrame, key: str, min_docs: int = MIN_DOCS, depth:
         .groupBy("key", "line", "leaf")
         .agg(F.count("*").alias("kept"), F.sum(F.xxhash64("place", "token") % (1 << 40)).alias("mark"))
     )
-    parsed = lines.select("key", "line", "leaf", "family", "body", F.size("tokens").alias("n")).join(kept, ["key", "line", "leaf"])
-    parsed = parsed.filter(F.col("kept") >= F.lit(min_constant) * F.col("n")).select("key", "line", "family", "body", F.xxhash64("leaf", "mark", "kept").alias("template"))
+    parsed = lines.select("key", "line", "leaf", "families", "body", F.size("tokens").alias("n")).join(kept, ["key", "line", "leaf"])
+    parsed = parsed.filter(F.col("kept") >= F.lit(min_constant) * F.col("n")).select("key", "line", "families", "body", F.xxhash64("leaf", "mark", "kept").alias("template"))
     parsed = checkpoint(parsed)
     recurrent = _unlike(parsed, "template").filter((F.col("families") >= min_docs) & (F.col("families") >= MIN_UNLIKE * F.col("bodies"))).select("template")
     return parsed.join(recurrent, "template", "left_semi").select(F.col("key").alias(key), "line").distinct()
