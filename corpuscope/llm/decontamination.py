@@ -178,6 +178,7 @@ def blocks_of(items: DataFrame, window: int, table: np.ndarray):
     """Test items in blocks of bounded size, one at a time. Items without an id or a word take no part."""
     ids, texts, size = [], [], 0
     rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).dropna()
+    rows = rows.filter(F.col("t").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
     for row in rows.toLocalIterator():
         ids.append(row.i)
         texts.append(row.t)
@@ -231,9 +232,6 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
         F.size("match.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("match.items", ","), 256).alias("items_sha256"),
         (F.size("match.hit_spans") > 0).alias("contaminated"),
-        F.col("match.longest").alias("longest_match"),
-        F.col("match.longest_start").alias("longest_start"),
-        F.col("match.longest_item").alias("longest_item"),
     )
 
 

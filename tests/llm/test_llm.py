@@ -456,8 +456,8 @@ def test_decontamination_matches_windows(spark, sf, documents, monkeypatch):
         monkeypatch.setattr(decontamination, "BLOCK_CHARS", size)
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.report(d, b).collect()}
         assert got == want
-    longest = {r.doc_id: r.longest_match for r in decontamination.report(d, b).collect()}
-    assert longest[9002] == want[9002][0]
+    longest = {r.doc_id: r["match"] for r in decontamination.search(d, b).collect()}
+    assert longest[9002].longest == want[9002][0] and longest[9002].longest_start == 0 and longest[9003].longest == 0
     clean = decontamination.remove_affected(d, b)
     assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {i for i, x in want.items() if not x[4]}
 
@@ -469,6 +469,25 @@ def test_decontamination_odd(spark, odd, none):
     assert decontamination.report(odd, items.limit(0)).count() == odd.count()
 
 
+# -- SQL twins
+
+
+@pytest.mark.parametrize("name", ["op7_ngram_jaccard", "op10_decontamination"])
+def test_query_equals_its_sql(spark, sf, name):
+    import duckdb
+
+    from corpuscope.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, sf).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
+
+
 # -- pipeline
 
 
