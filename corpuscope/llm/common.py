@@ -85,11 +85,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes that are hashed at once; a longer buffer is cut between words.
+_BLOCK = 1 << 20
+
+
 def word_hashes(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of a byte buffer: starts, ends and 64-bit hashes.
 
     ``table`` maps a byte to a random 64-bit value, or to 0 where the byte separates words.
     """
+    out, at = [], 0
+    while at < len(buf):
+        end = min(at + _BLOCK, len(buf))
+        while end < len(buf):
+            gaps = np.flatnonzero(table[buf[end : end + 4096]] == 0)
+            end = min(end + (int(gaps[0]) if len(gaps) else 4096), len(buf))
+            if len(gaps):
+                break
+        start, stop, h = _hash_block(buf[at:end], table)
+        out.append((start + at, stop + at, h))
+        at = end
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _hash_block(buf: np.ndarray, table: np.ndarray):
     val = table[buf]
     inside = val != 0
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))

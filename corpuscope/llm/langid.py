@@ -37,7 +37,7 @@ class ChainCRF:
         self.move = np.zeros((k, k))
 
     def emissions(self, batch: WordBatch) -> np.ndarray:
-        return batch.sums(self.ngram, batch.features(NGRAMS, BITS)) + self.lexicon[batch.word_feature(LEXICON_BITS)]
+        return batch.sums(self.ngram, NGRAMS, BITS) + self.lexicon[batch.word_feature(LEXICON_BITS)]
 
     def marginals(self, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Posterior of each word's label; ``emit`` is by word, text i has rows ``first[i]:first[i + 1]``.

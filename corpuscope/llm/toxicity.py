@@ -47,7 +47,7 @@ class ConvNet:
 
     def tables(self, batch: WordBatch):
         """Embedding of each distinct word, and how well it fits each language."""
-        both = batch.sums(self.rows, batch.features(NGRAMS, BITS))
+        both = batch.sums(self.rows, NGRAMS, BITS)
         table = (both[:, :DIM] + self.word[batch.word_feature(BITS)]) / (1 + both[:, DIM : DIM + 1])
         return np.ascontiguousarray(table, np.float32), both[:, DIM + 1 :]
 
@@ -117,7 +117,7 @@ def _minibatches(n: int, size: int, r):
     return [order[i : i + size] for i in range(0, n, size)]
 
 
-def train(texts: list, toxic: np.ndarray, lang: list, share: float | None = None, epochs: int = 8, rate: float = 0.08, seed: int = 11) -> ConvNet:
+def train(texts: list, toxic: np.ndarray, lang: list, share: float | None = None, epochs: int = 8, least_steps: int = 250, rate: float = 0.08, seed: int = 11) -> ConvNet:
     """Fit on three quarters of the rows by Adagrad; the rest sets the threshold of each language.
 
     ``share`` is the share of toxic rows among all that may be learned from, where the sample's differs.
@@ -151,6 +151,7 @@ def train(texts: list, toxic: np.ndarray, lang: list, share: float | None = None
             array[at] -= rate * grad / np.sqrt(g2[at])
 
     net.training = True
+    epochs = max(epochs, -(-least_steps * 64 // max(len(rows), 1)))  # few rows are seen more often
     for _ in range(epochs):
         for part in _minibatches(len(rows), 64, r):
             docs = rows[part]

@@ -11,6 +11,9 @@ SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 
 _OPEN, _CLOSE = 0x3C, 0x3E  # < and > stand for the ends of a word
 
+#: Positions of spelled words that are worked on at once.
+_POSITIONS = 1 << 16
+
 
 class WordBatch:
     """``ids`` is the sequence of words as indices of distinct words; text i has ``ids[first[i]:first[i + 1]]``."""
@@ -40,34 +43,41 @@ class WordBatch:
         spelled[inside == n[word] - 1] = _CLOSE
         self.spelled, self.left = spelled, n[word] - inside  # bytes from here to the word's end
 
-    def features(self, sizes, bits: int):
-        """Feature ids of every n-gram of the marked words, one array a size; 0 where none begins."""
-        if not len(self.spelled):
-            return [np.zeros(0, np.int64) for _ in sizes]
-        value = byte_table([], lower=False)[self.spelled]
-        value = np.concatenate((value, np.zeros(max(sizes), np.uint64)))
-        out, h = [], np.zeros(len(self.spelled), np.uint64)
-        for n in range(1, max(sizes) + 1):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + value[n - 1 : n - 1 + len(h)]
-            if n in sizes:
-                f = (mix64(h + np.uint64(n)) & np.uint64((1 << bits) - 1)).astype(np.int32)
-                out.append(np.where(self.left >= n, np.maximum(f, 1), 0).astype(np.int32))
+    def features(self, sizes, bits: int, begin: int = 0, end: int | None = None):
+        """Feature ids of every n-gram of the marked words, one array a size; 0 where none begins.
+
+        Of the positions from ``begin`` to ``end`` of the spelled words; in blocks, so that little else is held.
+        """
+        end = len(self.spelled) if end is None else end
+        out = [np.zeros(end - begin, np.int32) for _ in sizes]
+        table = byte_table([], lower=False)
+        for at in range(begin, end, _POSITIONS):
+            stop = min(at + _POSITIONS, end)
+            value = table[self.spelled[at : stop + max(sizes)]]
+            value = np.concatenate((value, np.zeros(stop - at + max(sizes) - len(value), np.uint64)))
+            h = np.zeros(stop - at, np.uint64)
+            for n in range(1, max(sizes) + 1):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + value[n - 1 : n - 1 + len(h)]
+                if n in sizes:
+                    f = (mix64(h + np.uint64(n)) & np.uint64((1 << bits) - 1)).astype(np.int32)
+                    out[sizes.index(n)][at - begin : stop - begin] = np.where(self.left[at:stop] >= n, np.maximum(f, 1), 0)
         return out
 
     def word_feature(self, bits: int):
         """The feature of each distinct word as a whole."""
         return np.maximum((mix64(self.hashes) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
 
-    def sums(self, weights: np.ndarray, features) -> np.ndarray:
+    def sums(self, weights: np.ndarray, sizes, bits: int) -> np.ndarray:
         """For each distinct word, the sum of the rows of ``weights`` (row 0 is zero) of its n-grams."""
-        if not len(self.hashes):
-            return np.zeros((0, weights.shape[1]), weights.dtype)
-        total = weights[features[0]]
-        for f in features[1:]:
-            total += weights[f]
-        return np.add.reduceat(total, self.begin, axis=0)
-
-    def counts(self, features) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(0)
-        return np.add.reduceat(sum((f > 0).astype(np.float64) for f in features), self.begin)
+        out = np.zeros((len(self.hashes), weights.shape[1]), weights.dtype)
+        ends = np.append(self.begin[1:], len(self.spelled)) if len(self.begin) else self.begin
+        first = 0
+        while first < len(self.begin):
+            last = max(first + 1, int(np.searchsorted(ends, self.begin[first] + _POSITIONS, side="right")))
+            lo, hi = int(self.begin[first]), int(ends[last - 1])
+            total = None
+            for f in self.features(sizes, bits, lo, hi):
+                total = weights[f] if total is None else total + weights[f]
+            out[first:last] = np.add.reduceat(total, self.begin[first:last] - lo, axis=0)
+            first = last
+        return out
