@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.common import checkpoint, slices, worker_cache
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_open long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_open long"
 
 #: Windows of leftovers are merged in groups of so many partitions.
 MERGE_FAN_IN = 64
@@ -96,7 +96,7 @@ def _pack_partition(path: str, size: int, windows: int, separator: int):
 
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            docs = pdf["doc_id"].tolist()
+            docs = pdf["doc_id"].tolist()  # as text: a null would make floats of whole numbers
             for a, b in slices(texts, 1 << 19):
                 out = []
                 for doc, ids in zip(docs[a:b], encode_batch(texts[a:b])):
@@ -106,18 +106,18 @@ def _pack_partition(path: str, size: int, windows: int, separator: int):
                         m = min(size, n - s)
                         out += rows(packer.put((doc, s, m, zlib.crc32(ids[s : s + m].tobytes()), n), m), 0)
                 if out:
-                    yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(out, columns=names)
         out = rows(packer.rest(), 1)
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
 
 def _merge_group(size: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """First-fit decreasing over a group's leftover pieces; ties by document and start."""
-        rows = pdf.sort_values(["length", "doc_id", "start", "sequence_id"], ascending=[False, True, True, True])
+        """First-fit decreasing over a group's leftover pieces; ties by window and place."""
+        rows = pdf.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True])
         base, packer = int(pdf["sequence_id"].min()) + (1 << 62), Packer(size, len(pdf) + 1)
         at, off = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         done = 0
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = 64, s
     cut at multiples of ``size``. Repeated rows are packed once each; a null doc_id stays null.
     Other columns are ignored; an empty table gives an empty result.
     """
-    part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    part = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = checkpoint(part.mapInPandas(_pack_partition(tokenizer, size, windows, separator), SCHEMA))
     closed = pieces.filter("window_open = 0")
     merged = (
@@ -156,4 +156,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = 64, s
         .groupBy(F.expr(f"shiftright(sequence_id, 32) div {MERGE_FAN_IN}").alias("part_group"))
         .applyInPandas(_merge_group(size), SCHEMA)
     )
-    return closed.unionByName(merged).drop("window_open")
+    return closed.unionByName(merged).drop("window_open").withColumn("doc_id", F.col("doc_id").cast("long"))
