@@ -394,6 +394,37 @@ def test_passages_found_and_clean_left_alone(spark, odd, none):
     assert passages.report(none).count() == 0
 
 
+def test_passages_with_one_edit_in_the_middle():
+    r = np.random.default_rng(8)
+    for n in range(60, 95):  # 46 n-grams of 5 words or more, similarity 0.8 or more
+        a = r.integers(0, 1 << 60, n + 40).astype(np.uint64)
+        for edit in range(20 + 5, 20 + n - 10, 7):
+            b = r.integers(0, 1 << 60, n + 40).astype(np.uint64)
+            b[20 : 20 + n] = a[20 : 20 + n]
+            b[edit : edit + 5] = r.integers(0, 1 << 60, 5)
+            found = passages.verified(a, b, 46, 80, 0)
+            assert found == [(20, 19 + n, 20, 19 + n)], (n, edit, found)
+    one = r.integers(0, 1 << 60, 76).astype(np.uint64)
+    far = np.concatenate([one[:30], r.integers(0, 1 << 60, 16).astype(np.uint64), one[46:]])
+    assert passages.verified(one, far, 46, 80, 0) == []  # two halves that do not pass together
+
+
+def test_passages_that_overlap_are_all_covered():
+    r = np.random.default_rng(9)
+    a = r.integers(0, 1 << 60, 400).astype(np.uint64)
+    b = a.copy()
+    for at in (60, 90, 120, 150, 180, 300):
+        b[at : at + 5] = r.integers(0, 1 << 60, 5)
+    covered = np.zeros(400, bool)
+    for a0, a1, b0, b1 in passages.verified(a, b, 46, 80, 0):
+        assert (a0, a1) == (b0, b1) and a1 - a0 >= 45
+        covered[a0 : a1 + 1] = True
+    hit = np.append(0, np.cumsum(a == b))
+    for s in range(400 - 46):  # every stretch of the least length that is similar enough
+        if a[s] == b[s] and a[s + 45] == b[s + 45] and hit[s + 46] - hit[s] >= 41:
+            assert covered[s : s + 46].all(), s
+
+
 # -- 9 language
 
 
