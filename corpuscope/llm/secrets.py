@@ -64,8 +64,6 @@ def _scanner(scope: int, min_value: int, min_access: int, weak_value: int, min_e
         base = [x[:3] for x in base]
         base += [(m.start(), m.end(), 1) for m in access.finditer(text) if m.end() - m.start() >= min_access]
         base += [(m.start(), m.end(), 2) for m in hexes.finditer(text)]
-        if not base and not weak:
-            return []  # nothing that an address or a bare key could complete
         weak += [(m.start(), m.end(), 3) for m in endpoint.finditer(text)]
         weak += [(m.start(), m.end(), 4) for m in keypart.finditer(text) if _entropy(m[0]) >= min_entropy]
         parts = sorted(base + weak)

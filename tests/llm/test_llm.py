@@ -156,6 +156,14 @@ def test_secrets_base_and_links(spark, documents):
     assert out[900005].spans == ""
 
 
+def test_secrets_link_weak_parts_alone(spark):
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYab"
+    rows = [(1, f"see https://s3.example.com/x with {key} here"), (2, f"{key} {'. ' * 150} https://s3.example.com/x"), (3, "https://s3.example.com/x")]
+    out = {r.doc_id: r for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].spans == "endpoint:4:28,keypart:34:74" and out[1].n_linked == 2
+    assert out[2].spans == "" and out[3].spans == ""  # too far apart; alone
+
+
 def test_secrets_odd(odd, none):
     assert secrets.report(odd).count() == odd.count() and secrets.report(none).count() == 0
     assert set(odd.columns) <= set(secrets.find(odd).columns)
