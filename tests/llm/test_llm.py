@@ -417,6 +417,17 @@ def test_passages_with_one_edit_in_the_middle():
     assert passages.verified(one, far, 46, 80, 0) == []  # two halves that do not pass together
 
 
+def test_passages_of_least_length_and_similarity(spark):
+    rows = []
+    for i in range(300):  # 41 of 51 n-grams in common
+        a = words(50, 40_000 + i, 10**6).split()
+        b = [*a[:25], "changed", *a[26:]]
+        rows += [(2 * i + j, " ".join([words(60, 50_000 + 2 * i + j, 10**6), *x, words(60, 60_000 + 2 * i + j, 10**6)])) for j, x in enumerate((a, b))]
+    found = {r.doc_id for r in passages.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.matched_id == r.doc_id ^ 1}
+    print("recall", len(found) / len(rows))
+    assert len(found) >= 0.97 * len(rows)
+
+
 def test_passages_that_overlap_are_all_covered():
     r = np.random.default_rng(9)
     a = r.integers(0, 1 << 60, 400).astype(np.uint64)
