@@ -41,56 +41,74 @@ def leaf_of(tokens: list[str], depth: int) -> int:
     return _hash("\x1f".join([str(len(tokens)), *("\x00" if _DIGIT.search(t) else t for t in tokens[:depth])]))
 
 
-def parse(text, depth: int, min_tokens: int):
-    """[(line number, leaf, tokens, families)] of a text.
+def ends_of(tokens: list[str], depth: int, leaf: int) -> tuple[int, int]:
+    """How a line begins and ends; tokens with a digit count as themselves where there are no others."""
+    plain = lambda part: all(_DIGIT.search(t) for t in part)
+    first, last = tokens[:depth], tokens[-2 * depth :]
+    opening = _hash("\x1d" + "\x1f".join([str(len(tokens)), *tokens[: 2 * depth]])) if plain(first) else leaf
+    return opening, _hash("\x1e" + "\x1f".join(last if plain(last) else ["\x00" if _DIGIT.search(t) else t for t in last]))
 
-    A line's families are the least and second least hash of how the text's other lines begin. Most
-    near copies share them, unlike documents do not; there are two because one may be a common line itself.
-    """
-    lines, openings = [], set()
-    for i, line in enumerate(text.split("\n")):
-        tokens = line.split()
-        if tokens:
-            opening = _hash(f"{len(tokens)} " + " ".join(tokens[:depth]))
-            openings.add(opening)
-            lines.append((i, opening, tokens))
-    least = sorted(openings)[:3]
+
+def parse(text, depth: int):
+    """[(line number, leaf, (opening, closing), tokens)] of a text's lines that have tokens."""
     out = []
-    for i, opening, tokens in lines:
-        if len(tokens) >= min_tokens:
-            others = [x for x in least if x != opening][:2] + [0, 0]
-            out.append((i, leaf_of(tokens, depth), tokens, others[0], others[1]))
+    for i, line in enumerate(text.split("\n")):
+        if tokens := line.split():
+            leaf = leaf_of(tokens, depth)
+            out.append((i, leaf, ends_of(tokens, depth, leaf), tokens))
     return out
 
 
-def _leaves(depth, min_tokens):
+def families_of(lines, body: int, depth: int, known):
+    """The two families of each line's document, as told from lines that do not recur themselves.
+
+    These begin and end unlike the lines of many other texts (``known``); one edit of a near copy's line
+    leaves one of both as it was. Without such lines the document is told by how its other lines begin,
+    which near copies share, and without other lines by its text. There are two families because one
+    may be a common line that ``known`` has not.
+    """
+    own = sorted({ends[0] for _, _, ends, _ in lines if not any(map(known, ends))})[:2]
+    if own:
+        return [[own[0], own[-1]]] * len(lines)
+    openings = [_hash(f"{len(tokens)} " + " ".join(tokens[:depth])) for _, _, _, tokens in lines]
+    least = sorted(set(openings))[:3]
+    if len(least) == 1:
+        return [[body, body]] * len(lines)
+    return [([x for x in least if x != opening][:2] + [0])[:2] for opening in openings]
+
+
+def _leaves(depth):
     def run(batches):
         for pdf in batches:
             seen = set()
             for text in pdf["text"]:
                 if isinstance(text, str):
-                    for _, leaf, _, one, two in parse(text, depth, min_tokens):
-                        seen.update(((leaf, 1, one), (leaf, 2, two)))
+                    body = _hash(text)
+                    for _, leaf, ends, _ in parse(text, depth):
+                        seen.update((x, body) for x in (leaf, *ends))
             if seen:
                 rows = np.array(list(seen), np.int64)
-                yield pd.DataFrame({"leaf": rows[:, 0], "slot": rows[:, 1].astype(np.int32), "family": rows[:, 2]})
+                yield pd.DataFrame({"leaf": rows[:, 0], "body": rows[:, 1]})
 
     return run
 
 
 def _tokens(depth, min_tokens, sieve):
     def run(batches):
-        known = sieve.value
+        bits = sieve.value
+        known = lambda x: bits[x & (1 << SIEVE_BITS) - 1]
         for pdf in batches:
             out = []
             for key, text in zip(pdf["key"].tolist(), pdf["text"].tolist()):
                 if not isinstance(text, str):
                     continue
-                own = None
-                for i, leaf, tokens, one, two in parse(text, depth, min_tokens):
-                    if known[leaf & (1 << SIEVE_BITS) - 1]:
-                        own = _hash(text) if own is None else own
-                        out.append((key, i, leaf, [one, two], own, [0 if _DIGIT.search(t) else _hash(t) for t in tokens]))
+                lines = parse(text, depth)
+                if not any(len(tokens) >= min_tokens and known(leaf) for _, leaf, _, tokens in lines):
+                    continue
+                own = _hash(text)
+                for (i, leaf, _, tokens), families in zip(lines, families_of(lines, own, depth, known)):
+                    if len(tokens) >= min_tokens and known(leaf):
+                        out.append((key, i, leaf, families, own, [0 if _DIGIT.search(t) else _hash(t) for t in tokens]))
             if out:
                 yield pd.DataFrame(out, columns=["key", "line", "leaf", "families", "body", "tokens"])
 
@@ -107,8 +125,8 @@ def _unlike(rows: DataFrame, by: str) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, key: str, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(key, line): the lines of ``docs`` (columns key and text) whose template recurs."""
-    leaves = docs.select("text").mapInPandas(_leaves(depth, min_tokens), "leaf long, slot int, family long").distinct()
-    common = checkpoint(leaves.groupBy("leaf", "slot").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf").distinct())
+    leaves = docs.select("text").mapInPandas(_leaves(depth), "leaf long, body long").distinct()
+    common = checkpoint(leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     slots = common.select(F.col("leaf").bitwiseAND((1 << SIEVE_BITS) - 1).cast("int").alias("slot")).distinct()
     for row in slots.toLocalIterator():  # at most 2 ** SIEVE_BITS small numbers

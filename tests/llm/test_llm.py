@@ -118,6 +118,15 @@ def test_templates_drop_recurring_lines_only(spark):
         assert out[i].n_dropped == len(text.split("\n")) - len(kept)
 
 
+def test_templates_of_short_pages(spark):
+    common = ["Home News About Contact Us", "Welcome to the site of our town", "All rights reserved by the owner", "Terms of use and privacy notice", "Menu"]
+    rows = [(i, "\n".join([*common, words(12, 3000 + i, 100000)])) for i in range(60)]
+    rows += [(100 + i, f"Daily status report of host {i} is fine") for i in range(40)]  # a text of one line
+    out = {r.doc_id: r for r in templates.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert out[i].text == ("\n".join(text.split("\n")[4:]) if i < 100 else ""), i
+
+
 def test_templates_odd(odd, none):
     out = templates.drop_recurring(odd, "dropped", min_docs=2)
     assert set(odd.columns) <= set(out.columns) and out.count() == odd.count()
