@@ -20,9 +20,11 @@ from corpuscope.llm.common import checkpoint
 #: Leading tokens that choose a leaf; lines with fewer tokens than MIN_TOKENS are never dropped.
 DEPTH = 3
 MIN_TOKENS = 3
-#: Unlike documents that make a template recurrent; share of its tokens that must be constant.
+#: Unlike documents that make a template recurrent; share of its tokens without a digit that must be constant,
+#: and their least number.
 MIN_DOCS = 10
 MIN_CONSTANT = 0.6
+LEAST_CONSTANT = 2
 #: Families of documents per distinct text: below this, a template's documents are copies of a few.
 MIN_UNLIKE = 0.7
 #: Leaves are sieved in the second pass by a bitmap of fixed size.
@@ -145,8 +147,8 @@ def recurring_lines(docs: DataFrame, key: str, min_docs: int = MIN_DOCS, depth:
         .groupBy("key", "line", "leaf")
         .agg(F.count("*").alias("kept"), F.sum(F.xxhash64("place", "token") % (1 << 40)).alias("mark"))
     )
-    parsed = lines.select("key", "line", "leaf", "families", "body", F.size("tokens").alias("n")).join(kept, ["key", "line", "leaf"])
-    parsed = parsed.filter(F.col("kept") >= F.lit(min_constant) * F.col("n")).select("key", "line", "families", "body", F.xxhash64("leaf", "mark", "kept").alias("template"))
+    parsed = lines.select("key", "line", "leaf", "families", "body", F.size(F.filter("tokens", lambda x: x != 0)).alias("n")).join(kept, ["key", "line", "leaf"])
+    parsed = parsed.filter((F.col("kept") >= F.lit(min_constant) * F.col("n")) & (F.col("kept") >= LEAST_CONSTANT)).select("key", "line", "families", "body", F.xxhash64("leaf", "mark", "kept").alias("template"))
     parsed = checkpoint(parsed)
     recurrent = _unlike(parsed, "template").filter((F.col("families") >= min_docs) & (F.col("families") >= MIN_UNLIKE * F.col("bodies"))).select("template")
     return parsed.join(recurrent, "template", "left_semi").select(F.col("key").alias(key), "line").distinct()

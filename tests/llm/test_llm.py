@@ -127,6 +127,15 @@ def test_templates_of_short_pages(spark):
         assert out[i].text == ("\n".join(text.split("\n")[4:]) if i < 100 else ""), i
 
 
+def test_templates_of_many_fields(spark):
+    rows = []
+    for i in range(60):
+        own = [words(12, 4000 + 3 * i + j, 100000) for j in range(3)]
+        rows.append((i, "\n".join([own[0], f"Page {i} of {i + 17}", own[1], f"Posted on {i % 28 + 1} March 2024 at {i % 24}:{i:02}", own[2], f"{i} {i * 7} apples {i + 1}"])))
+    out = {r.doc_id: r for r in templates.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].dropped == "1,3" for i, _ in rows)  # one constant token does not make a template
+
+
 def test_templates_odd(odd, none):
     out = templates.drop_recurring(odd, "dropped", min_docs=2)
     assert set(odd.columns) <= set(out.columns) and out.count() == odd.count()
