@@ -188,3 +188,9 @@ def test_filters_reach_the_scan(spark, sf):
     with pytest.raises(ValueError):
         lexical.identifier_occurrences(q, "not valid!")
     assert os.path.exists(sf)
+
+
+def test_diff_ranges_of_all_orders(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    want = sorted((o.o_orderkey, f"f{o.o_orderkey}.py", o.o_custkey, o.o_custkey + 2) for o in orders)
+    assert sorted(map(tuple, __spark_entry__.queries()["diff_ranges"](spark, sf).collect())) == want
