@@ -8,6 +8,7 @@ are merged and ranked by exact cosine.
 
 from __future__ import annotations
 
+import copy
 import itertools
 
 import numpy as np
@@ -66,15 +67,25 @@ class QueryBlock:
         self.norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         self.unit = vectors / self.norm[:, None]
         self.hash = PStableTables(vectors.shape[1], tables, projections, cell)
-        self.visits = []
+        self.visits, self.everywhere = [], False
         for t in range(tables):
             keys = self.hash.probes(self.unit, t, probes)
             order = np.argsort(keys, axis=None, kind="stable")
             self.visits.append((keys.ravel()[order], order // keys.shape[1]))
 
+    def short_of(self, ids: set) -> QueryBlock:
+        """Those of the queries whose id is in ``ids``, to meet every vector."""
+        own = np.array([i in ids for i in self.ids.tolist()], bool)
+        block = copy.copy(self)
+        block.ids, block.vectors, block.norm, block.unit = self.ids[own], self.vectors[own], self.norm[own], self.unit[own]
+        block.visits, block.everywhere = [], True
+        return block
+
     def candidates(self, unit: np.ndarray) -> np.ndarray:
         """Which query meets which vector in any table."""
-        met = np.zeros((len(self.ids), len(unit)), bool)
+        met = np.full((len(self.ids), len(unit)), self.everywhere)
+        if self.everywhere:
+            return met
         for t, (keys, who) in enumerate(self.visits):
             own = self.hash.keys(unit, t)
             for key in np.unique(own):
@@ -158,6 +169,13 @@ def _blocks(queries: DataFrame, size: int, **params):
         yield made(rows)
 
 
+def _nearest(vectors: DataFrame, block: dict, k: int) -> DataFrame:
+    found = vectors.mapInPandas(_scan(vectors.sparkSession.sparkContext.broadcast(block), k), "query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, projections: int = PROJECTIONS, cell: float = CELL, probes: int = PROBES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The ``k`` nearest found of each query among all ``vectors`` but those of its own vec_id.
 
@@ -168,17 +186,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TAB
 
     Vectors that are null, all zeros, or hold a null or non-finite component take no part; neither do
     null ids. Vectors of different lengths are not compared. Of query rows that repeat an id the
-    smallest vector counts; candidate rows that repeat an id and vector count once. Fewer than ``k``
-    candidates: all found. Empty tables: no rows.
+    smallest vector counts; candidate rows that repeat an id and vector count once. A query that finds fewer
+    than ``k`` in its buckets is compared with all vectors. Empty tables: no rows.
     """
     vectors = _usable(vectors)
     asked = _usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     parts = []
     for block in _blocks(asked, block_queries, tables=tables, projections=projections, cell=cell, probes=probes):
-        found = vectors.mapInPandas(_scan(vectors.sparkSession.sparkContext.broadcast(block), k), "query_id long, vec_id long, score double")
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        parts.append(once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        part = checkpoint(_nearest(vectors, block, k))
+        enough = {r.query_id for r in part.groupBy("query_id").count().filter(F.col("count") >= k).collect()}  # at most a block
+        short = {i for b in block.values() for i in b.ids.tolist()} - enough
+        if short:  # too few in the buckets visited: once more, in all
+            again = {d: b for d, b in ((d, b.short_of(short)) for d, b in block.items()) if len(b.ids)}
+            full = part.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+            part = part.join(full, "query_id", "left_semi").unionByName(_nearest(vectors, again, k))
+        parts.append(part)
         if len(parts) > 1:  # a long list of blocks does not become one long plan
             parts = [checkpoint(parts[0].unionByName(parts[1]))]
     if parts:

@@ -228,6 +228,16 @@ def test_neighbours_odd(spark):
     assert blocks.groupBy("query_id").count().filter("count > 5").count() == 0
 
 
+def test_neighbours_of_an_outlying_query(spark):
+    r = np.random.default_rng(2)
+    dense = np.eye(64)[0] + 0.01 * r.standard_normal((200, 64))
+    rows = [(i + 1, x.tolist()) for i, x in enumerate(dense)] + [(0, (-20 * np.eye(64)[0]).tolist())]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(e, e.filter("vec_id = 0"), probes=3).orderBy("rank").collect()
+    score = -dense[:, 0] / np.linalg.norm(dense, axis=1)
+    assert [x.vec_id for x in got] == (np.argsort(-score)[:5] + 1).tolist()
+
+
 # -- 5 packing
 
 
