@@ -22,9 +22,15 @@ SLICE_CHARS = 1_500_000
 UNKNOWN = "und"
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+#: Characters that may be letters; numerals such as fractions and superscripts are among them.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """True if any character is a letter (Unicode category L)."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class ChainCRF:
     """Emission weights of affixes, n-grams and lexicon entries, transitions between the labels, and forward-backward."""
 
@@ -125,7 +131,7 @@ class ChainCRF:
                 mean[has] = np.add.reduceat(p, batch.first[:-1][has], axis=0) / n[has, None]
             best = mean.argmax(1)
             for text, words, k, m in zip(part, n.tolist(), best.tolist(), mean.tolist()):
-                known = words and isinstance(text, str) and _LETTER.search(text)
+                known = words and isinstance(text, str) and has_letter(text)
                 out.append((self.labels[k], min(1.0, m[k])) if known else (UNKNOWN, 0.0))
         return out
 

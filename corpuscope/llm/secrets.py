@@ -21,7 +21,8 @@ ADDED_KINDS = ["endpoint", "keypart", "weak"]
 KINDS = BASE_KINDS + ADDED_KINDS
 
 #: Weak parts: a service address, a bare 40-character key, a short value in an assignment.
-ENDPOINT = r"(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis)://[A-Za-z0-9._~:@%/?#&=+-]*[A-Za-z0-9/]|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"
+ENDPOINT = r"(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis)://[A-Za-z0-9._~:@%/?#&=+-]*[A-Za-z0-9/]"
+HOST_END = ".amazonaws.com"
 KEYPART = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])"
 
 SPAN = T.StructType(
@@ -39,14 +40,52 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
+def hosts(text: str) -> list[tuple[int, int]]:
+    """Names of ``HOST_END``: dotted labels of a-z, 0-9 and hyphen before it. Sought from their ends, so that each character is seen once."""
+    out: list[tuple[int, int]] = []
+    floor, at = 0, text.find(HOST_END)
+    while at >= 0:
+        start = label = at  # walk back over whole labels
+        joined = label == floor
+        while label > floor:
+            i = label - 1
+            while i >= floor and (text[i] == "-" or "0" <= text[i] <= "9" or "a" <= text[i] <= "z"):
+                i -= 1
+            if i + 1 == label:
+                break  # an empty label
+            start = i + 1
+            if i >= floor and text[i] != ".":
+                break
+            label = i
+            joined = label <= floor
+        end = at + len(HOST_END)
+        if joined and out and floor == out[-1][1]:
+            out[-1] = (out[-1][0], end)  # one name goes on
+            floor = end
+        elif start < at:
+            out.append((start, end))
+            floor = end
+        at = text.find(HOST_END, at + 1 if floor < end else end)
+    return out
+
+
 def _link(parts: list[tuple[int, int, int]], scope: int) -> list[list[int]]:
-    """Interval join of a text's sorted parts: the partners of each whose gap is at most ``scope``."""
-    starts = [s for s, _, _ in parts]
-    widest = max((e - s for s, e, _ in parts), default=0)
-    return [
-        [j for j in range(bisect_left(starts, s - scope - widest), bisect_left(starts, e + scope + 1)) if j != i and parts[j][1] >= s - scope]
-        for i, (s, e, _) in enumerate(parts)
-    ]
+    """Interval join of a text's sorted parts: the partners of each whose gap is at most ``scope``.
+
+    Parts are kept apart by the power of two of their length, so that a long one does not widen the search for short ones.
+    """
+    classes: dict[int, tuple[list[int], list[int]]] = {}
+    for j, (s, e, _) in enumerate(parts):
+        starts, own = classes.setdefault((e - s).bit_length(), ([], []))
+        starts.append(s)
+        own.append(j)
+    out = []
+    for i, (s, e, _) in enumerate(parts):
+        near = []
+        for k, (starts, own) in classes.items():
+            near += [j for j in own[bisect_left(starts, s - scope - (1 << k)) : bisect_left(starts, e + scope + 1)] if j != i and parts[j][1] >= s - scope]
+        out.append(sorted(near))
+    return out
 
 
 def _scanner(scope: int, min_value: int, min_access: int, weak_value: int, min_entropy: float):
@@ -64,7 +103,10 @@ def _scanner(scope: int, min_value: int, min_access: int, weak_value: int, min_e
         base = [x[:3] for x in base]
         base += [(m.start(), m.end(), 1) for m in access.finditer(text) if m.end() - m.start() >= min_access]
         base += [(m.start(), m.end(), 2) for m in hexes.finditer(text)]
-        weak += [(m.start(), m.end(), 3) for m in endpoint.finditer(text)]
+        urls = [m.span() for m in endpoint.finditer(text)]
+        ends = [e for _, e in urls]
+        weak += [(s, e, 3) for s, e in urls]
+        weak += [(s, e, 3) for s, e in hosts(text) if (at := bisect_left(ends, s + 1)) == len(urls) or urls[at][0] >= e]
         weak += [(m.start(), m.end(), 4) for m in keypart.finditer(text) if _entropy(m[0]) >= min_entropy]
         parts = sorted(base + weak)
         # identifiers, secrets and addresses complement one another
