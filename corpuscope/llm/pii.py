@@ -52,19 +52,65 @@ CUES = {
 FEATURES = ["length", "digits", "letters", "marks", "brackets", "before_space", "after_word", *CUES, *[f"is_{k}" for k in GENERATORS]]
 
 
-def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """Array of (s, m): the leftmost non-overlapping matches of a text and their starts in code points."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<s:int,m:string>>")
+#: Elements that are scanned one after the other; a longer array is scanned block by block, so that copies stay short.
+BLOCK = 256
+#: Code points of the longest candidate, or of a piece of a base span when the two are compared, and a bound on
+#: how many of these begin within so many code points (the shortest matches of all kinds, end to end).
+REACH = 128
+NEIGHBOURS = 200
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, op, zero: Column) -> Column:
+    """What ``op`` makes of all values before each element, for an associative ``op``."""
+
+    def scanned(items, element):
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(op(acc["at"], element(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def whole(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda j: scanned(F.slice(v, j * BLOCK + 1, BLOCK), lambda x: x))
+        return let(blocks, lambda d: F.flatten(F.zip_with(d, scanned(d, lambda x: x["at"])["out"], lambda x, o: F.transform(x["out"], lambda y: op(o, y)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
 
-    def step(acc, pair):
-        s = acc["at"] + F.length(pair["p"])
-        return F.struct((s + F.length(pair["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), pair["m"].alias("m")))).alias("out"))
 
-    # the last piece, after the last match, has no partner
-    zipped = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
-    placed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.contains(text, F.lit(needs)), placed).otherwise(none) if needs else placed
+def spans(text: Column, pattern: str, needs: str | None = None, context: int = 0) -> Column:
+    """Array of (s, m): the leftmost non-overlapping matches of a text and their starts in code points.
+
+    With ``context``, also so many characters before and after. The work grows with the text's length alone.
+    """
+    kind = "s:int,m:string" + (",before:string,after:string" if context else "")
+    none = F.array().cast(f"array<struct<{kind}>>")
+
+    def around(z, x, i):
+        """What stands beside match i, from the pieces and matches next to it."""
+        few = context // 4 + 1
+        before = F.slice(z, F.greatest(i + 1 - few, F.lit(1)), F.least(i, F.lit(few)))
+        before = F.concat(F.array_join(F.transform(before, lambda y: F.concat(F.right(y["p"], F.lit(context)), y["m"])), ""), F.right(x["p"], F.lit(context)))
+        after = F.array_join(F.transform(F.slice(z, i + 2, few), lambda y: F.concat(F.left(y["p"], F.lit(context)), F.coalesce(y["m"], F.lit("")))), "")
+        return [F.right(before, F.lit(context)).alias("before"), F.left(after, F.lit(context)).alias("after")]
+
+    def placed(z):
+        # the last piece, after the last match, has no partner
+        starts = running(F.transform(z, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))), lambda a, b: a + b, F.lit(0))
+        each = lambda x, i: F.struct((F.get(starts_of, i) + F.length(x["p"])).alias("s"), x["m"].alias("m"), *(around(z, x, i) if context else []))
+
+        def use(own):
+            nonlocal starts_of
+            starts_of = own
+            return F.filter(F.transform(z, each), lambda x: x["m"].isNotNull())
+
+        starts_of = None
+        return let(starts, use)
+
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    some = let(F.arrays_zip(pieces.alias("p"), found.alias("m")), placed)
+    return F.when(F.contains(text, F.lit(needs)) if needs else text.rlike(pattern), some).otherwise(none)
 
 
 def _luhn(match: Column) -> Column:
@@ -93,14 +139,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     t = F.col("t")
     out = docs
     for kind, pattern in GENERATORS.items():
-        out = out.withColumn(f"g_{kind}", spans(t, pattern))
+        out = out.withColumn(f"g_{kind}", spans(t, pattern, context=CONTEXT))
+
     def features_of(kind):
         def featured(x):
-            m, s = x["m"], x["s"]
+            m, s, before = x["m"], x["s"], x["before"]
             e = s + F.length(m)
-            before = F.substring(t, F.greatest(s - CONTEXT + 1, F.lit(1)), F.least(s, F.lit(CONTEXT)))
-            after = F.substring(t, e + 1, F.lit(1))
-            around = F.concat(before, F.lit(" "), F.substring(t, e + 1, F.lit(CONTEXT)))
+            after = F.left(x["after"], F.lit(1))
+            around = F.concat(before, F.lit(" "), x["after"])
             num = lambda c: c.cast("double")
             return F.struct(
                 F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), m.alias("m"),
@@ -235,7 +281,8 @@ def find(docs: DataFrame, model: BoostedTrees, into: str = "pii") -> DataFrame:
     span and no better candidate (ties: the earlier, then the kind as listed).
 
     Null or empty texts: no spans. Rows are independent: no join, no shuffle; equal rows give equal
-    results. Other columns stay; names beginning with ``__pii_`` are used inside.
+    results. The work on a text grows with its length. Other columns stay, but for one named ``into``, which is
+    replaced; names beginning with ``__pii_`` are used inside.
     """
     own = docs.withColumn("__pii_row", F.struct(*[docs[f"`{c}`"] for c in docs.columns]))
     own = own.select("__pii_row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
@@ -250,17 +297,24 @@ def find(docs: DataFrame, model: BoostedTrees, into: str = "pii") -> DataFrame:
     own = own.withColumn("base", F.concat(*[checked(k) for k in BASE_KINDS])).drop(*[f"b_{k}" for k in BASE_KINDS])
     own = candidates(own)
     cut = F.create_map(*[F.lit(x) for k in GENERATORS for x in (k, model.thresholds[k])])
-    scored = F.transform("candidates", lambda c: F.struct((-model.expression(c)).alias("z"), c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"), cut[c["kind"]].alias("cut")))
-    own = own.withColumn("chosen", F.sort_array(F.filter(scored, lambda c: -c["z"] >= c["cut"])))
-    meets = lambda c, x: (c["s"] < x["end"]) & (x["start"] < c["e"])
-    more = F.aggregate(
-        "chosen",
-        F.col("base"),
-        lambda acc, c: F.when(F.exists(acc, lambda x: meets(c, x)), acc).otherwise(
-            F.concat(acc, F.array(F.struct(c["kind"].alias("kind"), c["s"].cast("long").alias("start"), c["e"].cast("long").alias("end"), (1 / (1 + F.exp(c["z"]))).alias("score"))))
-        ),
-    )
-    return own.withColumn("__pii_all", more).select("__pii_row.*", F.col("__pii_all").alias(into))
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(GENERATORS) for x in (k, i)])
+    item = lambda s, e, rank, i, kind: F.struct(s.cast("long").alias("start"), rank.alias("rank"), i.alias("i"), e.cast("long").alias("end"), kind.alias("kind"))
+    scored = F.filter(F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), (-model.expression(c)).alias("z"))), lambda c: -c["z"] >= cut[c["kind"]])
+    chosen = F.transform(scored, lambda c: item(c["s"], c["e"], c["z"], order[c["kind"]], c["kind"]))
+    parts = lambda b: F.sequence(b["start"], b["end"] - 1, F.lit(REACH).cast("long"))
+    fixed = F.flatten(F.transform("base", lambda b: F.transform(parts(b), lambda p: item(p, F.least(p + REACH, b["end"]), F.lit(float("-inf")), F.lit(-1), F.lit(None).cast("string")))))
+    better = lambda y, x: F.struct(y["rank"], y["start"], y["i"]) < F.struct(x["rank"], x["start"], x["i"])
+
+    def best(items):
+        """Candidates that meet nothing better; what they can meet stands near them in the order of starts."""
+        near = lambda i: F.slice(items, F.greatest(i + 1 - NEIGHBOURS, F.lit(1)), 2 * NEIGHBOURS + 1)
+        return F.filter(items, lambda x, i: (x["i"] >= 0) & ~F.exists(near(i), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & better(y, x)))
+
+    own = own.withColumn("chosen", chosen)
+    kept = let(F.sort_array(F.concat("chosen", fixed)), best)
+    more = F.concat("base", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (1 / (1 + F.exp(x["rank"]))).alias("score"))))
+    more = F.when(F.size("chosen") > 0, more).otherwise(F.col("base"))
+    return own.select(*[F.col(f"__pii_row.`{c}`") for c in docs.columns if c.lower() != into.lower()], more.alias(into))
 
 
 def span_text(all_spans: Column) -> Column:
@@ -275,14 +329,21 @@ def redact(docs: DataFrame, model: BoostedTrees, mask: str = "[{}]") -> DataFram
     name = "__pii_spans"
     found = find(docs, model, name)
     ordered = F.sort_array(F.transform(name, lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b"), x["kind"].alias("k"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    def step(acc, x):
-        kept = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["a"] - acc["at"]).cast("int"))
-        cut = F.struct(F.concat(acc["out"], kept, F.format_string(mask.replace("{}", "%s"), x["k"])).alias("out"), x["b"].alias("at"))
-        return F.when(x["a"] >= acc["at"], cut).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["b"]).alias("at")))
+    def masked(spans_here):
+        ends = running(F.transform(spans_here, lambda x: x["b"].cast("int")), F.greatest, F.lit(0))
+
+        def use(own):
+            chars, before = own["chars"], own["ends"]
+            kept = lambda x, i: F.array_join(F.slice(chars, F.get(before, i) + 1, F.greatest(x["a"].cast("int") - F.get(before, i), F.lit(0))), "")
+            # a span that begins inside another adds nothing of its own
+            part = lambda x, i: F.concat(kept(x, i), F.when(x["a"] >= F.get(before, i), F.format_string(mask.replace("{}", "%s"), x["k"])).otherwise(""))
+            last = F.array_max(F.transform(spans_here, lambda x: x["b"].cast("int")))
+            return F.concat(F.array_join(F.transform(spans_here, part), ""), F.array_join(F.slice(chars, last + 1, F.size(chars)), ""))
+
+        return let(F.struct(F.split("text", "").alias("chars"), ends.alias("ends")), use)
 
-    text = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    text = let(ordered, masked)
     return found.withColumn("text", F.when(F.size(name) > 0, text).otherwise(F.col("text"))).drop(name)
 
 
