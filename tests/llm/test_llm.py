@@ -468,6 +468,64 @@ def test_passages_around_a_stock_phrase_meet(spark):
     assert {r.doc_id for r in out} == {r.doc_id for r in out if r.matched_id == r.doc_id ^ 1} == set(range(1000, 1080))
 
 
+def test_passages_around_a_common_phrase(spark):
+    common = words(34, 180_000, 10**6)
+    rows = []
+    for i in range(100):  # pairs share 62 words; all documents share the middle 34
+        a = f"{words(14, 181_000 + i, 10**6)} {common} {words(14, 182_000 + i, 10**6)}"
+        rows += [(2 * i + j, " ".join([words(90, 183_000 + 2 * i + j, 10**6), a, words(90, 184_000 + 2 * i + j, 10**6)])) for j in range(2)]
+    found = passages.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in found if r.matched_id == r.doc_id ^ 1}) >= 0.97 * len(rows)
+
+
+def test_passages_with_two_changed_words(spark):
+    rows = []
+    for i in range(150):  # 5-gram similarity 0.81 or more
+        a = words(100, 190_000 + i, 10**6).split()
+        r = random.Random(i)
+        b = list(a)
+        for at in r.sample(range(100), 2):
+            b[at] = f"changed{at}"
+        rows += [(2 * i + j, " ".join([words(60, 191_000 + 2 * i + j, 10**6), *x, words(60, 192_000 + 2 * i + j, 10**6)])) for j, x in enumerate((a, b))]
+    found = passages.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {r.doc_id for r in found if r.matched_id == r.doc_id ^ 1 and r.end_word - r.start_word >= 85}
+    assert len(whole) >= 0.97 * len(rows)
+
+
+def test_passages_of_very_many_documents(spark, monkeypatch):
+    """Groups that are tied within a batch, and meet in the shuffle, keep every document."""
+    monkeypatch.setattr(passages, "HERE", 4)
+    monkeypatch.setattr(passages, "TOGETHER", 8)
+    shared = words(60, 195_000, 10**6)
+    rows = [(i, " ".join([words(40, 196_000 + i, 10**6), shared, words(40, 197_000 + i, 10**6)])) for i in range(120)]
+    out = passages.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r.doc_id for r in out if r.start_word <= 42 and r.end_word >= 98} == set(range(120))
+
+
+def test_passages_against_all_pairs(documents):
+    """Every verbatim repeat is covered, and every reported passage is as similar as it must be."""
+    rows = {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
+    cut = {i: re.findall(passages.WORD, t.translate(LOWER)) for i, t in rows.items()}
+    class_of, where = {}, defaultdict(set)
+    for i in sorted(rows):
+        class_of[i] = min(j for j in rows if rows[j] == rows[i])
+        if class_of[i] == i:
+            for s in range(len(cut[i]) - 49):
+                where[tuple(cut[i][s : s + 50])].add((i, s))
+    covered = defaultdict(set)
+    for r in passages.report(documents).collect():
+        assert r.end_word - r.start_word >= 50 and r.matched_end - r.matched_start >= 50
+        if r.whole_copy:
+            assert rows[r.doc_id] == rows[r.matched_id] and r.doc_id != r.matched_id
+            continue
+        x, y = ({tuple(cut[i][k : k + 5]) for k in range(s, e - 4)} for i, s, e in ((r.doc_id, r.start_word, r.end_word), (r.matched_id, r.matched_start, r.matched_end)))
+        assert 100 * len(x & y) >= 80 * len(x | y)
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    repeats = [(i, s) for found in where.values() if len({i for i, _ in found}) > 1 for i, s in found]
+    assert len(repeats) > 100
+    assert sum(covered[i] >= set(range(s, s + 50)) for i, s in repeats) >= 0.99 * len(repeats)
+
+
 def test_passages_that_overlap_are_all_covered():
     r = np.random.default_rng(9)
     a = r.integers(0, 1 << 60, 400).astype(np.uint64)
