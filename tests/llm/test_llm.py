@@ -224,8 +224,30 @@ def test_neighbours_odd(spark):
     assert neighbours.report(e.limit(0)).count() == 0
     small = neighbours.search(e.filter("vec_id in (0, 1)"), e.filter("vec_id = 0"))
     assert [(r.query_id, r.rank, r.vec_id) for r in small.collect()] == [(0, 1, 1)]
-    blocks = neighbours.search(e, e.filter("vec_id % 5 = 0"), block_queries=1)
-    assert blocks.groupBy("query_id").count().filter("count > 5").count() == 0
+    groups = neighbours.search(e, e.filter("vec_id % 5 = 0"), group_vectors=1)
+    assert groups.groupBy("query_id").count().filter("count > 5").count() == 0
+
+
+def test_neighbours_in_groups_and_blocks(spark, sf, monkeypatch):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    key = lambda x: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in x.collect())
+    want = key(neighbours.report(e, every=10))
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 7)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 3)
+    assert key(neighbours.report(e, every=10)) == want
+    assert key(neighbours.report(e, every=10, group_vectors=20)) == want
+
+
+def test_probes_come_in_order_of_cost():
+    h = neighbours.PStableTables(8, 1, 4, 1.5)
+    x = np.random.default_rng(1).standard_normal((5, 8))
+    c, inside = h.cells(x, 0)
+    for i, got in enumerate(h.probes(x, 0, 20)):
+        every = []
+        for d in np.ndindex(3, 3, 3, 3):
+            d = np.array(d) - 1
+            every.append((sum((inside[i, j] if d[j] < 0 else 1 - inside[i, j]) ** 2 for j in range(4) if d[j]), (c[i] + d) @ h.radix))
+        assert got.tolist() == [key for _, key in sorted(every, key=lambda p: p[0])[:20]]
 
 
 def test_neighbours_of_an_outlying_query(spark):
