@@ -286,10 +286,10 @@ def shift_spans(spark, sf):
     return incremental.shift_spans(p, shifts).select("name", "s")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 2 ELSE 1 END AS changes FROM events WHERE event_id < 2000")
+@query("SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 2 ELSE 1 END AS changes FROM events")
 def git_changes(spark, sf):
     i = F.col("event_id")
-    status = table(spark, sf, "events").filter("event_id < 2000").select(i.cast("string").alias("commit"), F.when(i % 8 == 0, "R100").when(i % 3 == 0, "A").otherwise("M").alias("status"), F.col("event_type").alias("path"), F.lit("old").alias("old_path"))
+    status = table(spark, sf, "events").select(i.cast("string").alias("commit"), F.when(i % 8 == 0, "R100").when(i % 3 == 0, "A").otherwise("M").alias("status"), F.col("event_type").alias("path"), F.lit("old").alias("old_path"))
     return incremental.file_changes(status).groupBy(F.col("commit").cast("long").alias("event_id")).agg(F.count("*").cast("int").alias("changes"))
 
 

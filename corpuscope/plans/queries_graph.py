@@ -26,9 +26,9 @@ def vertex_upsert(spark, sf):
     return graph.upsert_vertices(e).select("name", "event_type", "seq")
 
 
-@query("SELECT src, dst, type, min(eid) AS eid FROM edges WHERE type = 'reference' AND src % 10 = 0 GROUP BY src, dst, type, anchor_file, anchor_line", EDGES_SQL)
+@query("SELECT src, dst, type, min(eid) AS eid FROM edges WHERE type = 'reference' GROUP BY src, dst, type, anchor_file, anchor_line", EDGES_SQL)
 def edge_dedup(spark, sf):
-    e = edges(spark, sf).filter("type = 'reference' and src % 10 = 0")
+    e = edges(spark, sf).filter("type = 'reference'")
     return graph.dedup_edges(e.unionByName(e)).select("src", "dst", "type", "eid")
 
 
@@ -54,13 +54,13 @@ def typed_neighbors(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT CAST(1000000000 + c_custkey AS BIGINT) AS vid, c_custkey AS rank, CAST(c_custkey AS DOUBLE) AS score FROM customer WHERE c_custkey < 20),
+    """WITH s AS (SELECT CAST(1000000000 + c_custkey AS BIGINT) AS vid, c_custkey AS rank, CAST(c_custkey AS DOUBLE) AS score FROM customer),
 h AS (SELECT vid, rank, score, src AS t, min(eid) AS eid FROM edges JOIN s ON dst = vid WHERE type = 'reference' GROUP BY ALL)
 SELECT vid AS seed, t AS vid, CAST(n AS BIGINT) AS n, score * 0.5 AS score FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY eid, t) AS n FROM h) WHERE n <= 5""",
     EDGES_SQL,
 )
 def one_hop_expand(spark, sf):
-    seeds = table(spark, sf, "customer").filter("c_custkey < 20").select((F.col("c_custkey") + 1000000000).alias("vid"), F.col("c_custkey").alias("rank"), F.col("c_custkey").cast("double").alias("score"))
+    seeds = table(spark, sf, "customer").select((F.col("c_custkey") + 1000000000).alias("vid"), F.col("c_custkey").alias("rank"), F.col("c_custkey").cast("double").alias("score"))
     x = graph.expand_one_hop(seeds, edges(spark, sf), vertices(spark, sf), 5)
     return x.select("seed", "vid", F.col("n").cast("long").alias("n"), "score")
 

@@ -234,11 +234,11 @@ def ivf_search(spark, sf):
     return vectors.ivf_search(e, vectors.ivf_centroids(e), q, 10).select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query("SELECT count(*) AS pairs, CAST(sum(a.id) AS BIGINT) AS left_sum, CAST(sum(b.id) AS BIGINT) AS right_sum FROM spans a JOIN spans b ON a.file = b.file AND a.s <= b.e AND b.s <= a.e AND a.id % 10 = 0", SPANS_SQL)
+@query("SELECT count(*) AS pairs, CAST(sum(a.id) AS BIGINT) AS left_sum, CAST(sum(b.id) AS BIGINT) AS right_sum FROM spans a JOIN spans b ON a.file = b.file AND a.s <= b.e AND b.s <= a.e", SPANS_SQL)
 def interval_overlap(spark, sf):
     a = spans(spark, sf).select("file", F.col("s").alias("ls"), F.col("e").alias("le"), F.col("id").alias("left_id"))
     b = spans(spark, sf).select("file", F.col("s").alias("rs"), F.col("e").alias("re"), F.col("id").alias("right_id"))
-    return intervals.overlap_join(a.filter("left_id % 10 = 0"), b, "file", "ls", "le", "rs", "re").agg(F.count("*").alias("pairs"), F.sum("left_id").alias("left_sum"), F.sum("right_id").alias("right_sum"))
+    return intervals.overlap_join(a, b, "file", "ls", "le", "rs", "re").agg(F.count("*").alias("pairs"), F.sum("left_id").alias("left_sum"), F.sum("right_id").alias("right_sum"))
 
 
 @query(
@@ -276,14 +276,14 @@ def occurrence_at(spark, sf):
 
 
 @query(
-    """WITH f AS (SELECT event_id, arg_min(symbol, lpad(CAST(start_line * 1048576 + start_char AS VARCHAR), 12, '0') || lpad(CAST(end_line * 1048576 + end_char AS VARCHAR), 12, '0') || symbol) AS symbol FROM places JOIN occ ON places.file = occ.file AND line = start_line AND "char" >= start_char AND "char" < end_char WHERE event_id % 20 = 0 GROUP BY event_id),
+    """WITH f AS (SELECT event_id, arg_min(symbol, lpad(CAST(start_line * 1048576 + start_char AS VARCHAR), 12, '0') || lpad(CAST(end_line * 1048576 + end_char AS VARCHAR), 12, '0') || symbol) AS symbol FROM places JOIN occ ON places.file = occ.file AND line = start_line AND "char" >= start_char AND "char" < end_char GROUP BY event_id),
 d AS (SELECT DISTINCT event_id, f.symbol, file, start_line, start_char FROM f JOIN occ ON f.symbol = occ.symbol AND roles % 2 = 1)
 SELECT event_id, file, CAST(start_line AS BIGINT) AS start_line FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY file, start_line, start_char) AS n FROM d) WHERE n <= 5""",
     OCC_SQL,
 )
 def definitions_at(spark, sf):
     occ, at = _occ(spark, sf)
-    found = intervals.occurrence_at(at.filter("event_id % 20 = 0"), occ, "event_id")
+    found = intervals.occurrence_at(at, occ, "event_id")
     return intervals.locations(found, occ, "event_id", True, 5).select("event_id", "file", F.col("start_line").cast("long").alias("start_line"))
 
 

@@ -31,7 +31,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 CANDIDATES_SQL = """candidates AS (
   SELECT CAST(b AS BIGINT) AS branch, r AS rank, doc_id AS node_id, source AS file,
-    CASE WHEN doc_id % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE n_chars / 1000.0 END AS score, CASE WHEN b = 1 THEN '' ELSE substr(text, 1, 200) END AS content
+    CASE WHEN doc_id % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE n_chars / 1000.0 END AS score, CASE WHEN b = 1 THEN '' ELSE text END AS content
   FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY o, doc_id) AS r FROM (
     SELECT *, 0 AS b, -n_chars AS o FROM documents UNION ALL SELECT *, 1, (doc_id * 7919) % 1009 FROM documents UNION ALL SELECT *, 2, doc_id % 50 FROM documents)) WHERE r <= 60)"""
 
@@ -40,7 +40,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Three ranked branches of 60: branch, rank, node_id, file, score, content."""
     from corpuscope.operators.ranking import ranked
 
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "source", F.substring("text", 1, 200).alias("head"))
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "source", F.col("text").alias("head"))
     orders = [-F.col("n_chars"), (F.col("doc_id") * 7919) % 1009, F.col("doc_id") % 50]
     out = None
     for b, o in enumerate(orders):
