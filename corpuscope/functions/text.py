@@ -36,7 +36,8 @@ SEMANTIC = r"\b(how|why|what|when|where|explain|behavior|logic|flow|handle|suppo
 def code_tokens(text: Column) -> Column:
     """Alphanumeric runs in lower case, empty call brackets removed first."""
     bare = F.replace(F.coalesce(text, F.lit("")), F.lit("()"), F.lit(""))
-    return F.transform(F.filter(F.split(bare, "[^A-Za-z0-9]+", -1), lambda x: x != ""), F.lower)
+    # lower case only once nothing but ASCII is left; no function is called token by token
+    return F.array_remove(F.split(F.lower(F.regexp_replace(bare, "[^A-Za-z0-9]+", " ")), " ", -1), "")
 
 
 def focus_terms(query: Column, stop: list[str]) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscope.session import checkpoint
+
 # Edge types of each layer; an edge may be in several.
 LAYERS = {
     "containment": ["contain"],
@@ -19,14 +19,6 @@ LAYERS = {
 EDGE_KEY = ["src", "dst", "type", "anchor_file", "anchor_line"]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop in the session's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint()
-
-
 def upsert_vertices(rows: DataFrame, order: str = "seq") -> DataFrame:
     """One vertex a name: later attributes overwrite."""
     return rows.groupBy("name").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "name"]), order).alias("v")).select("name", "v.*")
@@ -89,11 +81,11 @@ def expand_one_hop(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, per_
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """(vid, depth): least distance from any seed, to ``depth``. One frontier join a level."""
     steps = adjacent(edges, direction).select("from", "to").distinct()
-    seen = _cut(seeds.select("vid").distinct().withColumn("depth", F.lit(0)))
+    seen = checkpoint(seeds.select("vid").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
         reached = frontier.join(steps, frontier["vid"] == steps["from"]).select(F.col("to").alias("vid")).distinct()
-        frontier = _cut(reached.join(seen, "vid", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = checkpoint(reached.join(seen, "vid", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -110,13 +102,13 @@ def shortest_path(edges: DataFrame, source: int, target: int, max_depth: int = 8
     """(step, vid) along a shortest outgoing path over all edge types; of equal ones, the smallest parent at each step."""
     steps = edges.select("src", "dst").distinct()
     spark = edges.sparkSession
-    seen = _cut(spark.range(1).select(F.lit(source).cast("long").alias("vid"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
+    seen = checkpoint(spark.range(1).select(F.lit(source).cast("long").alias("vid"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
     frontier = seen
     for d in range(1, max_depth + 1):
         if seen.filter(F.col("vid") == target).limit(1).count():
             break
         reached = frontier.join(steps, frontier["vid"] == steps["src"]).groupBy(F.col("dst").alias("vid")).agg(F.min("vid").alias("parent"))
-        frontier = _cut(reached.join(seen, "vid", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = checkpoint(reached.join(seen, "vid", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     path, vid = [], target
     while (row := seen.filter(F.col("vid") == vid).first()) is not None:  # at most max_depth + 1 lookups
@@ -135,9 +127,9 @@ def distance(edges: DataFrame, a: int, b: int, max_depth: int = 8) -> int:
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(vid, rank): power iteration with restarts on the seeds; parallel edges weigh; mass that finds no way out restarts."""
-    links = _cut(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
+    links = checkpoint(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
     out = links.groupBy("src").agg(F.sum("w").alias("total"))
-    flow = _cut(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    flow = checkpoint(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     start = seeds.select("vid").distinct()
     n = start.count()
     reset = start.withColumn("reset", F.lit(1.0 / max(n, 1)))
@@ -148,7 +140,7 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 10,
         rank = moved.join(reset, "vid", "full_outer").crossJoin(F.broadcast(kept)).select(
             "vid", (damping * F.coalesce("m", F.lit(0.0)) + F.coalesce("reset", F.lit(0.0)) * (1 - damping + damping * (1 - F.col("kept")))).alias("rank")
         )
-        rank = _cut(rank)
+        rank = checkpoint(rank)
     return rank
 
 
@@ -239,11 +231,11 @@ def codemap(edges: DataFrame, seeds: DataFrame, depth: int = 4, max_nodes: int =
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Label propagation: each round a vertex takes its neighbours' commonest label, the smallest of equals."""
-    both = _cut(both_ways(edges).filter(F.col("from") != F.col("to")).select("from", "to").distinct())
+    both = checkpoint(both_ways(edges).filter(F.col("from") != F.col("to")).select("from", "to").distinct())
     label = both.select(F.col("from").alias("vid")).distinct().withColumn("label", F.col("vid"))
     for _ in range(rounds):
         votes = both.join(label, both["to"] == label["vid"]).groupBy("from", "label").agg(F.count("*").alias("n"))
-        label = _cut(votes.groupBy(F.col("from").alias("vid")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
+        label = checkpoint(votes.groupBy(F.col("from").alias("vid")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
     return label
 
 

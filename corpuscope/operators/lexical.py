@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions import paths, text
+from corpuscope.session import checkpoint, spread
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
@@ -16,37 +17,74 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
     return own.groupBy("node_id", "start_line", "end_line").agg(F.min_by(F.struct(*own.columns), "position").alias("r")).select("r.*")
 
 
+#: Files of a stored index that terms (or trigrams) are dealt to by hash.
+BUCKETS = 64
+
+
 def postings(docs: DataFrame, key: str, content: str) -> DataFrame:
     """(key, term, tf, dl): one shuffle; partial counts are made before it."""
-    terms = docs.select(key, F.explode(text.code_tokens(F.col(content))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    own = spread(docs.select(key, content)).select(key, text.code_tokens(F.col(content)).alias("tokens"))
+    terms = own.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(docs: DataFrame, key: str, content: str, query: list[str], k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(key, score) of the documents with some query term; repeated query terms count again.
+def _weights(stats: DataFrame, query: list[str], epsilon: float) -> DataFrame:
+    """(term, weight, avgdl) of a query's terms, from (term, df, n, tokens): the same corpus totals in each row.
 
-    Only the query's postings are kept per document. Vocabulary means (for the floor of negative idf)
-    come from one term count table.
+    Negative idf becomes ``epsilon`` times the vocabulary's mean; repeated query terms count again.
     """
-    own = docs.select(key, text.code_tokens(F.col(content)).alias("tokens"))
-    sized = own.select(key, F.size("tokens").alias("dl"), "tokens")
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = sized.select(key, F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    idf = stats.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), (F.col("tokens") / F.col("n")).alias("avgdl"))
     floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
-    wanted = sorted(set(query))
-    weights = idf.filter(F.col("term").isin(wanted)).crossJoin(F.broadcast(floor)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    times = F.create_map(*[F.lit(x) for t in wanted for x in (t, float(query.count(t)))])
-    counts = sized.select(
-        key, "dl", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("tokens", _equals(t))).alias("tf")) for t in wanted])).alias("p")
-    ).select(key, "dl", "p.term", "p.tf")
-    hits = counts.filter("tf > 0").join(F.broadcast(weights), "term").crossJoin(F.broadcast(totals))
-    part = times[F.col("term")] * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    times = F.create_map(*[F.lit(x) for t in sorted(set(query)) for x in (t, float(query.count(t)))])
+    wanted = idf.filter(F.col("term").isin(sorted(set(query)))).crossJoin(F.broadcast(floor))  # one row
+    return wanted.select("term", (times[F.col("term")] * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight"), "avgdl")
+
+
+def _scored(hits: DataFrame, key: str, k1: float, b: float) -> DataFrame:
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(key).agg(F.sum(part).alias("score"))
 
 
-def _equals(term: str):
-    return lambda x: x == term
+def term_stats(docs: DataFrame, content: str) -> DataFrame:
+    """(term, df, n, tokens): document counts of terms, and in each row the number of documents and of all tokens."""
+    tokens = spread(docs.select(content)).select(text.code_tokens(F.col(content)).alias("tokens"))
+    # a term that no text can hold stands for all documents, so that one pass gives terms and totals
+    each = tokens.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("\0")), F.array_distinct("tokens"))).alias("term"))
+    counted = checkpoint(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("tokens")))  # one row a term, asked for twice
+    total = counted.filter(F.col("term") == "\0").select(F.col("df").alias("n"), "tokens")
+    return counted.filter(F.col("term") != "\0").select("term", "df").crossJoin(F.broadcast(total))  # one row
+
+
+def bm25(docs: DataFrame, key: str, content: str, query: list[str], k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(key, score) of the documents with some query term; repeated query terms count again.
+
+    For a corpus without a stored index: one pass for the corpus statistics, one for the query's own postings.
+    """
+    weights = _weights(term_stats(docs, content), query, epsilon)
+    own = spread(docs.select(key, content)).select(key, text.code_tokens(F.col(content)).alias("tokens"))
+    found = own.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).filter(F.col("term").isin(sorted(set(query))))
+    counts = found.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _scored(counts.join(F.broadcast(weights), "term"), key, k1, b)  # one row a query term
+
+
+def _bucket(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+
+
+def write_bm25(docs: DataFrame, key: str, content: str, path: str) -> None:
+    """A stored index: postings by bucket of their term, and term statistics. Written whole; it replaces what was there."""
+    rows = postings(docs, key, content).withColumn("bucket", _bucket("term"))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    term_stats(docs, content).write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def bm25_stored(spark: SparkSession, path: str, key: str, query: list[str], k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """As ``bm25``, from a stored index: only the buckets of the query's terms are opened."""
+    wanted = sorted(set(query))
+    buckets = [r.b for r in spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket("term").alias("b")).distinct().collect()]  # of the query
+    own = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
+    weights = _weights(spark.read.parquet(f"{path}/terms"), query, epsilon)
+    return _scored(own.join(F.broadcast(weights), "term"), key, k1, b)  # one row a query term
 
 
 def bm25_search(docs: DataFrame, key: str, content: str, query: list[str], top_k: int, max_k: int = 15, keep=None) -> DataFrame:
@@ -113,12 +151,26 @@ def glob(files: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
 def trigram_table(files: DataFrame, key: str = "file", content: str = "content") -> DataFrame:
     """(trigram, key): an index to write once, by trigram."""
     # characters as an array: reaching into a string by position would scan it from the start each time
-    own = files.filter(F.length(content) >= 3).select(key, F.split(F.lower(content), "").alias("__c"))
+    own = spread(files.filter(F.length(content) >= 3).select(key, content)).select(key, F.split(F.lower(content), "").alias("__c"))
     at = lambda i: F.get(F.col("__c"), i)
     grams = F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
     return own.select(key, F.explode(F.array_distinct(grams)).alias("trigram"))
 
 
+def write_trigrams(files: DataFrame, path: str, key: str = "file", content: str = "content") -> None:
+    """The trigram index stored by bucket of the trigram. Written whole; it replaces what was there."""
+    rows = trigram_table(files, key, content).withColumn("bucket", _bucket("trigram"))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "trigram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored_trigrams(spark: SparkSession, path: str, needle: str) -> DataFrame:
+    """(trigram, key) of a stored index for a needle: only the buckets of its trigrams are opened."""
+    low = needle.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    buckets = [r.b for r in spark.createDataFrame([(g,) for g in grams], "trigram string").select(_bucket("trigram").alias("b")).distinct().collect()]  # of the needle
+    return spark.read.parquet(path).filter(F.col("bucket").isin(buckets) & F.col("trigram").isin(grams)).drop("bucket")
+
+
 def trigram_search(files: DataFrame, needle: str, index: DataFrame | None = None) -> DataFrame:
     """Files that hold a string, one row each: lines from and to (from 1) and ``L<n>:`` fragments.
 
@@ -169,10 +221,3 @@ def predicate_scores(rows: DataFrame, query: list[str], limit: int) -> DataFrame
     own = F.when(F.col("rank") == 1, 4).otherwise(3) + F.size(F.array_intersect(terms, F.array(*[F.lit(q) for q in query])))
     best = names.withColumn("score", own).groupBy("identifier").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), (-F.col("branch")).alias("b"))).alias("best"))
     return best.select("identifier", F.col("best.score").cast("long").alias("score"), (-F.col("best.r")).cast("long").alias("rank")).orderBy(F.desc("score"), "rank", "identifier").limit(limit)
-
-
-def register(spark: SparkSession) -> None:
-    """SQL-callable helpers."""
-    from pyspark.sql.types import BooleanType
-
-    spark.udf.register("glob_match", lambda p, g: p is not None and re.match(paths.glob_to_regex(g), p) is not None, BooleanType())

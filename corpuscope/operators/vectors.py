@@ -104,10 +104,36 @@ def ivf_centroids(vectors: DataFrame, nlist: int = 16, rounds: int = 5, seed: in
     return vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "list_id int, centroid array<double>")
 
 
+def _nearest_list(vector, centroids) -> Column:
+    """The list of the centroid nearest to a vector; ties to the first."""
+    scores = F.transform(centroids, lambda c: dot(vector, c["centroid"]) - dot(c["centroid"], c["centroid"]) / 2)
+    return F.transform(F.array(scores), lambda s: F.get(centroids, F.array_position(s, F.array_max(s)).cast("int") - 1)["list_id"])[0]
+
+
+def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``vectors`` with the list_id of each: centroids go round as one row, so vectors stay where they lie."""
+    whole = centroids.agg(F.sort_array(F.collect_list(F.struct("list_id", "centroid"))).alias("__c"))
+    return vectors.crossJoin(F.broadcast(whole)).withColumn("list_id", _nearest_list("embedding", F.col("__c"))).drop("__c")
+
+
+def write_ivf(vectors: DataFrame, centroids: DataFrame, path: str) -> None:
+    """An inverted file stored by list. Written whole; it replaces what was there."""
+    ivf_assign(vectors, centroids).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def ivf_stored(spark: SparkSession, path: str, query: DataFrame, k: int, nprobe: int = 4, key: str = "vec_id") -> DataFrame:
+    """The ``k`` best of the ``nprobe`` lists nearest to a query; no other list is opened."""
+    centroids = spark.read.parquet(f"{path}/centroids")
+    q = query.select(F.col("embedding").alias("__q")).limit(1)
+    near = centroids.crossJoin(F.broadcast(q)).orderBy(F.desc(dot("centroid", "__q") - dot("centroid", "centroid") / 2), "list_id").limit(nprobe)
+    probes = [r.list_id for r in near.select("list_id").collect()]  # nprobe numbers
+    return search(spark.read.parquet(f"{path}/lists").filter(F.col("list_id").isin(probes)).drop("list_id"), query, k, key)
+
+
 def ivf_search(vectors: DataFrame, centroids: DataFrame, query: DataFrame, k: int, nprobe: int = 4, key: str = "vec_id") -> DataFrame:
     """Vectors are assigned to their nearest centroid (a table of fixed size); a query visits ``nprobe`` lists."""
-    near = F.max_by("list_id", dot("embedding", "centroid") - dot("centroid", "centroid") / 2)
-    lists = vectors.select(key, "embedding").crossJoin(F.broadcast(centroids)).groupBy(key).agg(near.alias("list_id"))
     q = query.select(F.col("embedding").alias("__q")).limit(1)
     probes = centroids.crossJoin(F.broadcast(q)).orderBy(F.desc(dot("centroid", "__q") - dot("centroid", "centroid") / 2), "list_id").limit(nprobe).select("list_id")
-    return search(vectors.join(lists.join(F.broadcast(probes), "list_id", "left_semi"), key), query, k, key)
+    own = ivf_assign(vectors, centroids).join(F.broadcast(probes), "list_id", "left_semi").drop("list_id")
+    return search(own, query, k, key)

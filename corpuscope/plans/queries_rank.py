@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuscope.operators import filters, intervals, ranking, vectors
 from corpuscope.plans.registry import query
 from corpuscope.plans.views import CANDIDATES_SQL, FILES_SQL, POINTS_SQL, SPANS_SQL, candidates, files, points, spans, table
+from corpuscope.session import shared_folder
 from corpuscope.sources import repository
 
 
@@ -234,6 +237,14 @@ def ivf_search(spark, sf):
     return vectors.ivf_search(e, vectors.ivf_centroids(e), q, 10).select("vec_id", F.round("score", 5).alias("score"))
 
 
+@query()
+def ivf_stored(spark, sf):
+    e, q = _emb(spark, sf)
+    path = f"{shared_folder(spark)}/views/ivf-{uuid.uuid4().hex}"
+    vectors.write_ivf(e.select("vec_id", "embedding"), vectors.ivf_centroids(e), path)
+    return vectors.ivf_stored(spark, path, q, 10).select("vec_id", F.round("score", 5).alias("score"))
+
+
 @query("SELECT count(*) AS pairs, CAST(sum(a.id) AS BIGINT) AS left_sum, CAST(sum(b.id) AS BIGINT) AS right_sum FROM spans a JOIN spans b ON a.file = b.file AND a.s <= b.e AND b.s <= a.e", SPANS_SQL)
 def interval_overlap(spark, sf):
     a = spans(spark, sf).select("file", F.col("s").alias("ls"), F.col("e").alias("le"), F.col("id").alias("left_id"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuscope.functions import paths, text
 from corpuscope.operators import filters, lexical
 from corpuscope.plans.registry import query
 from corpuscope.plans.views import FILES_SQL, files, table
+from corpuscope.session import shared_folder, spread
 from corpuscope.sources import repository
 
 TOK = "list_transform(list_filter(string_split_regex(replace({}, '()', ''), '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(x))"
@@ -16,7 +19,7 @@ BM25_TERMS = ["licensed", "under", "the", "apache", "license", "license"]
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
 def code_tokens(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", text.code_tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.code_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -39,6 +42,15 @@ def bm25_topk(spark, sf):
     return s.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(BM25_SQL + "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 50")
+def bm25_stored(spark, sf):
+    """Build the stored index, then answer from it."""
+    path = f"{shared_folder(spark)}/views/bm25-{uuid.uuid4().hex}"
+    lexical.write_bm25(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", path)
+    s = lexical.bm25_stored(spark, path, "doc_id", BM25_TERMS)
+    return s.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(BM25_SQL + ", c AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 15) SELECT doc_id, 0.0::DOUBLE AS score, round(score, 6) AS bm25 FROM c WHERE doc_id % 2 = 0 ORDER BY c.score DESC, doc_id LIMIT 5")
 def bm25_search_capped(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -48,7 +60,7 @@ def bm25_search_capped(spark, sf):
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL HAVING count(*) >= 20")
 def postings_heavy_terms(spark, sf):
-    return lexical.postings(table(spark, sf, "documents"), "doc_id", "text").filter("tf >= 20")
+    return lexical.postings(table(spark, sf, "documents"), "doc_id", "text").filter("tf >= 20").select("doc_id", "term", "tf")
 
 
 @query(
@@ -126,14 +138,22 @@ def glob_files(spark, sf):
     return lexical.glob(files(spark, sf), "src1*/src/mod*.py")
 
 
-@query(
-    r"""SELECT file, CAST(min(n) AS BIGINT) AS first_line, CAST(max(n) AS BIGINT) AS last_line, string_agg('L' || n || ': ' || line, chr(10) ORDER BY n) AS fragments
-FROM (SELECT file, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files) WHERE contains(lower(line), 'mit license') GROUP BY file""",
-    FILES_SQL,
-)
+TRIGRAM_SQL = r"""SELECT file, CAST(min(n) AS BIGINT) AS first_line, CAST(max(n) AS BIGINT) AS last_line, string_agg('L' || n || ': ' || line, chr(10) ORDER BY n) AS fragments
+FROM (SELECT file, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files) WHERE contains(lower(line), 'mit license') GROUP BY file"""
+
+
+@query(TRIGRAM_SQL, FILES_SQL)
 def trigram_search(spark, sf):
-    f = files(spark, sf).select("file", "content")
-    return lexical.trigram_search(f, "MIT License", lexical.trigram_table(f))
+    """Without an index every file is looked at once."""
+    return lexical.trigram_search(files(spark, sf).select("file", "content"), "MIT License")
+
+
+@query(TRIGRAM_SQL, FILES_SQL)
+def trigram_stored(spark, sf):
+    """Build the stored index, then open only the files that hold all trigrams."""
+    f, path = files(spark, sf).select("file", "content"), f"{shared_folder(spark)}/views/trigrams-{uuid.uuid4().hex}"
+    lexical.write_trigrams(f, path)
+    return lexical.trigram_search(f, "MIT License", lexical.stored_trigrams(spark, path, "MIT License"))
 
 
 @query(
