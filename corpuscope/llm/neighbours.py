@@ -58,9 +58,10 @@ class PStableTables:
             cross = np.stack([inside[:, j] ** 2, np.zeros(len(unit)), (1 - inside[:, j]) ** 2], 1)
             cost = (cost[:, :, None] + cross[:, None, :]).reshape(len(unit), -1)
             key = (key[:, :, None] + np.array([-1, 0, 1]) * self.radix[j]).reshape(len(unit), -1)
-            best = np.argsort(cost, axis=1, kind="stable")[:, :n]
-            cost, key = np.take_along_axis(cost, best, 1), np.take_along_axis(key, best, 1)
-        return key
+            if cost.shape[1] > n:
+                best = np.argpartition(cost, n - 1, axis=1)[:, :n]
+                cost, key = np.take_along_axis(cost, best, 1), np.take_along_axis(key, best, 1)
+        return np.take_along_axis(key, np.argsort(cost, axis=1, kind="stable"), 1)
 
 
 ROWS = "dim int, t int, g int, kind int, id long, keys binary, v binary"
@@ -249,7 +250,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TAB
     than ``k`` in its buckets is compared with all vectors. Empty tables: no rows.
     """
     vectors = _usable(vectors)
-    asked = checkpoint(_usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
+    spread = vectors.sparkSession.sparkContext.defaultParallelism
+    asked = checkpoint(_usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).repartition(spread, "vec_id"))
     groups = max(1, -(-vectors.count() // group_vectors))
     params = (groups, tables, projections, cell, probes)
     found = checkpoint(_nearest(vectors.mapInPandas(_hashed(VECTOR, *params), ROWS), asked.mapInPandas(_hashed(QUERY, *params), ROWS), k))
