@@ -3,23 +3,35 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.session import checkpoint  # noqa: F401  the operators take it from here
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager)
+#: Bits of the sieve that rows pass before they are joined with what is wanted of them.
+SIEVE_BITS = 24
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """``rows`` without most of those whose ``on`` is not in ``wanted``: a bitmap of fixed size, in a broadcast join.
+
+    No row of ``wanted`` is lost; a join has to follow. Null keys go.
+    """
+    slot = F.pmod(F.xxhash64(on), F.lit(1 << SIEVE_BITS))
+    bits = wanted.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("__bucket")).agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("__bits"))
+    spot = slot % 32768
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.expr("shiftright(__byte, __bit) & 1") == 1
+    out = rows.filter(F.col(on).isNotNull()).withColumn("__bucket", F.expr(f"pmod(xxhash64({on}), {1 << SIEVE_BITS}) div 32768"))
+    out = out.join(F.broadcast(bits), "__bucket")  # at most 2 ** SIEVE_BITS bits
+    return out.withColumn("__byte", byte).withColumn("__bit", (spot % 8).cast("int")).filter(known).select(*rows.columns)
 
 
 def worker_cache(key, make):

@@ -5,8 +5,9 @@ first. Two sets whose similarity reaches the threshold must share n-grams among
 (their prefixes), so the product runs over the prefixes: overlap counts are accumulated by pair, and
 pairs whose count is below the bound that their sizes imply go. n-grams in very many prefixes would
 make all pairs of a group; there each document is tied to one of like size instead, by star. What is left
-ties classes into small clusters. A second product over the whole sets, block by block within a cluster,
-decides every pair that could still join two components.
+ties classes into small clusters. A second product over the whole sets decides every pair within a cluster
+that could still join two components. A large cluster is cut in blocks: first each block is linked within
+and with some heads of the cluster; then only what is not of the largest component meets the other blocks.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import byte_table, checkpoint, joined_words, mix64, slices
+from corpuscope.llm.common import byte_table, checkpoint, joined_words, mix64, sieved, slices
 from corpuscope.llm.components import connected_components
 
 #: Words are runs of anything but ASCII white space; A-Z count as a-z.
@@ -27,11 +30,12 @@ SEPARATORS = [0x20, *range(0x09, 0x0E)]
 #: n-grams are counted in so many hash buckets for the global order: a table of fixed size.
 ORDER_BITS = 18
 
-#: From so many classes with an n-gram in their prefix on, stars replace pairs.
+#: From so many classes with an n-gram in their prefix on, stars replace pairs; from so many in one batch on, before the shuffle.
 HOT = 48
 
-#: n-grams of the sets that meet in one block of a cluster.
+#: n-grams of the sets that meet in one block of a cluster; classes of a large cluster that every block meets.
 BLOCK_NGRAMS = 2_000_000
+HEADS = 4
 
 SLICE_CHARS = 1 << 20
 
@@ -87,12 +91,40 @@ def _bucket_counts(n: int, table):
     return run
 
 
-def _prefixes(n: int, theta: int, table, order):
+def tied_here(gram: np.ndarray, key: np.ndarray, band: np.ndarray, here: int):
+    """Of a batch's prefix rows: which to send, which are of an n-gram that is common here, and ties (row, other row).
+
+    Sizes are alike if their bands are at most one apart. Of an n-gram with more than ``here`` rows each row is
+    tied to the first of those in its band or the one before, and of those in its band or the next; rows that
+    are first nowhere stay behind.
+    """
+    send, hot = np.ones(len(gram), bool), np.zeros(len(gram), bool)
+    _, of, count = np.unique(gram, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(count[of.ravel()] > here)
+    if not len(own):
+        return send, hot, own, own
+    hot[own], send[own] = True, False
+    row, group = np.append(own, own), np.append(band[own], band[own] + 1)
+    order = np.lexsort((key[row], group, gram[row]))
+    row, group = row[order], group[order]
+    new = np.append(True, (gram[row[1:]] != gram[row[:-1]]) | (group[1:] != group[:-1]))
+    head = row[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+    send[row[new]] = True
+    return send, hot, row[~new], head[~new]
+
+
+PREFIXES = "gram long, class long, n long, band int, hot boolean, tie long"
+
+
+def _prefixes(n: int, theta: int, table, order, here: int):
+    """Prefix rows, and ties between classes (``tie`` is the other one) in place of those of n-grams common in a batch."""
+    step = math.log(100 / theta) * 1.0001  # like sizes are at most one band apart
+
     def run(batches):
         counts, seen = order.value, set()
-        for pdf in batches:
+        for batch in batches:
             grams, classes, sizes = [], [], []
-            for s in shingle_sets(pdf["text"].tolist(), n, table):
+            for s in shingle_sets(batch.column("text").to_pylist(), n, table):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)  # copies in one partition: once
@@ -102,8 +134,17 @@ def _prefixes(n: int, theta: int, table, order):
                 grams.append(g)
                 classes.append(np.full(p, c))
                 sizes.append(np.full(p, len(s)))
-            if grams:
-                yield pd.DataFrame({"gram": np.concatenate(grams).view(np.int64), "class": np.concatenate(classes), "n": np.concatenate(sizes).astype(np.int64)})
+            if not grams:
+                continue
+            gram, key, size = np.concatenate(grams).view(np.int64), np.concatenate(classes), np.concatenate(sizes).astype(np.int64)
+            band = np.floor(np.log(size) / step).astype(np.int32)
+            send, hot, one, two = tied_here(gram, key, band, here)
+            ties = np.unique(np.column_stack([key[one], key[two]]), axis=0) if len(one) else np.zeros((0, 2), np.int64)
+            rest = np.zeros(len(ties), np.int64)
+            # a tie travels by its class
+            columns = [np.append(gram[send], ties[:, 0]), np.append(key[send], ties[:, 0]), np.append(size[send], rest), np.append(band[send], rest).astype(np.int32), np.append(hot[send], rest > 0)]
+            tie = pa.array(np.append(np.zeros(int(send.sum()), np.int64), ties[:, 1]), mask=np.append(np.ones(int(send.sum()), bool), rest > 0))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), tie], names=["gram", "class", "n", "band", "hot", "tie"])
 
     return run
 
@@ -113,17 +154,18 @@ def _sets(n: int, table):
         for pdf in batches:
             sets = list(shingle_sets(pdf["text"].tolist(), n, table))
             same = [len(s) > 0 and class_of(s) == c for s, c in zip(sets, pdf["class"].tolist())]
-            out = pdf[["root", "class", "blocks"]].assign(grams=[s.tobytes() for s in sets])
+            out = pdf[["root", "class", "blocks", "head"]].assign(grams=[s.tobytes() for s in sets])
             yield out[same]
 
     return run
 
 
-def link_block(keys: np.ndarray, sets: list[np.ndarray], theta: int) -> list[tuple[int, int]]:
+def link_block(keys: np.ndarray, sets: list[np.ndarray], theta: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest, as (key, root key), of the links among some sets.
 
     Rows of the sparse product are made one by one, by the set's postings. A row is needed only while
-    some set without a row of its own lies in another component.
+    some set without a row of its own lies in another component. ``known`` labels sets that are of one
+    component already.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets])
@@ -136,9 +178,11 @@ def link_block(keys: np.ndarray, sets: list[np.ndarray], theta: int) -> list[tup
     post_begin = post_end - df
     at = np.concatenate(([0], np.cumsum(size)))
     central = np.add.reduceat(df[gram].astype(np.float64), at[:-1]) / size
-    root = np.arange(m)  # of each set, kept flat
+    # of each set, kept flat
+    root = np.arange(m) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1].ravel()]
+    given = root.copy()
     open_ = np.ones(m, bool)
-    i = int(central.argmax())
+    i = int(central.argmax()) if known is None else int(np.bincount(root, minlength=m)[root].argmin())
     while True:
         open_[i] = False
         g = gram[at[i] : at[i + 1]]
@@ -157,13 +201,16 @@ def link_block(keys: np.ndarray, sets: list[np.ndarray], theta: int) -> list[tup
             break  # every pair still open lies within one component
         own = members[root[rest]]
         i = int(rest[np.lexsort((-central[rest], own))[0]])  # the smallest component first
-    return [(int(keys[k]), int(keys[root[k]])) for k in range(m) if root[k] != k]
+    if known is None:
+        return [(int(keys[k]), int(keys[root[k]])) for k in range(m) if root[k] != k]
+    return [(int(keys[k]), int(keys[root[k]])) for k in np.unique(given).tolist() if root[k] != k]
 
 
 def _link_group(theta: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("class").sort_values("class")
-        links = link_block(pdf["class"].to_numpy(), [np.frombuffer(b, np.uint64) for b in pdf["grams"]], theta) if len(pdf) > 1 else []
+        known = pdf["label"].to_numpy() if "label" in pdf else None
+        links = link_block(pdf["class"].to_numpy(), [np.frombuffer(b, np.uint64) for b in pdf["grams"]], theta, known) if len(pdf) > 1 else []
         return pd.DataFrame(links, columns=["a", "b"]).astype(np.int64)
 
     return run
@@ -174,13 +221,16 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
 
     ``component_id`` is the smallest doc_id of the component. A text of fewer than ``n`` words has its
     whole sequence as its one n-gram; null texts and texts without words are empty and linked with
-    nothing. Equal texts are linked; repeated rows come back as often. All texts are read whole.
+    nothing. Equal texts are linked; repeated rows come back as often. Rows without an id take part in
+    links, but name no component: theirs is the smallest id in it, or null. All texts are read whole.
     Intermediate tables: prefixes (about 100 - theta % of the n-grams, one row each), candidate pairs,
     and the sets of those classes alone that are in a cluster. Keys are 64-bit hashes.
     """
     table = byte_table(SEPARATORS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = checkpoint(docs.select("doc_id", _classes(n, table)("text").alias("s")).select("doc_id", "s.n", "s.class"))
+    # rows without an id are told apart by their text
+    rid = F.coalesce("doc_id", F.xxhash64("text")).alias("rid")
+    keyed = checkpoint(docs.select("doc_id", rid, _classes(n, table)("text").alias("s")).select("doc_id", "rid", "s.n", "s.class"))
     text = docs.select("text")
 
     # the order: bucket counts over all documents, a table of fixed size
@@ -190,9 +240,8 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
         counts[row.bucket] = row.n
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
-    prefixes = text.mapInPandas(_prefixes(n, theta, table, order), "gram long, class long, n long")
-    prefixes = checkpoint(_shared(prefixes))
-    cool = prefixes.filter(f"df <= {HOT}").select("gram", "class", "n")
+    prefixes = checkpoint(_shared(text.mapInArrow(_prefixes(n, theta, table, order, HOT), PREFIXES)))
+    cool = prefixes.filter(f"tie is null and not hot and df <= {HOT}").select("gram", "class", "n")
     x, y = cool.alias("x"), cool.alias("y")
     pairs = (
         x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.n") * 100 >= F.col("y.n") * theta) & (F.col("y.n") * 100 >= F.col("x.n") * theta))
@@ -203,27 +252,50 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
     beyond = lambda c: F.expr(f"{c} - ({c} - ceil({theta} * {c} / 100D) + 1)")
     least = F.ceil(F.lit(theta) * (F.col("na") + F.col("nb")) / F.lit(100.0 + theta) - 1e-9)
     pairs = pairs.filter(F.col("c") >= least - F.greatest(beyond("na"), beyond("nb")))
-    step = math.log(100 / theta) * 1.0001  # like sizes are at most one band apart
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    hot = prefixes.filter(f"df > {HOT}").select("gram", "class", F.explode(F.array(band, band + 1)).alias("band"))
+    hot = prefixes.filter(f"tie is null and (hot or df > {HOT})").select("gram", "class", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     star = hot.groupBy("gram", "band").agg(F.min("class").alias("b"))
     stars = hot.join(star, ["gram", "band"]).select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
+    stars = stars.unionByName(prefixes.filter("tie is not null").select(F.col("class").alias("a"), F.col("tie").alias("b")))
     clusters = checkpoint(connected_components(pairs.select("a", "b").union(stars)))
 
     # whole sets of the classes in a cluster, in blocks
-    some = keyed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
-    own = clusters.join(some, clusters["node"] == some["class"]).select("root", "class", "doc_id", "n")
-    blocks = own.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_NGRAMS))).cast("int").alias("blocks"))
-    own = own.join(blocks, "root")
+    id_or_text = F.min(F.when(F.col("doc_id").isNull(), F.col("rid")))
+    some = keyed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), id_or_text).alias("rid"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    own = clusters.join(some, clusters["node"] == some["class"]).select("root", "class", "rid", "n")
+    sizes = own.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_NGRAMS))).cast("int").alias("blocks"))
+    own = own.join(sizes, "root").withColumn("head", F.lit(False))
+    large = checkpoint(own.filter("blocks > 1"))
+    some_large = not large.isEmpty()
+    if some_large:
+        first = large.groupBy("root").agg(F.array(*[F.min_by("class", F.xxhash64("class", F.lit(i))) for i in range(HEADS)]).alias("heads"))
+        own = own.join(first, "root", "left").withColumn("head", F.coalesce(F.array_contains("heads", F.col("class")), F.lit(False)))
+    own = own.select("root", "class", "rid", "blocks", "head")
     # a map over rows, not a function of the text: that would be evaluated for all texts, below the join
-    picked = own.join(docs, "doc_id").select("root", "class", "blocks", "text").mapInPandas(_sets(n, table), "root long, class long, blocks int, grams binary")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = picked.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "grams")
-    links = dealt.groupBy("root", "i", "j").applyInPandas(_link_group(theta), "a long, b long")
-    links = checkpoint(links)
-    # roots within single-block clusters are final; blocks of one cluster are joined by their forests
-    roots = connected_components(links) if blocks.filter("blocks > 1").limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    texts = sieved(docs.select(rid, "text"), own, "rid")
+    picked = own.join(texts, "rid").select("root", "class", "blocks", "head", "text").mapInPandas(_sets(n, table), "root long, class long, blocks int, head boolean, grams binary")
+    if some_large:
+        picked = checkpoint(picked)
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("i")
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
+    dealt = picked.select("root", block, "class", "grams")
+    if some_large:
+        dealt = dealt.unionByName(picked.filter("head").select("root", everywhere, "class", "grams"))
+    links = checkpoint(dealt.groupBy("root", "i").applyInPandas(_link_group(theta), "a long, b long"))
+    if some_large:
+        # what is outside the largest component of its cluster meets every block of it
+        roots = connected_components(links)
+        labelled = checkpoint(large.select(F.col("root").alias("cluster"), "class", "n", "blocks").join(roots, F.col("class") == F.col("node"), "left").select("cluster", "class", "n", "blocks", F.coalesce("root", "class").alias("label")))
+        most = labelled.groupBy("cluster", "label").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
+        open_ = labelled.join(most.filter("labels > 1"), "cluster")
+        rest = open_.filter("label <> most").groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_NGRAMS))).cast("int").alias("parts"))
+        sets = picked.select(F.col("root").alias("cluster"), "class", "grams").join(open_.join(rest, "cluster"), ["cluster", "class"])
+        part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+        there = sets.select("cluster", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "class", "label", "grams")
+        here = sets.filter("label <> most").withColumn("j", part).select("cluster", everywhere, "j", "class", "label", "grams")
+        links = links.unionByName(checkpoint(there.unionByName(here).groupBy("cluster", "i", "j").applyInPandas(_link_group(theta), "a long, b long")))
+        roots = connected_components(links)
+    else:  # roots within single-block clusters are final
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
     classes = some.join(roots, some["class"] == roots["node"], "left").select("class", "doc_id", "copies", F.coalesce("root", "class").alias("root"))
     first = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members"))
@@ -234,10 +306,11 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Distinct prefix rows of the n-grams that two classes or more have there, with how many do."""
+    """Distinct prefix rows of the n-grams that two classes or more have there, with how many do; and ties."""
     rows = prefixes.repartition("gram").distinct()
-    df = rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    return rows.join(df, "gram")
+    of = W.partitionBy("gram")
+    counted = rows.withColumn("df", F.count("*").over(of)).withColumn("hot", F.max("hot").over(of))
+    return counted.filter("df > 1 or hot or tie is not null")
 
 
 def report(docs: DataFrame, n: int = 3, theta: int = 90) -> DataFrame:

@@ -403,6 +403,26 @@ def test_jaccard_matches_all_pairs(spark, n, theta, monkeypatch):
     if n == 5:
         monkeypatch.setattr(jaccard, "BLOCK_NGRAMS", 3000)  # clusters of several blocks
         assert sorted(map(tuple, jaccard.components(docs, n, theta).collect())) == want
+        monkeypatch.setattr(jaccard, "HOT", 3)  # n-grams that are common in a batch
+        assert sorted(map(tuple, jaccard.components(docs, n, theta).collect())) == want
+
+
+def test_jaccard_chains_across_blocks(spark, monkeypatch):
+    """Documents that are linked through others alone, in a cluster of several blocks."""
+    t = words(60, 70, 5000).split()
+    rows = []
+    for i in range(40):  # each changes one more word than the one before
+        rows.append((i, " ".join(t)))
+        t[(7 * i) % 60] = f"step{i}"
+    rows += [(100 + i, words(60, 71, 5000)) for i in range(3)] + [(None, rows[5][1]), (None, words(60, 71, 5000) + " more")]
+    monkeypatch.setattr(jaccard, "BLOCK_NGRAMS", 200)
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    for theta in (80, 90):
+        got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, theta).collect()
+        named = [(i, x) for i, x in rows if i is not None]
+        want = {d: c for d, _, c in plain_components(named, 5, theta)}
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+        assert sorted(r.component_id for r in got if r.doc_id is None) == sorted([want[5], want[100]])
 
 
 def test_jaccard_keep_one_odd(odd, none):
