@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import byte_table, joined_words, mix64, slices
+from corpuscope.llm.common import byte_table, checkpoint, joined_words, mix64, slices
 
 #: Bytes between words once A-Z are lower case: every ASCII character but digits and letters.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -17,7 +17,7 @@ SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 DEPTH = 16
 
 #: Characters of test text in one broadcast block; a larger test set is searched block after block.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 
 #: Characters of training text in one shard.
 SHARD_CHARS = 2_000_000
@@ -47,6 +47,20 @@ def _seed(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix64(h) & np.uint64((1 << 22) - 1)
 
 
+def suffix_ranks(words: np.ndarray) -> np.ndarray:
+    """The place of each suffix of a sequence in their order, by doubling; suffixes alike to the end of doubling share one."""
+    rank, n, k = np.unique(words, return_inverse=True)[1].ravel().astype(np.int64), 0, 1
+    while k < 2 * len(words):
+        later = np.zeros(len(rank), np.int64)
+        later[:-k or None] = rank[k:] + 1 if k < len(rank) else 0
+        known, rank = np.unique(rank * (len(rank) + 1) + later, return_inverse=True)
+        rank = rank.ravel().astype(np.int64)
+        if len(known) == n or len(known) == len(rank):
+            break
+        n, k = len(known), 2 * k
+    return rank
+
+
 class TestSuffixes:
     """The suffixes of one block of test items, those with equal windows together."""
 
@@ -72,7 +86,8 @@ class TestSuffixes:
         keys = self.words[at[:, None] + np.arange(window)]
         keys[np.arange(window) >= need[:, None]] = 0
         packed = np.ascontiguousarray(np.column_stack([need, keys]).astype(">u4")).view(f"S{4 * (window + 1)}").ravel()
-        order = np.argsort(packed, kind="stable")
+        # suffixes with one window come in the order of what follows
+        order = np.lexsort((suffix_ranks(self.words)[at], packed)) if len(at) else np.zeros(0, np.int64)
         new = np.ones(len(order), bool)
         new[1:] = packed[order][1:] != packed[order][:-1]
         begin = np.flatnonzero(new)
@@ -116,19 +131,31 @@ class TestSuffixes:
         count = (hi - lo)[found]
         which = np.repeat(found, count)
         p = at[np.repeat(lo[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        longest, longest_text = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        rest, j = np.arange(len(p)), 0
-        while len(rest):  # the j-th of the suffixes that begin with the window
-            rest = rest[self.begin[which[rest]] + j < self.begin[which[rest] + 1]]
-            s = self.begin[which[rest]] + j
-            n = self._follow(words, p[rest], self.suffix_at[s], self.need[which[rest]])
-            better = n > longest[rest]
-            longest[rest[better]], longest_text[rest[better]] = n[better], self.suffix_text[s[better]]
-            j += 1
+        longest, longest_text = self._longest(words, p, which)
         ends = first[1:] + np.arange(1, len(first))  # of the texts, each one followed by a gap
         doc = np.searchsorted(ends, p, side="right")
         return doc, p - first[doc] - doc, which, longest, longest_text
 
+    def _longest(self, words, p, which):
+        """The longest match of each place with the suffixes of its window: binary search among them, in their order.
+
+        The longest lies next to where the place's own suffix would stand.
+        """
+        longest, best = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        lo, hi = self.begin[which].copy(), self.begin[which + 1].copy()
+        on = np.arange(len(p))
+        while len(on):
+            middle = (lo[on] + hi[on]) // 2
+            q = self.suffix_at[middle]
+            n = self._follow(words, p[on], q, self.need[which[on]])
+            better = n > longest[on]
+            longest[on[better]], best[on[better]] = n[better], middle[better]
+            a, b = p[on] + n, q + n
+            beyond = np.where(a < len(words), words[np.minimum(a, len(words) - 1)], 0) > np.where(b < len(self.words), self.words[np.minimum(b, len(self.words) - 1)], 0)
+            lo[on[beyond]], hi[on[~beyond]] = middle[beyond] + 1, middle[~beyond]
+            on = on[lo[on] < hi[on]]
+        return longest, self.suffix_text[best]
+
     def _follow(self, words, p, q, n):
         n = n.copy()
         on = np.arange(len(p))
@@ -174,6 +201,49 @@ def _search_texts(texts: list, blocks, table: np.ndarray) -> list[tuple]:
     return [(n, spans, sorted(items), most, start, item) for n, spans, items, most, start, item in out]
 
 
+def _matches(blocks, table):
+    def run(batches):
+        for texts in batches:
+            texts, rows = texts.tolist(), []
+            for a, b in slices(texts, SHARD_CHARS):
+                rows += _search_texts(texts[a:b], [x.value for x in blocks], table)
+            yield pd.DataFrame(rows, columns=RESULT.names)
+
+    return run
+
+
+KEYED = "key long, hit_spans array<long>, items array<string>, longest long, longest_start long, longest_item string"
+
+
+def _keyed_matches(blocks, table):
+    """As rows by the hash of their text, of texts with a match alone."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a, b in slices(texts, SHARD_CHARS):
+                rows = [(k, *r[1:]) for k, r in zip(pdf["key"].tolist()[a:b], _search_texts(texts[a:b], [x.value for x in blocks], table)) if r[1]]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["key", *RESULT.names[1:]])
+
+    return run
+
+
+def _merge_spans(spans: pd.Series) -> pd.Series:
+    return pd.Series([_merged(np.asarray(x)[::2], np.asarray(x)[1::2]) for x in spans], dtype=object)
+
+
+def _word_counts(table):
+    def run(batches):
+        for texts in batches:
+            texts, out = texts.tolist(), []
+            for a, b in slices(texts, SHARD_CHARS):
+                out.append(np.diff(joined_words(texts[a:b], table)[1]))
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+    return run
+
+
 def blocks_of(items: DataFrame, window: int, table: np.ndarray):
     """Test items in blocks of bounded size, one at a time. Items without an id or a word take no part."""
     ids, texts, size = [], [], 0
@@ -198,26 +268,46 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, into: str = "mat
     those with such a window, ``longest`` the words of the longest verbatim match and where it begins.
 
     Each batch of texts becomes shards with a suffix array of their own over those suffixes that begin
-    as some test suffix does; every test suffix is binary-searched in every shard. Nothing is shuffled.
-    Test items are broadcast in blocks of ``BLOCK_CHARS``.
+    as some test suffix does; every test suffix is binary-searched in every shard. Test items of up to
+    ``BLOCK_CHARS`` are broadcast, and nothing is shuffled. Of more, block follows block: no more than one
+    is held at a time by the driver or a worker, and only matches, by the hash of their text, are joined.
 
     Null or empty texts have no words; equal items and rows are reported once and for each row; all
     columns of ``docs`` stay (``into`` replaces a column of its name); empty tables give no matches.
     """
     table = byte_table(SEPARATORS)
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in blocks_of(items, window, table)]
-
-    def run(batches):
-        own = [blocks[0].value] if len(blocks) == 1 else None
-        for texts in batches:
-            texts, rows = texts.tolist(), []
-            for a, b in slices(texts, SHARD_CHARS):
-                rows += _search_texts(texts[a:b], own or (x.value for x in blocks), table)
-            yield pd.DataFrame(rows, columns=RESULT.names)
-
-    matches = F.pandas_udf(run, RESULT, F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn(into, matches(F.col("text").cast("string")))
+    rest = blocks_of(items, window, table)
+    block, second = next(rest, None), next(rest, None)
+    if second is None:
+        shared = [context.broadcast(x) for x in [block] if x is not None]  # one block at most
+        found = F.pandas_udf(_matches(shared, table), RESULT, F.PandasUDFType.SCALAR_ITER)
+        return docs.withColumn(into, found(F.col("text").cast("string")))
+    # block after block: what each finds is written down before the next is held
+    key, parts = F.xxhash64(F.col("text").cast("string")), []
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
+    while block is not None:
+        shared = context.broadcast(block)
+        parts.append(checkpoint(texts.mapInPandas(_keyed_matches([shared], table), KEYED).distinct()))
+        shared.destroy()
+        block, second = second, next(rest, None)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = found.groupBy("key").agg(
+        F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.min_by(F.struct("longest", "longest_start", "longest_item"), F.struct(-F.col("longest"), "longest_start", "longest_item")).alias("m"),
+    )
+    merged = F.pandas_udf(_merge_spans, "array<bigint>")
+    found = found.select(F.col("key").alias("__key"), merged("spans").alias("spans"), "items", "m")
+    count = F.pandas_udf(_word_counts(table), "bigint", F.PandasUDFType.SCALAR_ITER)
+    out = docs.withColumn("__key", key).withColumn("__words", count(F.col("text").cast("string"))).join(found, "__key", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    match = F.struct(
+        F.col("__words").alias("n_words"), none(F.col("spans"), "bigint").alias("hit_spans"), none(F.col("items"), "string").alias("items"), F.coalesce("m.longest", F.lit(0).cast("long")).alias("longest"),
+        F.col("m.longest_start").alias("longest_start"), F.col("m.longest_item").alias("longest_item"),
+    )
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()], match.alias(into))
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
