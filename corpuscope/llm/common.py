@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscope.session import checkpoint  # noqa: F401  the operators take it from here
@@ -34,6 +35,32 @@ def sieved(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
     return out.withColumn("__byte", byte).withColumn("__bit", (spot % 8).cast("int")).filter(known).select(*rows.columns)
 
 
+#: Rows of a side that is sent to all executors; copies of a larger one, over which a hot key's rows are dealt.
+FEW_ROWS = 200_000
+SALTS = 16
+
+
+def keep_known(rows: DataFrame, known: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """Left semi join on keys that may be hot: ``known`` (no repeats) goes round whole if it is small by count.
+
+    Else it is repeated ``SALTS`` times, and the rows of a key are dealt over the copies by ``spread``.
+    """
+    known = checkpoint(known.select(*on))
+    if known.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(known), on, "left_semi")
+    many = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", salt).join(many, [*on, "__salt"], "left_semi").drop("__salt")
+
+
+def bounded_sample(ids: DataFrame, rows: int, chars: int) -> DataFrame:
+    """(doc_id) of at most ``rows`` rows of ``ids`` (doc_id, chars), the first by hash of the id whose texts come to ``chars`` together."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    few = ids.orderBy(*order).limit(rows)
+    total = F.sum("chars").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))  # of at most ``rows`` rows
+    return few.withColumn("total", total).filter(F.col("total") <= chars).select("doc_id").distinct()
+
+
 def worker_cache(key, make):
     """A value kept for the life of a Python worker: functions that arrive by value lose their own globals with each task."""
     store = sys.__dict__.setdefault("_corpuscope_worker_cache", {})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import held_out, slices, training_fold
+from corpuscope.llm.common import bounded_sample, held_out, slices, training_fold
 from corpuscope.llm.words import WordBatch
 
 #: n-grams of a marked word (those with a mark are its affixes), table sizes, words of a segment.
@@ -215,14 +215,14 @@ def _posteriors(crf: ChainCRF, emit: np.ndarray):
     return p, edge.sum((0, 1))
 
 
-def fit(docs: DataFrame, sample: int = 2000, max_chars: int = 200_000) -> ChainCRF:
-    """Train on at most ``sample`` rows with a language from the learning folds, those smallest by hash of the id.
+def fit(docs: DataFrame, sample: int = 2000, max_chars: int = 200_000, sample_chars: int = 10_000_000) -> ChainCRF:
+    """Train on at most ``sample`` rows with a language from the learning folds, those smallest by hash of the id, of ``sample_chars`` together.
 
     Texts over ``max_chars`` are not learned from (they are labelled whole).
     """
-    known = docs.filter(training_fold(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length(F.col("text").cast("string")) <= max_chars))
-    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = known.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(picked.distinct()), "doc_id").limit(2 * sample)
+    known = docs.filter(training_fold(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(F.length("text") <= max_chars)
+    picked = bounded_sample(known.select("doc_id", F.length("text").alias("chars")), sample, sample_chars)
+    rows = known.join(F.broadcast(picked), "doc_id").limit(2 * sample)  # at most ``sample`` ids
     found = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text, r.lang))
     return train([r.text for r in found], [r.lang for r in found])
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import checkpoint
+from corpuscope.llm.common import checkpoint, keep_known
 
 #: Leading tokens that choose a leaf; lines with fewer tokens than MIN_TOKENS are never dropped.
 DEPTH = 3
@@ -135,15 +135,14 @@ def recurring_lines(docs: DataFrame, key: str, min_docs: int = MIN_DOCS, depth:
         sieve[row.slot] = True
     sieve = docs.sparkSession.sparkContext.broadcast(sieve)
     lines = docs.select("key", "text").mapInPandas(_tokens(depth, min_tokens, sieve), "key long, line int, leaf long, families array<long>, body long, tokens array<long>")
-    lines = checkpoint(lines.join(common, "leaf", "left_semi"))
+    lines = checkpoint(keep_known(lines, common, ["leaf"], "key"))
     # constant tokens: those that recur at their place in the leaf, exact copies counted once
     placed = lines.select("key", "line", "leaf", "body", F.posexplode("tokens").alias("place", "token")).filter("token <> 0")
     constant = (
         placed.select("leaf", "place", "token", "body").distinct().groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).drop("n")
     )
     kept = (
-        placed.select("key", "line", "leaf", "place", "token")
-        .join(constant, ["leaf", "place", "token"], "left_semi")
+        keep_known(placed.select("key", "line", "leaf", "place", "token"), constant, ["leaf", "place", "token"], "key")
         .groupBy("key", "line", "leaf")
         .agg(F.count("*").alias("kept"), F.sum(F.xxhash64("place", "token") % (1 << 40)).alias("mark"))
     )
@@ -151,7 +150,7 @@ def recurring_lines(docs: DataFrame, key: str, min_docs: int = MIN_DOCS, depth:
     parsed = parsed.filter((F.col("kept") >= F.lit(min_constant) * F.col("n")) & (F.col("kept") >= LEAST_CONSTANT)).select("key", "line", "families", "body", F.xxhash64("leaf", "mark", "kept").alias("template"))
     parsed = checkpoint(parsed)
     recurrent = _unlike(parsed, "template").filter((F.col("families") >= min_docs) & (F.col("families") >= MIN_UNLIKE * F.col("bodies"))).select("template")
-    return parsed.join(recurrent, "template", "left_semi").select(F.col("key").alias(key), "line").distinct()
+    return keep_known(parsed, recurrent, ["template"], "key").select(F.col("key").alias(key), "line").distinct()
 
 
 def drop_recurring(docs: DataFrame, into: str = "dropped_lines", **params) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import held_out, slices, training_fold
+from corpuscope.llm.common import bounded_sample, held_out, slices, training_fold
 from corpuscope.llm.words import WordBatch
 
 #: n-grams of a marked word that share its embedding, table sizes, widths of the filters.
@@ -255,25 +255,24 @@ def _calibrate(net: ConvNet, batch: WordBatch, features, toxic, held, lang, clea
     net.cuts = np.array([cut(np.flatnonzero(held & (group == k)), whole) for k in range(net.tongues.shape[1])])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 1500, max_chars: int = 200_000) -> ConvNet:
-    """Train on a bounded sample: at most ``sample_per_class`` labelled rows a class from the learning folds.
+def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 1500, max_chars: int = 200_000, sample_chars: int = 6_000_000) -> ConvNet:
+    """Train on a bounded sample: at most ``sample_per_class`` labelled rows a class from the learning folds, of ``sample_chars`` at most together.
 
     The sample is the smallest by hash of the id; texts over ``max_chars`` are not learned from
     (they are scored whole). Documents with conflicting labels count with the larger one.
     """
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-        .filter(training_fold(F.col("doc_id")) & (F.length("text") <= max_chars))
-    )
-    # rows are picked by id before their texts are fetched: ordering moves ids alone
-    share = own.filter(training_fold(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    picked = [
-        rows.join(F.broadcast(own.filter((F.col("toxic") == y) & training_fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class)), "doc_id")
-        for y in (0, 1)
-    ]
-    found = sorted((r for part in picked for r in part.limit(2 * sample_per_class).collect()), key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in found], np.array([r.toxic for r in found]), [r.lang for r in found], share)
+    own = own.filter(training_fold(F.col("doc_id")))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(training_fold(F.col("doc_id")) & (F.length("text") <= max_chars))
+    # rows are picked by id before their texts are fetched: ordering moves ids and lengths alone
+    share = own.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    known = rows.select("doc_id", F.length("text").alias("chars")).groupBy("doc_id").agg(F.max("chars").alias("chars")).join(own, "doc_id")
+    found = []
+    for y in (0, 1):
+        picked = bounded_sample(known.filter(F.col("toxic") == y), sample_per_class, sample_chars)
+        found += [(r.doc_id, r.text, r.lang, y) for r in rows.join(F.broadcast(picked), "doc_id").limit(2 * sample_per_class).collect()]
+    found.sort(key=lambda r: r[:2])
+    return train([r[1] for r in found], np.array([r[3] for r in found]), [r[2] for r in found], share)
 
 
 def score(docs: DataFrame, net: ConvNet, into: str = "toxicity") -> DataFrame:
