@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscope.session import checkpoint
+
 #: Lines of one bucket: both sides of a range join meet in the buckets that they touch, hashed by file and bucket.
 BUCKET = 64
 
@@ -116,32 +118,121 @@ def line_budget_ndcg(regions: DataFrame, core: DataFrame, query: str, budget: in
     return out.select(query, "dcg", F.when(F.col("ideal") > 0, F.least(F.col("dcg") / F.col("ideal"), F.lit(1.0))).otherwise(0.0).alias("ndcg"))
 
 
+def disjoint(df: DataFrame, *keys: str) -> DataFrame:
+    """The union of each key's intervals ``s`` to ``e`` as intervals that do not meet."""
+    order = W.partitionBy(*keys).orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    own = df.select(*keys, "s", "e").filter("s <= e").withColumn("__new", F.when(reach.isNull() | (F.col("s") > reach + 1), 1).otherwise(0))
+    own = own.withColumn("__run", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return own.groupBy(*keys, "__run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("__run")
+
+
+def common_lines(rows: DataFrame, cover: DataFrame, keys: list[str], into: str) -> DataFrame:
+    """``rows`` (with ``s`` and ``e``, null for none) with how many of its lines lie in ``cover``, disjoint intervals of the same keys."""
+    c = cover.select(*keys, F.col("s").alias("__cs"), F.col("e").alias("__ce"))
+    columns = rows.columns
+    own = rows.withColumn("__row", F.monotonically_increasing_id()) if "rank" not in columns else rows
+    by = columns + [c for c in own.columns if c not in columns]
+    shared = F.when(F.col("__cs").isNotNull(), F.least("e", "__ce") - F.greatest("s", "__cs") + 1)
+    meets = [F.col(f"r.{k}") == F.col(f"c.{k}") for k in keys] + [F.col("s") <= F.col("__ce"), F.col("__cs") <= F.col("e")]
+    hit = own.alias("r").join(c.alias("c"), meets, "left")
+    out = hit.groupBy(*[F.col(f"r.{x}") for x in by]).agg(F.coalesce(F.sum(shared), F.lit(0)).alias(into))
+    return out.drop("__row")
+
+
 def line_budget_recall(regions: DataFrame, core: DataFrame, query: str, budget: int) -> DataFrame:
-    """Share of core lines among the first ``budget`` lines of the ranked regions. Only lines within the budget are spread."""
+    """Share of core lines among the first ``budget`` lines of the ranked regions, by interval arithmetic."""
     w = W.partitionBy(query).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    r = regions.withColumn("before", F.coalesce(F.sum(F.col("e") - F.col("s") + 1).over(w), F.lit(0))).filter(F.col("before") < budget)
+    r = regions.withColumn("before", F.coalesce(F.sum(F.greatest(F.col("e") - F.col("s") + 1, F.lit(0))).over(w), F.lit(0))).filter(F.col("before") < budget)
     r = r.withColumn("e", F.least(F.col("e"), F.col("s") + budget - F.col("before") - 1))
-    seen = r.select(query, "file", F.explode(F.sequence("s", "e")).alias("line")).distinct()
-    wanted = core.select(query, "file", F.explode(F.sequence("s", "e")).alias("line")).distinct()
-    hit = wanted.join(seen.withColumn("hit", F.lit(1)), [query, "file", "line"], "left")
-    return hit.groupBy(query).agg((F.count("hit") / F.count("*")).alias("recall"))
-
-
-def region_metrics(regions: DataFrame, core: DataFrame, query: str) -> DataFrame:
-    """Line precision, recall, F1, hit rate of regions and files, noise, first useful hit."""
-    seen = regions.select(query, "file", F.explode(F.sequence("s", "e")).alias("line")).distinct()
-    wanted = core.select(query, "file", F.explode(F.sequence("s", "e")).alias("line")).distinct()
-    lines = seen.withColumn("a", F.lit(1)).join(wanted.withColumn("b", F.lit(1)), [query, "file", "line"], "full_outer")
-    lines = lines.groupBy(query).agg(F.count("a").alias("n_seen"), F.count("b").alias("n_core"), F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)).alias("n_hit"))
-    hits = regions.join(core.select(query, "file", F.col("s").alias("cs"), F.col("e").alias("ce")), [query, "file"], "left").withColumn("hit", F.coalesce((F.col("s") <= F.col("ce")) & (F.col("cs") <= F.col("e")), F.lit(False)))
-    each = hits.groupBy(query, "rank").agg(F.max("hit").alias("hit"))
-    by = each.groupBy(query).agg(F.avg(F.col("hit").cast("double")).alias("region_hit_rate"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.count("*").alias("n"))
-    p, r = F.col("n_hit") / F.greatest("n_seen", F.lit(1)), F.when(F.col("n_core") > 0, F.col("n_hit") / F.col("n_core")).otherwise(0.0)
-    out = lines.join(by, query, "left").withColumn("precision", p).withColumn("recall", r)
-    return out.select(
-        query, "precision", "recall", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), (1 - F.col("precision")).alias("noise"),
-        F.coalesce("region_hit_rate", F.lit(0.0)).alias("region_hit_rate"), F.coalesce(1 - (F.col("first") - 1) / F.col("n"), F.lit(0.0)).alias("first_useful_hit"),
+    keys = [query, "file"]
+    wanted = disjoint(core, *keys)
+    hit = common_lines(disjoint(r, *keys), wanted, keys, "hit").groupBy(query).agg(F.sum("hit").alias("hit"))
+    total = wanted.groupBy(query).agg(F.sum(F.col("e") - F.col("s") + 1).alias("total"))
+    return total.join(hit, query, "left").select(query, (F.coalesce("hit", F.lit(0)) / F.col("total")).alias("recall"))
+
+
+def resolve_regions(regions: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Regions (file, start, end; lines from 1) with ``s`` and ``e``: a negative start counts from the file's end, an end of -1 is its last line.
+
+    Those that need a length that ``lengths`` (file, n_lines) has not, or end before the file, get nulls.
+    """
+    own = regions.join(lengths.select("file", "n_lines"), "file", "left")
+    open_ = (F.col("end") == -1) | (F.col("start") < 0)
+    known = F.col("n_lines") >= 1
+    inside = lambda x: F.greatest(F.lit(1), F.least(x, F.col("n_lines")))
+    s = F.when(open_ & known, inside(F.when(F.col("start") < 0, F.col("n_lines") + F.col("start") + 1).otherwise(F.col("start")))).when(~open_ & (F.col("end") >= 1), F.greatest(F.lit(1), F.col("start")))
+    e = F.when(open_ & known, inside(F.when(F.col("end") == -1, F.col("n_lines")).otherwise(F.col("end")))).when(~open_ & (F.col("end") >= 1), F.col("end"))
+    return own.withColumn("s", s.cast("long")).withColumn("e", e.cast("long")).drop("n_lines")
+
+
+# The metrics of retrieved context, in order; line budgets; weights of a file that is central.
+CONTEXT_METRICS = [
+    "precision", "recall", "f1_score", "hit_file_rate", "noise_file_rate", "hit_region_rate", "noise_region_rate", "weighted_core_coverage", "context_efficiency", "optional_coverage",
+    "ndcg_at_100", "ndcg_at_300", "ndcg_at_500", "recall_at_100", "recall_at_300", "recall_at_500", "first_useful_hit",
+]
+LINE_BUDGETS = [100, 300, 500]
+CORE_WEIGHT, MAIN_CORE_WEIGHT, MAIN_GAIN = 2.0, 3.0, 1.5
+
+
+def context_metrics(regions: DataFrame, core: DataFrame, optional: DataFrame, files: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
+    """All of ``CONTEXT_METRICS`` for each query of ``regions``.
+
+    ``regions``: query, rank from 1, file, start, end (lines from 1). ``core`` and ``optional`` regions: query,
+    file, start, end. ``files``: query, file, role (core, optional or main). ``lengths``: file, n_lines. Lines are
+    counted by interval arithmetic on disjoint unions; none is spread out. A rate of nothing is 0.
+    """
+    keys = [query, "file"]
+    p, c, o = (resolve_regions(x, lengths) for x in (regions, core, optional))
+    numbered = lambda x: x.withColumn("rank", F.monotonically_increasing_id())
+    c, o = checkpoint(numbered(c)), checkpoint(numbered(o))
+    pu, cu, ou, co = disjoint(p, *keys), disjoint(c, *keys), disjoint(o, *keys), disjoint(c.unionByName(o), *keys)
+    pu, cu, ou = checkpoint(pu), checkpoint(cu), checkpoint(ou)
+    size = F.sum(F.col("e") - F.col("s") + 1)
+    by = lambda df, value, name: df.groupBy(query).agg(value.alias(name))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    tables = [
+        by(pu, size, "n_p"), by(cu, size, "n_c"), by(ou, size, "n_o"),
+        by(common_lines(pu, cu, keys, "n"), F.sum("n"), "n_pc"), by(common_lines(pu, ou, keys, "n"), F.sum("n"), "n_po"), by(common_lines(pu, co, keys, "n"), F.sum("n"), "n_pco"),
+    ]
+    # files
+    seen = regions.select(*keys).distinct().withColumn("seen", F.lit(1))
+    roles = files.groupBy(*keys).agg(*[F.max((F.col("role") == r).cast("int")).alias(r) for r in ("core", "optional", "main")])
+    each = roles.join(seen, keys, "full_outer").fillna(0)
+    tables.append(each.groupBy(query).agg(F.sum("seen").alias("f_seen"), F.sum("core").alias("f_core"), F.sum(F.col("seen") * F.col("core")).alias("f_hit"), F.sum(F.when((F.col("seen") == 1) & (F.col("core") + F.col("optional") == 0), 1).otherwise(0)).alias("f_noise")))
+    # regions
+    main = roles.filter("main = 1").select(*keys, F.lit(True).alias("main"))
+    hit_c = common_lines(c, pu, keys, "n").join(main, keys, "left")
+    weight = F.when(F.col("main"), MAIN_CORE_WEIGHT).otherwise(CORE_WEIGHT)
+    # a reversed interval has a weight and no line
+    covered = F.when(F.col("e") >= F.col("s"), weight * F.col("n") / (F.col("e") - F.col("s") + 1)).otherwise(0.0)
+    tables.append(hit_c.groupBy(query).agg(F.count("*").alias("r_core"), F.count_if(F.col("n") > 0).alias("r_hit"), F.sum(F.when(F.col("s").isNotNull(), covered)).alias("w_hit"), F.sum(F.when(F.col("s").isNotNull(), weight)).alias("w_all")))
+    gained = common_lines(common_lines(p, co, keys, "known"), cu, keys, "gain").join(main, keys, "left")
+    gained = checkpoint(gained.withColumn("lines", F.coalesce(F.greatest(F.col("e") - F.col("s") + 1, F.lit(0)), F.lit(0))))
+    tables.append(gained.groupBy(query).agg(F.count("*").alias("r_all"), F.count_if(F.col("known") == 0).alias("r_noise"), F.min(F.when(F.col("gain") > 0, F.col("rank"))).alias("first")))
+    gained = gained.withColumn("gain", F.col("gain") * F.when(F.col("main"), MAIN_GAIN).otherwise(1.0))
+
+    def dcg(order, into):
+        w = W.partitionBy(query).orderBy(*order)
+        placed = gained.withColumn("i", F.row_number().over(w)).withColumn("used", F.sum("lines").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        value = lambda n: F.sum(F.when((F.col("used") <= n) | (F.col("i") == 1), F.col("gain") / F.log2(F.col("i") + 1)))
+        return placed.groupBy(query).agg(*[value(n).alias(f"{into}_{n}") for n in LINE_BUDGETS])
+
+    tables += [dcg(["rank"], "dcg"), dcg([F.desc(F.col("gain") / F.greatest("lines", F.lit(1))), "rank"], "ideal")]
+    tables += [line_budget_recall(p.filter("s is not null"), cu, query, n).withColumnRenamed("recall", f"recall_at_{n}") for n in LINE_BUDGETS]
+    out = regions.select(query).distinct()
+    for t in tables:
+        out = out.join(t, query, "left")
+    out = out.fillna(0, [x for x in out.columns if x not in (query, "first")])
+    out = out.withColumn("precision", rate("n_pc", "n_p")).withColumn("recall", rate("n_pc", "n_c"))
+    pr = F.col("precision") + F.col("recall")
+    ndcg = [F.when((F.col("n_c") > 0) & (F.col(f"ideal_{n}") > 0), F.least(F.col(f"dcg_{n}") / F.col(f"ideal_{n}"), F.lit(1.0))).otherwise(0.0).alias(f"ndcg_at_{n}") for n in LINE_BUDGETS]
+    out = out.select(
+        query, "precision", "recall", F.when(pr > 0, 2 * F.col("precision") * F.col("recall") / pr).otherwise(0.0).alias("f1_score"), rate("f_hit", "f_core").alias("hit_file_rate"), rate("f_noise", "f_seen").alias("noise_file_rate"),
+        rate("r_hit", "r_core").alias("hit_region_rate"), rate("r_noise", "r_all").alias("noise_region_rate"), rate("w_hit", "w_all").alias("weighted_core_coverage"), rate("n_pco", "n_p").alias("context_efficiency"), rate("n_po", "n_o").alias("optional_coverage"),
+        *ndcg, *[f"recall_at_{n}" for n in LINE_BUDGETS], F.when(F.col("first").isNotNull(), 1 - (F.col("first") - 1) / F.col("r_all")).otherwise(0.0).alias("first_useful_hit"),
     )
+    return out.select(query, *CONTEXT_METRICS)
 
 
 def split_by_lines(df: DataFrame, start: str, end: str, limit: int) -> DataFrame:

@@ -350,15 +350,52 @@ def line_recall_budget(spark, sf):
     return intervals.line_budget_recall(p, t, "q", 100).withColumn("recall", F.round("recall", 6))
 
 
-@query(
-    """WITH a AS (SELECT DISTINCT q, file, unnest(range(s, e + 1)) AS line FROM preds), b AS (SELECT DISTINCT q, file, unnest(range(s, e + 1)) AS line FROM truth),
-n AS (SELECT coalesce(a.q, b.q) AS q, count(a.line) AS na, count(b.line) AS nb, count(*) FILTER (WHERE a.line IS NOT NULL AND b.line IS NOT NULL) AS nh FROM a FULL JOIN b ON a.q = b.q AND a.file = b.file AND a.line = b.line GROUP BY 1)
-SELECT q, round(nh / greatest(na, 1), 6) AS "precision", round(CASE WHEN nb > 0 THEN nh / nb ELSE 0 END, 6) AS recall, round(CASE WHEN nh > 0 THEN 2.0 * nh / (na + nb) ELSE 0 END, 6) AS f1 FROM n""",
-    SPANS_SQL, PRED_SQL,
-)
+def _budget_sql(n):
+    return f"""d{n} AS (SELECT q, sum(CASE WHEN used <= {n} OR i = 1 THEN gain / log2(i + 1) ELSE 0 END) AS dcg FROM placed GROUP BY q), x{n} AS (SELECT q, sum(CASE WHEN used <= {n} OR i = 1 THEN gain / log2(i + 1) ELSE 0 END) AS ideal FROM best GROUP BY q),
+k{n} AS (SELECT q, count(*) AS hit FROM (SELECT DISTINCT q, file, line FROM (SELECT q, file, unnest(range(s, least(e, s + {n} - before - 1) + 1)) AS line FROM spent WHERE before < {n}) JOIN cl USING (q, file, line)) GROUP BY q)"""
+
+
+CONTEXT_SQL = f"""WITH reg AS (SELECT q, rank, file, CASE WHEN rank % 5 = 0 THEN -40 ELSE s + 1 END AS a, CASE WHEN rank % 7 = 0 THEN -1 ELSE e + 1 END AS b FROM preds),
+cor AS (SELECT q, file, s + 1 AS a, e + 1 AS b, block FROM truth), opt AS (SELECT DISTINCT file AS q, s % 9 AS file, s + 1 AS a, s + 4 AS b FROM spans WHERE id % 19 = 0),
+role AS (SELECT DISTINCT q, file, 'core' AS role FROM cor UNION SELECT q, file, 'optional' FROM opt UNION SELECT q, file, 'main' FROM cor WHERE file % 3 = 0),
+p AS (SELECT q, rank, file, CASE WHEN a < 0 OR b = -1 THEN greatest(1, least(CASE WHEN a < 0 THEN 700 + a + 1 ELSE a END, 700)) ELSE greatest(1, a) END AS s, CASE WHEN a < 0 OR b = -1 THEN greatest(1, least(CASE WHEN b = -1 THEN 700 ELSE b END, 700)) ELSE b END AS e FROM reg),
+pl AS (SELECT DISTINCT q, file, unnest(range(s, e + 1)) AS line FROM p), cl AS (SELECT DISTINCT q, file, unnest(range(a, b + 1)) AS line FROM cor), ol AS (SELECT DISTINCT q, file, unnest(range(a, b + 1)) AS line FROM opt), col AS (SELECT * FROM cl UNION SELECT * FROM ol),
+n AS (SELECT q, (SELECT count(*) FROM pl WHERE pl.q = x.q) AS n_p, (SELECT count(*) FROM cl WHERE cl.q = x.q) AS n_c, (SELECT count(*) FROM ol WHERE ol.q = x.q) AS n_o FROM (SELECT DISTINCT q FROM reg) x),
+m1 AS (SELECT q, count(*) AS n FROM pl JOIN cl USING (q, file, line) GROUP BY q), m2 AS (SELECT q, count(*) AS n FROM pl JOIN ol USING (q, file, line) GROUP BY q), m3 AS (SELECT q, count(*) AS n FROM pl JOIN col USING (q, file, line) GROUP BY q),
+pf AS (SELECT DISTINCT q, file FROM reg), cf AS (SELECT q, file FROM role WHERE role = 'core'), f1 AS (SELECT q, count(*) AS n FROM pf JOIN cf USING (q, file) GROUP BY q), f2 AS (SELECT q, count(*) AS n FROM cf GROUP BY q),
+f3 AS (SELECT q, count(*) FILTER (WHERE (q, file) NOT IN (SELECT (q, file) FROM role WHERE role <> 'main')) AS n, count(*) AS total FROM pf GROUP BY q),
+ch AS (SELECT q, file, a, b, block, (SELECT count(*) FROM pl WHERE pl.q = cor.q AND pl.file = cor.file AND line BETWEEN a AND b) AS n, CASE WHEN file % 3 = 0 THEN 3.0 ELSE 2.0 END AS w FROM cor),
+c1 AS (SELECT q, count(*) FILTER (WHERE n > 0) / count(*) AS hit, sum(w * n / (b - a + 1)) / sum(w) AS cover FROM ch GROUP BY q),
+g AS (SELECT q, rank, greatest(e - s + 1, 0) AS lines, (SELECT count(*) FROM cl WHERE cl.q = p.q AND cl.file = p.file AND line BETWEEN s AND e) AS n, (SELECT count(*) FROM col WHERE col.q = p.q AND col.file = p.file AND line BETWEEN s AND e) AS known,
+  CASE WHEN (q, file) IN (SELECT (q, file) FROM role WHERE role = 'main') THEN 1.5 ELSE 1.0 END AS w FROM p),
+r1 AS (SELECT q, count(*) FILTER (WHERE known = 0) / count(*) AS noise, coalesce(1 - (min(rank) FILTER (WHERE n > 0) - 1) / count(*), 0) AS first FROM g GROUP BY q),
+placed AS (SELECT q, n * w AS gain, row_number() OVER (PARTITION BY q ORDER BY rank) AS i, sum(lines) OVER (PARTITION BY q ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM g),
+best AS (SELECT q, n * w AS gain, row_number() OVER (PARTITION BY q ORDER BY n * w / greatest(lines, 1) DESC, rank) AS i, sum(lines) OVER (PARTITION BY q ORDER BY n * w / greatest(lines, 1) DESC, rank ROWS UNBOUNDED PRECEDING) AS used FROM g),
+spent AS (SELECT q, file, s, e, CAST(coalesce(sum(greatest(e - s + 1, 0)) OVER (PARTITION BY q ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM p),
+{_budget_sql(100)}, {_budget_sql(300)}, {_budget_sql(500)},
+t AS (SELECT n.q, CASE WHEN n_p > 0 THEN coalesce(m1.n, 0) / n_p ELSE 0 END AS p, CASE WHEN n_c > 0 THEN coalesce(m1.n, 0) / n_c ELSE 0 END AS r, coalesce(f1.n / f2.n, 0) AS hit_file_rate, coalesce(f3.n / f3.total, 0) AS noise_file_rate,
+  coalesce(c1.hit, 0) AS hit_region_rate, coalesce(r1.noise, 0) AS noise_region_rate, coalesce(c1.cover, 0) AS weighted_core_coverage, CASE WHEN n_p > 0 THEN coalesce(m3.n, 0) / n_p ELSE 0 END AS context_efficiency, CASE WHEN n_o > 0 THEN coalesce(m2.n, 0) / n_o ELSE 0 END AS optional_coverage,
+  {", ".join(f"CASE WHEN n_c > 0 AND ideal{k} > 0 THEN least(dcg{k} / ideal{k}, 1) ELSE 0 END AS ndcg_at_{k}, CASE WHEN n_c > 0 THEN coalesce(hit{k}, 0) / n_c ELSE 0 END AS recall_at_{k}" for k in (100, 300, 500))}, coalesce(r1.first, 0) AS first_useful_hit
+  FROM n LEFT JOIN m1 USING (q) LEFT JOIN m2 USING (q) LEFT JOIN m3 USING (q) LEFT JOIN f1 USING (q) LEFT JOIN f2 USING (q) LEFT JOIN f3 USING (q) LEFT JOIN c1 USING (q) LEFT JOIN r1 USING (q)
+  {" ".join(f"LEFT JOIN (SELECT q, dcg AS dcg{k} FROM d{k}) USING (q) LEFT JOIN (SELECT q, ideal AS ideal{k} FROM x{k}) USING (q) LEFT JOIN (SELECT q, hit AS hit{k} FROM k{k}) USING (q)" for k in (100, 300, 500))})
+SELECT q, round(CAST(p AS DOUBLE), 6) AS "precision", round(CAST(r AS DOUBLE), 6) AS recall, round(CAST(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS DOUBLE), 6) AS f1_score,
+{", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in intervals.CONTEXT_METRICS[3:])} FROM t"""
+
+
+@query(CONTEXT_SQL, SPANS_SQL, PRED_SQL)
 def region_metrics(spark, sf):
+    """All seventeen metrics of retrieved context."""
     p, t = _pred(spark, sf)
-    return intervals.region_metrics(p, t, "q").select("q", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    n = F.col("rank")
+    regions = p.select("q", n.cast("long").alias("rank"), "file", F.when(n % 5 == 0, -40).otherwise(F.col("s") + 1).alias("start"), F.when(n % 7 == 0, -1).otherwise(F.col("e") + 1).alias("end"))
+    one = lambda df, s, e: df.select("q", "file", (F.col("s") + s).alias("start"), (F.col(e[0]) + e[1]).alias("end"))
+    core = one(t, 1, ("e", 1))
+    optional = one(spans(spark, sf).filter("id % 19 = 0").select(F.col("file").alias("q"), (F.col("s") % 9).alias("file"), "s").distinct(), 1, ("s", 4))
+    role = lambda df, r: df.select("q", "file", F.lit(r).alias("role")).distinct()
+    roles = role(core, "core").unionByName(role(optional, "optional")).unionByName(role(core.filter("file % 3 = 0"), "main"))
+    lengths = spark.range(9).select(F.col("id").alias("file"), F.lit(700).alias("n_lines"))
+    m = intervals.context_metrics(regions, core, optional, roles, lengths, "q")
+    return m.select("q", *[F.round(c, 6).alias(c) for c in intervals.CONTEXT_METRICS])
 
 
 @query()

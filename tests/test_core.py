@@ -170,16 +170,43 @@ def test_catalog_refs_move_only_as_expected(spark, tmp_path):
 
 
 def test_planner():
-    assert planner.select("who calls parse", {"sparse", "graph"}).path == "structural_graph"
-    assert planner.select("how is `foo_bar` handled", {"sparse", "dense"}).path == "hybrid_fusion"
-    assert planner.select("explain the behavior", {"sparse", "dense"}).path == "dense"
-    assert planner.select("foo", {"sparse", "dense"}, "cheap").branches == ("sparse",)
+    both = {"sparse", "dense"}
+    p = planner.select("who calls parse", {"sparse", "graph"})
+    assert (p.path, p.branches, p.fusion, p.candidates) == ("structural_graph", ("sparse",), "none", 8) and p.expansion == planner.Expansion(8, 100, 2, False)
+    p = planner.select("who calls parse", {"sparse", "graph", "embeddings"}, "full")
+    assert p.expansion == planner.Expansion(10, 128, 2, True) and (p.rerank, p.rerank_candidates) == ("embedding", 80)
+    p = planner.select("how is `foo_bar` handled", {*both, "embeddings"})
+    assert (p.path, p.fusion, p.weights, p.candidates, p.rerank_candidates) == ("hybrid_fusion", "rrf", {"dense": 0.6, "sparse": 0.4}, 100, 50)
+    assert planner.select("explain the behavior", both).path == "semantic"
+    assert planner.select("explain", {*both, "embeddings", "model"}, "thorough").rerank == "model"
+    p = planner.select("foo", both, "cheap")
+    assert (p.path, p.branches, p.candidates, p.rerank) == ("fast_lexical", ("sparse",), 32, None)
+    assert planner.select("who calls parse", {*both, "graph"}, "fast").expansion is None
+    assert planner.select("explain this", {"sparse"}).path == "fast_lexical"
+    assert planner.select("explain this", both, planner.Budget("own", 10, 0, False, False)).candidates == 10
     with pytest.raises(ValueError):
         planner.budget("other")
     with pytest.raises(ValueError):
         planner.select("x", set())
 
 
+def test_plans_run(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i} gamma") for i in range(6)] + [(9, "nothing")], "id long, content string")
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
+    q = vecs.filter("vec_id = 5")
+    e = spark.createDataFrame([(0, 2, 3, "reference", None, None), (1, 3, 9, "reference", None, None), (2, 9, 8, "reference", None, None)], "eid long, src long, dst long, type string, anchor_file string, anchor_line long")
+    ids = lambda plan, query="beta2", k=10, **more: [r.id for r in planner.execute(plan, query, k, docs, vecs, q, e, **more).collect()]
+    walk = planner.Plan("g", ("sparse",), "none", candidates=2, expansion=planner.Expansion(2, 4, 2, False))
+    assert ids(walk) == [2, 3, 9]
+    assert ids(planner.Plan("g", ("sparse",), "none", candidates=1, expansion=planner.Expansion(1, 3, 2, True)))[0] == 2
+    assert ids(planner.Plan("d", ("dense",), "none", candidates=4), k=2) == [5, 4]
+    assert ids(planner.Plan("s", ("sparse",), "none", candidates=6, rerank="embedding", rerank_candidates=3), "alpha") == [2, 1, 0, 3, 4, 5]
+    scorer = lambda rows, query: rows.select("id", F.when(F.col("id") == 1, 9.0).alias("score")).filter("score is not null")
+    assert ids(planner.Plan("s", ("sparse",), "none", candidates=6, rerank="model", rerank_candidates=3), "alpha", scorer=scorer) == [1, 0, 2, 3, 4, 5]
+    with pytest.raises(ValueError):
+        ids(planner.Plan("s", ("sparse",), "none", rerank="model", rerank_candidates=3))
+
+
 def test_filters_reach_the_scan(spark, sf):
     plan = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_quantity > 49").select("l_orderkey")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan
