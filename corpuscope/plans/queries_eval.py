@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text
 from corpuscope.operators import catalog, evaluation, facts, filters, incremental, ranking
 from corpuscope.plans import planner
+from corpuscope.plans.queries_rank import VEC
+from corpuscope.plans.queries_text import bm25_sql
 from corpuscope.plans.registry import query
-from corpuscope.plans.views import CELLS_SQL, FILES_SQL, cells, edges, files, table
+from corpuscope.plans.views import CELLS_SQL, EDGES_SQL, FILES_SQL, cells, edges, files, table
 from corpuscope.sources import repository
 
 PRED = """pred AS (SELECT doc_id % 40 AS q, source AS item, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
@@ -349,25 +353,40 @@ def occurrence_batches(spark, sf):
     return facts.occurrences_to_batches(o).select("file", "n_occurrences", "n_symbols", "completeness")
 
 
-@query()
+@query("SELECT 'f.py' AS file, CAST(n_nationkey AS INT) AS start_line, 1 AS start_char, CAST(n_nationkey AS INT) AS end_line, CAST(n_nationkey + 5 AS INT) AS end_char, 'sym' AS symbol, CAST(n_regionkey AS INT) AS roles FROM nation")
 def occurrence_parser(spark, sf):
     n = table(spark, sf, "nation").select(F.lit("f.py").alias("file"), F.format_string("%d:1-%d sym %d", F.col("n_nationkey"), F.col("n_nationkey") + 5, F.col("n_regionkey")).alias("line"))
     return repository.parse_occurrences(n)
 
 
-@query()
+PLANNED = "how does `license` handling under the apache license work"
+
+
+@query(
+    bm25_sql(re.findall("[a-z0-9]+", PLANNED))
+    + f""", a AS (SELECT doc_id AS id, 0.4 AS w, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM s), b AS (SELECT e.vec_id AS id, 0.6 AS w, row_number() OVER (ORDER BY {VEC} DESC, e.vec_id) AS r FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+SELECT id, round(CAST(sum(w / (60 + r)) AS DOUBLE), 9) AS score FROM (SELECT * FROM a WHERE r <= 100 UNION ALL SELECT * FROM b WHERE r <= 100) GROUP BY id ORDER BY sum(w / (60 + r)) DESC, id LIMIT 20"""
+)
 def planned_search(spark, sf):
     """A question of both kinds of evidence: sparse and dense lists, fused."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     e = table(spark, sf, "embeddings")
-    q = "how does `license` handling under the apache license work"
+    q = PLANNED
     plan = planner.select(q, {"sparse", "dense"})
     return planner.execute(plan, q, 20, d, e, e.filter("vec_id = 0")).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(
+    bm25_sql(["who", "calls", "old", "widget"]).replace("SELECT doc_id, list_transform", "SELECT p_partkey + 3000000000 AS doc_id, list_transform").replace("replace(text,", "replace(p_name,").replace("FROM documents", "FROM part").replace("WITH tok", "WITH RECURSIVE tok")
+    + """, seed AS (SELECT doc_id AS vid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, score FROM s ORDER BY score DESC, doc_id LIMIT 8),
+r AS (SELECT CAST(vid AS BIGINT) AS vid, 0 AS depth FROM seed UNION SELECT CAST(t AS BIGINT), depth + 1 FROM r JOIN (SELECT src AS f, dst AS t FROM edges UNION SELECT dst, src FROM edges) ON f = vid WHERE depth < 2),
+near AS (SELECT vid, min(depth) AS depth FROM r GROUP BY vid HAVING min(depth) > 0 ORDER BY depth, vid LIMIT 100),
+every AS (SELECT vid, 0 AS tier, CAST(rank AS DOUBLE) AS place, score FROM seed UNION ALL SELECT vid, 1, depth, 1.0 / (depth + 1) FROM near)
+SELECT CAST(vid AS BIGINT) AS id, round(CAST(score AS DOUBLE), 9) AS score FROM every ORDER BY tier, place, vid LIMIT 20""",
+    EDGES_SQL,
+)
 def graph_seeded_search(spark, sf):
-    """A structural question: sparse seeds, their neighbourhood, fused."""
+    """A structural question: sparse seeds, and what lies around them."""
     p = table(spark, sf, "part").select((F.col("p_partkey") + 3000000000).alias("id"), F.col("p_name").alias("content"))
     q = "who calls old widget"
     plan = planner.select(q, {"sparse", "graph"})

@@ -181,7 +181,11 @@ def trace_summary(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.size(F.split("text", "[^A-Za-z]+", -1))).alias("words"))
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({", ".join(repr(x) for x in text.LEAK_STOP)}))) AS w FROM part),
+c AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*'), lambda x: lower(x)))) AS w FROM conversations), t AS (SELECT conv_id, turn, count(*) AS told FROM c JOIN n USING (w) GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(told, 0) / (SELECT count(*) FROM n), 6) AS leak FROM conversations LEFT JOIN t USING (conv_id, turn)"""
+)
 def leak_guard(spark, sf):
     """Conversations that give away the parts' names."""
     names = table(spark, sf, "part").select(F.explode(text.leak_tokens(F.regexp_replace("p_name", " ", "_"))).alias("word")).distinct()

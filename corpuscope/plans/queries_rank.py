@@ -116,7 +116,11 @@ def window_rerank(spark, sf):
     return ranking.window_rerank(candidates(spark, sf), 10, 5, (F.col("node_id") % 97).cast("double")).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(
+    """WITH x AS (SELECT node_id, list_filter([rank - 1, 2, 98, 0], lambda x: x BETWEEN 0 AND 4) AS l FROM candidates), y AS (SELECT node_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM x)
+SELECT DISTINCT node_id, array_to_string(l || list_filter([0, 1, 2, 3, 4], lambda x: NOT list_contains(l, x)), ',') AS "order" FROM y""",
+    CANDIDATES_SQL,
+)
 def permutation_parser(spark, sf):
     c = candidates(spark, sf).select("node_id", ranking.parse_permutation(F.concat_ws(" > ", F.col("rank").cast("string"), F.lit("3"), F.lit("99"), F.lit("1")), F.lit(5)).alias("order"))
     return c.select("node_id", F.array_join(F.col("order").cast("array<string>"), ",").alias("order")).distinct()
@@ -398,7 +402,12 @@ def region_metrics(spark, sf):
     return m.select("q", *[F.round(c, 6).alias(c) for c in intervals.CONTEXT_METRICS])
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT q, CAST(0 AS BIGINT) AS rank, CAST([] AS STRUCT(rank BIGINT, file BIGINT, s BIGINT, e BIGINT)[]) AS kept FROM (SELECT DISTINCT q FROM preds)
+UNION ALL SELECT r.q, p.rank, CASE WHEN len(list_filter(kept, lambda y: y.file = p.file AND y.s <= p.e AND p.s <= y.e)) > 0 THEN kept ELSE list_append(kept, {'rank': p.rank, 'file': p.file, 's': p.s, 'e': p.e}) END FROM r JOIN preds p ON p.q = r.q AND p.rank = r.rank + 1),
+x AS (SELECT q, unnest(arg_max(kept, rank)) AS k FROM r GROUP BY q) SELECT q, k.rank AS rank, k.file AS file, k.s AS s, k.e AS e FROM x""",
+    SPANS_SQL, PRED_SQL,
+)
 def greedy_span_dedup(spark, sf):
     p, _ = _pred(spark, sf)
     return intervals.greedy_dedup(p, "q", "rank", "file", "s", "e")
@@ -425,7 +434,7 @@ def hydrate_content(spark, sf):
     return h.select("vid", "n_lines", F.least(F.col("end_line").cast("long"), F.col("n_lines") - 1).alias("e"), F.md5("content").alias("h"))
 
 
-@query()
+@query("SELECT o_orderkey AS id, 'f' || o_orderkey || '.py' AS file, o_custkey AS s, o_custkey + 2 AS e FROM orders")
 def diff_ranges(spark, sf):
     o = table(spark, sf, "orders")
     body = F.format_string("--- a/f%d.py\n+++ b/f%d.py\n@@ -1,2 +%d,3 @@\n+x\n@@ -9 +12,0 @@\n-y", F.col("o_orderkey"), F.col("o_orderkey"), F.col("o_custkey"))

@@ -23,18 +23,23 @@ def code_tokens(spark, sf):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-BM25_SQL = f"""WITH tok AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents),
+def bm25_sql(terms):
+    """WITH terms that end in s (doc_id, score) for a query's terms."""
+    return f"""WITH tok AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents),
 n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS term FROM tok) GROUP BY term),
 idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, n),
 fl AS (SELECT avg(idf) * 0.25 AS floor FROM idf),
-q AS (SELECT unnest({BM25_TERMS!r}) AS term),
+q AS (SELECT unnest({terms!r}) AS term),
 w AS (SELECT q.term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM q JOIN idf USING (term), fl),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
 s AS (SELECT tf.doc_id, sum(w.idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))) AS score FROM tf JOIN w USING (term) JOIN tok USING (doc_id), n GROUP BY tf.doc_id)
 """
 
 
+BM25_SQL = bm25_sql(BM25_TERMS)
+
+
 @query(BM25_SQL + "SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -163,7 +168,11 @@ def focus_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(text.focus_terms(F.col("text"), ["the", "and"]), " ").alias("terms"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT p_partkey, unnest(list_distinct(list_filter(regexp_extract_all(lower(p_name || '_' || p_type), '[a-z]+|[0-9]+'), lambda x: length(x) >= 3))) AS t FROM part),
+s AS (SELECT p_partkey, t FROM w UNION SELECT p_partkey, left(t, CAST(length(t) - length(x) AS BIGINT)) FROM w, (VALUES ('ing'), ('ers'), ('er'), ('ments'), ('ment'), ('es'), ('s')) v(x) WHERE length(t) > length(x) + 2 AND ends_with(t, x))
+SELECT p_partkey, string_agg(t, ' ' ORDER BY t) AS terms FROM s GROUP BY p_partkey"""
+)
 def subword_terms(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(text.subword_terms(F.concat_ws("_", F.initcap("p_name"), "p_type")), " ").alias("terms"))
 
@@ -196,18 +205,31 @@ def duplicate_blocks(spark, sf):
     return lexical.duplicate_blocks(table(spark, sf, "documents"), "text", "doc_id")
 
 
-@query()
+def _any_sql(patterns, flags=""):
+    return "regexp_matches(text, '" + flags + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "')"
+
+
+SIGNALS_SQL = f"""WITH c AS (SELECT conv_id, turn, {_any_sql(text.LEXICAL)} AS l, {_any_sql([text.SEMANTIC], '(?i)')} AS s, {_any_sql(text.STRUCTURAL, '(?i)')} AS structural, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS n FROM conversations)
+SELECT conv_id, turn, l OR (NOT (s OR n >= 10) AND n BETWEEN 1 AND 4) AS lexical, s OR n >= 10 AS semantic, structural FROM c"""
+
+
+@query(SIGNALS_SQL)
 def query_signals(spark, sf):
     lexical_, semantic, structural = text.query_signals(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", lexical_.alias("lexical"), semantic.alias("semantic"), structural.alias("structural"))
 
 
-@query()
+@query(
+    r"""WITH x AS (SELECT vid, list_transform(regexp_extract_all(content, '`([^`\n]{2,60})`', 1), lambda x: trim(x)) || list_filter(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: regexp_matches(x, '_|[a-z][A-Z]') OR (upper(x) = x AND regexp_matches(x, '[A-Z]'))) AS l FROM files),
+y AS (SELECT vid, list_filter(l, lambda x: x NOT IN ('BUG', 'TODO', 'FIXME', 'NOTE', 'XXX', 'HACK', 'WARNING', 'ERROR')) AS l FROM x)
+SELECT vid, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:4], ' ') AS identifiers FROM y WHERE len(l) > 0""",
+    FILES_SQL,
+)
 def query_identifiers(spark, sf):
     return files(spark, sf).select("vid", F.array_join(text.query_identifiers(F.col("content")), " ").alias("identifiers")).filter("identifiers <> ''")
 
 
-@query()
+@query("SELECT page_id, true AS marked, regexp_matches(lower(html), '^\\s*<!--[^>]*generated') AS plain FROM pages")
 def generated_markers(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.has_generated_marker(F.concat(F.lit("# Code generated by a tool, DO NOT EDIT\n"), "html")).alias("marked"), text.has_generated_marker(F.col("html")).alias("plain"))
 
