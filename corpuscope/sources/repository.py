@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions import paths
+from corpuscope.sources import braces
 
 CHUNK_SCHEMA = "node_id string, file string, name string, chunk_type string, start_line int, end_line int, content string, content_hash string"
 
@@ -20,13 +21,6 @@ LANGUAGES = {
     "c": "cpp", "h": "cpp", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cxx": "cpp",
 }
 
-#: A definition's first line in languages without a parser here: (kind, name) at the outermost level.
-DEFINITION = re.compile(
-    r"^(?:(?:pub(?:\([a-z]+\))?|public|private|protected|static|export|default|abstract|final|async|unsafe|open|internal|sealed|data|override|inline)\s+)*"
-    r"(?:(class|interface|struct|enum|trait|object|module|impl|record|protocol|namespace)\s+([A-Za-z_]\w*)|(?:def|func|fn|function|fun|sub)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*))"
-)
-
-
 def discover(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:
     """(file, language, content) of visible source files below a folder, by relative path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -54,15 +48,7 @@ def definitions(text: str, language: str) -> list[tuple[str, str, int, int]]:
 
         visit(ast.parse(text).body, "")
         return out
-    lines = text.split("\n")
-    starts = [(i, m) for i, line in enumerate(lines) if (m := DEFINITION.match(line))]
-    out = []
-    for n, (i, m) in enumerate(starts):
-        end = (starts[n + 1][0] if n + 1 < len(starts) else len(lines)) - 1
-        while end > i and not lines[end].strip():
-            end -= 1
-        out.append((m[1] or "function", m[2] or m[3], i, end))
-    return out
+    return braces.definitions(text, language) if language in braces.HEADERS else []
 
 
 def chunk(files: DataFrame, strict: bool = False) -> DataFrame:

@@ -103,6 +103,109 @@ def test_generated_marker_and_identifiers(spark):
     assert df.select(text.query_identifiers(F.col("t")).alias("i")).collect()[3].i == ["Foo.bar", "foo_bar", "LPOP"]
 
 
+SOURCES = {
+    'go': (
+        'package x\n// func no() {\ntype Stack[T any] struct {\n  a []T\n}\nfunc (s *Stack[T]) Push(x T) {\n  if x { y() }\n}\nfunc main() {\n  f := func() { return }\n  s := "}"\n}\ntype R interface {\n  Read()\n}\n',
+        [('class', 'Stack', 2, 4), ('method', 'Stack.Push', 5, 7), ('function', 'main', 8, 11), ('class', 'R', 12, 14)],
+    ),
+    'java': (
+        'package a;\npublic class Foo<T> extends B {\n  private int x = 1;\n  public Foo(int a) { this.x = a; }\n  @Override\n  public String bar(List<String> a) throws E {\n    if (a) { return "{"; }\n    for (int i : a) { x(); }\n  }\n  interface In { void q(); }\n  abstract void none();\n}\nenum E { A, B }\n',
+        [('class', 'Foo', 1, 11), ('method', 'Foo.Foo', 3, 3), ('method', 'Foo.bar', 5, 8), ('class', 'Foo.In', 9, 9), ('class', 'E', 12, 12)],
+    ),
+    'rust': (
+        "mod m {\n  pub fn inner() {}\n}\npub struct P { a: i32 }\nimpl<T> Foo for P {\n  fn go(&self) -> i32 { let c = '}'; 1 }\n  pub async fn two() {}\n}\nfn main() { let x = || { 1 }; }\ntrait Q { fn sig(&self); fn has() {} }\n",
+        [('function', 'inner', 1, 1), ('class', 'P', 3, 3), ('class', 'P', 4, 7), ('method', 'P.go', 5, 5), ('method', 'P.two', 6, 6), ('function', 'main', 8, 8), ('class', 'Q', 9, 9)],
+    ),
+    'cpp': (
+        '#include <a>\nnamespace n {\nclass A : public B {\n public:\n  A();\n  int get() const { return 1; }\n};\nint A::set(int x) {\n  while (x) { x--; }\n  return x;\n}\n}\nstatic void f(int a, char *b)\n{\n  if (a) { }\n}\nint proto(int);\ntemplate <typename T> T g(T x) { return x; }\n',
+        [('class', 'A', 2, 6), ('method', 'A.get', 5, 5), ('method', 'A.set', 7, 10), ('function', 'f', 12, 15), ('function', 'g', 17, 17)],
+    ),
+    'javascript': (
+        'export function a(x) { return {}; }\nconst b = (x) => {\n  return 1;\n};\nclass C extends D {\n  constructor(a) { super(a); }\n  static async go() { if (x) { y(); } }\n}\nfoo(1, () => { });\n',
+        [('function', 'a', 0, 0), ('function', 'b', 1, 3), ('class', 'C', 4, 7), ('method', 'C.constructor', 5, 5), ('method', 'C.go', 6, 6)],
+    ),
+    'typescript': (
+        'export interface I { a: string; m(): void }\nexport class S<T> {\n  private x: number;\n  get(a: string): Promise<T> {\n    return a;\n  }\n}\nexport const f = async (a: number): Promise<void> => {\n  a;\n}\n',
+        [('class', 'I', 0, 0), ('class', 'S', 1, 6), ('method', 'S.get', 3, 5), ('function', 'f', 7, 9)],
+    ),
+    'kotlin': (
+        'data class P(val a: Int)\nclass A {\n  fun go(x: Int): Int {\n    return x\n  }\n  fun one() = 1\n}\nfun top() { }\n',
+        [('class', 'P', 0, 0), ('class', 'A', 1, 6), ('method', 'A.go', 2, 4), ('method', 'A.one', 5, 5), ('function', 'top', 7, 7)],
+    ),
+    'scala': (
+        'object O {\n  def main(a: Int): Unit = {\n    println(a)\n  }\n  def one = 1\n}\nclass K(x: Int)\n',
+        [('class', 'O', 0, 5), ('method', 'O.main', 1, 3), ('method', 'O.one', 4, 4), ('class', 'K', 6, 6)],
+    ),
+    'swift': (
+        'struct S {\n  var a: Int\n  init(a: Int) { self.a = a }\n  func go() -> Int { return 1 }\n}\nfunc top() { }\n',
+        [('class', 'S', 0, 4), ('method', 'S.init', 2, 2), ('method', 'S.go', 3, 3), ('function', 'top', 5, 5)],
+    ),
+    'php': (
+        '<?php\nclass A {\n  # comment {\n  public function go($x) { if ($x) { } return 1; }\n}\nfunction top() { }\n',
+        [('class', 'A', 1, 4), ('method', 'A.go', 3, 3), ('function', 'top', 5, 5)],
+    ),
+    'ruby': (
+        'module M\n  class A\n    def go(x)\n      if x\n        1\n      end\n      y = 2 if x\n    end\n    def self.z?; end\n  end\nend\ndef top\n  [1].each do |x|\n    x\n  end\nend\n',
+        [('class', 'M', 0, 10), ('class', 'M.A', 1, 9), ('method', 'M.A.go', 2, 7), ('method', 'M.A.z?', 8, 8), ('function', 'top', 11, 15)],
+    ),
+    'lua': (
+        'local function a(x)\n  if x then return 1 end\n  for i = 1, 2 do b() end\nend\nfunction M.go(x)\n  while x do y() end\nend\nM.z = function(q) return q end\n',
+        [('function', 'a', 0, 3), ('method', 'M.go', 4, 6), ('method', 'M.z', 7, 7)],
+    ),
+    'csharp': (
+        'namespace N {\n  public class A : B {\n    public int X { get; set; }\n    public A(int a) { }\n    public async Task<int> Go(string s) { if (s) { } return 1; }\n  }\n}\n',
+        [('class', 'A', 1, 5), ('method', 'A.A', 3, 3), ('method', 'A.Go', 4, 4)],
+    ),
+}
+
+
+@pytest.mark.parametrize("language", list(SOURCES))
+def test_definitions_of_languages(language):
+    """Nested members carry their owner, extents end with their block, comments and strings count for nothing."""
+    source, want = SOURCES[language]
+    assert repository.definitions(source, language) == want
+
+
+def message(*pairs):
+    """A protobuf message: numbers as varints, bytes and texts with their length."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for k, v in pairs:
+        if isinstance(v, int):
+            out += varint(k << 3) + varint(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += varint(k << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def test_symbol_index(spark, tmp_path):
+    from corpuscope.sources import symbol_index
+
+    occ = lambda span, symbol, roles=0: (2, message((1, bytes(span)), (2, symbol), (3, roles)))
+    a = message((1, "a.py"), occ([0, 4, 7], "pkg/A#", 1), occ([1, 4, 2, 9], "pkg/A#go().", 1), occ([2, 8, 10], "local 1", 1), occ([3, 8, 10], "local 1"), occ([3, 12, 15], "pkg/B#"), (3, message((1, "pkg/A#go()."), (5, 26), (6, "go"), (8, "pkg/A#"), (4, message((1, "pkg/B#"), (3, 1))))), (9, b"new"))
+    b = message((1, "b/b.py"), occ([300 & 127, 0, 3], "pkg/B#", 1), occ([9, 0, 3], "pkg/A#"), occ([10, 0, 3], "pkg/Unknown#"))
+    (tmp_path / "x.scip").write_bytes(message((1, message((1, 0))), (2, a), (2, b)))
+    occurrences, symbols = symbol_index.read_index(spark, str(tmp_path))
+    rows = occurrences.orderBy("file", "start_line", "start_char").collect()
+    assert len(rows) == 8 and tuple(rows[1]) == ("a.py", 1, 4, 2, 9, "pkg/A#go().", 1) and tuple(rows[0])[1:5] == (0, 4, 0, 7)
+    vertices, edges = symbol_index.index_graph(occurrences, symbols)
+    assert {r.name for r in vertices.collect()} == {"a.py", "b/b.py", "pkg/A#", "pkg/A#go().", "pkg/B#", "a.py#local 1"}
+    got = {(r.src, r.dst, r.type, r.anchor_line) for r in edges.collect()}
+    assert {("pkg/A#go().", "pkg/B#", "reference", 3), ("pkg/A#go().", "a.py#local 1", "reference", 3), ("a.py", "pkg/A#", "contain", None), ("pkg/A#", "pkg/A#go().", "contain", None), ("b/b.py", "pkg/A#", "reference", 9), ("pkg/A#go().", "pkg/B#", "implementation", None)} <= got
+    with pytest.raises(ValueError):
+        list(symbol_index.fields(b"\x12\x7fab"))
+    tree = [{"name": "A", "kind": 5, "range": {"start": {"line": 0}, "end": {"line": 9}}, "children": [{"name": "go", "kind": 6, "range": {"start": {"line": 1}, "end": {"line": 2}}}]}, {"name": "f", "kind": 12}]
+    flat = symbol_index.flatten_symbols(spark.createDataFrame([("a.py", json.dumps(tree)), ("b.py", None)], "file string, symbols string")).collect()
+    assert [(r.name, r.parent, r.depth, r.start_line) for r in flat] == [("A", None, 0, 0), ("A.go", "A", 1, 1), ("f", None, 0, None)]
+
+
 def test_metrics_without_hits_and_repeats(spark):
     p = spark.createDataFrame([("q", 1, "a"), ("q", 2, "a"), ("q", 3, "b")], "q string, rank int, item string")
     t = spark.createDataFrame([("q", "a"), ("q", "c"), ("r", "a")], "q string, item string")
