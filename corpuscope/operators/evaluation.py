@@ -91,7 +91,7 @@ def price(cells: DataFrame, rates: DataFrame, model: str = "model") -> DataFrame
     """Cost by token class and rate for a million; a cached prompt's tokens are not counted twice; null without a rate."""
     plain = F.when(F.col("prompt_includes_cache"), F.greatest(F.col("prompt") - F.col("cached"), F.lit(0))).otherwise(F.col("prompt"))
     cost = (plain * F.col("rate_input") + F.col("cached") * F.col("rate_cached") + F.col("completion") * F.col("rate_output")) / 1e6
-    return cells.join(F.broadcast(rates), model, "left").withColumn("cost", cost)
+    return cells.join(rates, model, "left").withColumn("cost", cost)
 
 
 def profile(rows: DataFrame, label: str, value: str) -> DataFrame:
@@ -166,3 +166,42 @@ def gate(rows: DataFrame, minimums: dict[str, float]) -> DataFrame:
     agg = rows.agg(*[F.sum(c).cast("double").alias(c) for c in minimums])
     checks = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("value"), F.lit(float(m)).alias("minimum")) for c, m in minimums.items()])).alias("c")
     return agg.select(checks).select("c.*").withColumn("passed", F.col("value") >= F.col("minimum"))
+
+
+def location_scores(predicted: DataFrame, truth: DataFrame, instances: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, match, precision): whether all true items were named, and the share of named ones that are true (1 if none was named)."""
+    p, t = predicted.select(key, item).distinct(), truth.select(key, item).distinct()
+    both = p.withColumn("p", F.lit(1)).join(t.withColumn("t", F.lit(1)), [key, item], "full_outer")
+    n = both.groupBy(key).agg(F.count("p").alias("named"), F.count("t").alias("true"), F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)).alias("hit"))
+    own = instances.select(key).distinct().join(n, key, "left").fillna(0)
+    return own.select(key, (F.col("hit") == F.col("true")).alias("match"), F.when(F.col("named") > 0, F.col("hit") / F.col("named")).otherwise(1.0).alias("precision"))
+
+
+def location_summary(scores: DataFrame) -> DataFrame:
+    """Counts and means over all instances, failed ones among them; rates are null without any."""
+    return scores.agg(F.count("*").alias("n"), F.count_if("match").alias("matches"), F.avg(F.col("match").cast("double")).alias("match_rate"), F.avg("precision").alias("precision_mean"))
+
+
+def nested_bootstrap(rows: DataFrame, levels: list[str], value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
+    """Mean and 2.5 / 97.5 % bounds of means resampled level by level: clusters, then their members, then repetitions.
+
+    Every level draws as many units as there are, with replacement, and weighs them alike. Draws are hashes of seed,
+    round, place and draw, so runs agree whatever the partitioning. Only evaluation units are expanded, ``rounds`` times.
+    """
+    numbered = rows.select(*levels, value)
+    tree, path = None, []
+    for level in levels:
+        units = numbered.select(*path, level).distinct()
+        order = W.partitionBy(*path) if path else W.partitionBy()
+        units = units.withColumn("__i", F.row_number().over(order.orderBy(level)) - 1).withColumn("__n", F.count("*").over(order))
+        if tree is None:
+            tops = units.agg(F.count("*").alias("__size"))
+            tree = rows.sparkSession.range(rounds).select(F.col("id").alias("__round"), F.lit("").alias("__place"), F.lit(1.0).alias("__w")).crossJoin(F.broadcast(tops))
+        else:
+            tree = tree.join(units.select(*path, F.col("__n").alias("__size")).distinct(), path)
+        draws = tree.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.col("__size").cast("int")))).withColumn("__i", F.pmod(F.xxhash64(F.lit(seed), "__round", "__place", "__draw"), F.col("__size")).cast("int"))
+        draws = draws.withColumn("__place", F.concat_ws("/", "__place", F.col("__draw").cast("string"))).withColumn("__w", F.col("__w") / F.col("__size"))
+        tree = draws.drop("__size", "__draw").join(units.drop("__n"), [*path, "__i"]).drop("__i")
+        path.append(level)
+    means = tree.join(numbered.groupBy(*levels).agg(F.avg(value).alias("__v")), levels).groupBy("__round").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("m"))
+    return means.agg(F.avg("m").alias("mean"), index_percentile(F.collect_list("m"), 0.025).alias("low"), index_percentile(F.collect_list("m"), 0.975).alias("high"))

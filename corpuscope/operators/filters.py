@@ -71,3 +71,29 @@ def in_scope(path: Column, target: str, allow_ancestors: bool = False, exclude:
     if allow_ancestors:
         inside = inside | F.concat(F.lit(target.rstrip("/") + "/")).startswith(F.concat(F.regexp_replace(path, "/?[^/]*$", ""), F.lit("/")))
     return inside & paths.is_visible(path) & paths.exclude_paths(path, exclude or [])
+
+
+# Folders and suffixes of what corroborates an implementation rather than being one.
+SUPPORTING_FOLDERS = ["benchmark", "benchmarks", "doc", "docs", "eval", "evaluation", "example", "examples", "experiment", "experiments", "sample", "samples", "scripts"]
+DOCUMENT_SUFFIXES = [".adoc", ".md", ".rst"]
+
+
+def is_supporting(path: Column) -> Column:
+    """Tests, non-source files, documents, and files below a supporting folder; false without a path."""
+    p = F.coalesce(F.replace(path, F.lit("\\"), F.lit("/")), F.lit(""))
+    below = F.lower(p).rlike("(^|/)(" + "|".join(SUPPORTING_FOLDERS) + ")/")
+    document = F.lower(p).rlike("(" + "|".join(x.replace(".", r"\.") for x in DOCUMENT_SUFFIXES) + ")$")
+    return (p != "") & (paths.is_test_file(p) | paths.is_non_source_file(p) | below | document)
+
+
+def select_queries(rows: DataFrame, category: str, instance: str, order: str, categories: list[str] | None = None, max_instances: int | None = None, max_queries: int | None = None) -> DataFrame:
+    """Rows of the wanted categories, of the first ``max_instances`` instances by ``order``, at most ``max_queries`` each."""
+    from pyspark.sql import Window as W
+
+    own = rows.filter(F.col(category).isin(categories)) if categories else rows
+    if max_instances is not None:
+        first = own.filter(F.col(instance).isNotNull()).groupBy(instance).agg(F.min(order).alias("__first")).orderBy("__first", instance).limit(max_instances)
+        own = own.join(first.select(instance), instance, "left_semi")
+    if max_queries is not None:
+        own = own.withColumn("__n", F.row_number().over(W.partitionBy(instance).orderBy(order))).filter(F.col("__n") <= max_queries).drop("__n")
+    return own

@@ -273,3 +273,19 @@ def roles(terms: Column) -> Column:
         .when(has("cache", "config", "default", "directory", "env", "location", "path", "provider", "property", "setting", "url", "value"), "provider")
         .otherwise("support")
     )
+
+
+def file_tree(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, depth, line): folders and files as an indented tree, a folder before what it holds, in order of ``path``."""
+    parts = F.split("file", "/")
+    own = files.select("file").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), (i - 1).alias("depth"), (i < F.size(parts)).alias("folder")))).alias("x"))
+    rows = own.select("x.*").groupBy("path", "depth").agg(F.max("folder").alias("folder"))
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.substring_index("path", "/", -1), F.when(F.col("folder"), "/").otherwise(""))
+    out = rows.select("path", "depth", line.alias("line"))
+    return out.orderBy("path").limit(limit) if limit else out
+
+
+def edge_labels(edges: DataFrame, cache: DataFrame, fields: list[str]) -> DataFrame:
+    """Edges with the label cached under the SHA-256 of their fields, or null where one has to be written."""
+    keyed = edges.withColumn("label_key", F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256))
+    return keyed.join(cache.select("label_key", "label"), "label_key", "left")

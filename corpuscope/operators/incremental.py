@@ -78,3 +78,35 @@ def manifest_states(entries: DataFrame, current: DataFrame) -> DataFrame:
     rows = current.join(entries.select("view", F.col("commit").alias("c"), F.col("fingerprint").alias("f"), F.col("builder").alias("b"), "failed"), "view", "left")
     same = (F.col("c") == F.col("commit")) & (F.col("f") == F.col("fingerprint")) & (F.col("b") == F.col("builder"))
     return rows.select("view", F.when(F.col("c").isNull(), "missing").when(F.col("failed"), "failed").when(same, "fresh").otherwise("stale").alias("state"))
+
+
+def stage_edges(known: DataFrame, staged: DataFrame, identity: list[str], order: str = "seq") -> DataFrame:
+    """What one flush adds: staged edges that are not known, each identity once, the first staged."""
+    first = staged.groupBy(*identity).agg(F.min_by(F.struct(*[c for c in staged.columns if c not in identity]), order).alias("r"))
+    same = lambda c: F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
+    match = same(identity[0])
+    for c in identity[1:]:
+        match = match & same(c)
+    new = first.alias("n").join(known.select(*identity).alias("k"), match, "left_anti")
+    return new.select(*identity, "r.*")
+
+
+def affected_symbols(symbols: DataFrame, hunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vid, why): symbols (file, vid, s, e) that a file's changed lines (file, s, e) touch, and those with an edge to or from one."""
+    h = hunks.select("file", F.col("s").alias("hs"), F.col("e").alias("he"))
+    touched = symbols.join(h, "file").filter("s <= he and hs <= e").select("vid").distinct()
+    out = edges.join(touched.select(F.col("vid").alias("src")), "src", "left_semi").select(F.col("dst").alias("vid"), F.lit("target").alias("why"))
+    into = edges.join(touched.select(F.col("vid").alias("dst")), "dst", "left_semi").select(F.col("src").alias("vid"), F.lit("source").alias("why"))
+    near = out.unionByName(into).distinct().join(touched, "vid", "left_anti")
+    return touched.withColumn("why", F.lit("changed")).unionByName(near.groupBy("vid").agg(F.min("why").alias("why")))
+
+
+def admit(updates: DataFrame, policy: str = "always", verified: DataFrame | None = None, key: str = "update_id") -> DataFrame:
+    """Updates that may be published: all (``always``), none before verification (``never``), or those in ``verified``."""
+    if policy == "always":
+        return updates
+    if policy == "never":
+        return updates.limit(0)
+    if policy != "verified" or verified is None:
+        raise ValueError("policy is always, never, or verified with a table")
+    return updates.join(verified.select(key).distinct(), key, "left_semi")

@@ -264,3 +264,39 @@ def parse_answer(answer: Column) -> Column:
 
 def valid_identifier(name: str) -> bool:
     return re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name) is not None
+
+
+def hunks(diff: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """(key, n, old_start, old_end, new_start, new_end): changed lines of both sides of diffs without context, from 0, ends included.
+
+    A side without lines is a mark: the line before the change, 0 at least.
+    """
+    lines = diff.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"), F.lit(0))).alias("n", "h"))
+    part = lambda i: F.regexp_extract("h", r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", i)
+    number = lambda i: F.when(part(i) == "", 1).otherwise(F.expr("0") + F.nullif(part(i), F.lit("")).cast("int"))
+
+    def side(i):
+        start, size = part(i).cast("int") - 1, number(i + 1)
+        mark = F.greatest(F.lit(0), start - 1)
+        return F.when(size == 0, mark).otherwise(start), F.when(size == 0, mark).otherwise(start + size - 1)
+
+    (a, b), (c, d) = side(1), side(3)
+    return lines.select(key, F.col("n").cast("long").alias("n"), *[x.cast("long").alias(k) for x, k in ((a, "old_start"), (b, "old_end"), (c, "new_start"), (d, "new_end"))])
+
+
+def node_spans(nodes: DataFrame) -> DataFrame:
+    """Spans of retrieved nodes (node_id, file, start_line, end_line, score), lines from 1, best score first in ``place``.
+
+    The path in the node id goes before the file. Reversed ends are swapped; nodes without a path or ends go.
+    """
+    path = F.when(F.col("node_id").contains(":"), F.substring_index("node_id", ":", 1))
+    own = nodes.withColumn("file", F.coalesce(F.when(path != "", path), "file")).filter("file is not null and start_line is not null and end_line is not null")
+    own = own.withColumn("s", F.least("start_line", "end_line") + 1).withColumn("e", F.greatest("start_line", "end_line") + 1).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return own.filter("s >= 1").select("node_id", "file", "s", "e", "score")
+
+
+def symbol_spans(answers: DataFrame, index: DataFrame) -> DataFrame:
+    """Spans of the symbols that answers (key, symbol: ``path:Outer.name(args)``) name, by (file, leaf) in ``index`` (file, leaf, s, e)."""
+    leaf = F.regexp_extract(F.substring_index(F.expr("substring(symbol, instr(symbol, ':') + 1)"), "(", 1), r"([^./]*)$", 1)
+    own = answers.filter(F.col("symbol").contains(":")).withColumn("file", F.substring_index("symbol", ":", 1)).withColumn("leaf", F.trim(leaf))
+    return own.join(index, ["file", "leaf"]).select(*[c for c in answers.columns], "file", "s", "e")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscope.functions import paths, text
@@ -199,13 +200,16 @@ def near_duplicate_sentences(rows: DataFrame, section: str, key: str, content: s
     sets = rows.select(section, key, text.prose_terms(F.col(content)).alias("terms")).filter(F.size("terms") >= least)
     flat = sets.select(section, key, F.explode("terms").alias("term"), F.size("terms").alias("n"))
     df = flat.groupBy(section, "term").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = flat.join(df, [section, "term"])
-    a, b = shared.alias("a"), shared.alias("b")
-    pairs = a.join(b, (F.col(f"a.{section}") == F.col(f"b.{section}")) & (F.col("a.term") == F.col("b.term")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    pairs = pairs.groupBy(F.col(f"a.{section}").alias(section), F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right")).agg(
-        F.count("*").alias("common"), F.first(F.least("a.n", "b.n")).alias("least")
-    )
-    return pairs.withColumn("overlap", F.col("common") / F.col("least")).filter(F.col("overlap") >= threshold).select(section, "left", "right", "overlap")
+    shared = checkpoint(flat.join(df, [section, "term"], "left").withColumn("i", F.row_number().over(W.partitionBy(section, key).orderBy(F.coalesce("df", F.lit(1)), "term"))).filter("df is not null"))
+    # of the smaller set the first n - need + 1 terms, rare first, must hold one that the larger has
+    need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
+    a, b = shared.filter(F.col("i") <= F.col("n") - need + 1).alias("a"), shared.alias("b")
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    met = a.join(b, (F.col(f"a.{section}") == F.col(f"b.{section}")) & (F.col("a.term") == F.col("b.term")) & smaller)
+    pairs = met.select(F.col(f"a.{section}").alias(section), F.least(f"a.{key}", f"b.{key}").alias("left"), F.greatest(f"a.{key}", f"b.{key}").alias("right")).distinct()
+    x, y = (sets.select(section, F.col(key).alias(side), F.col("terms").alias(f"__{side}")) for side in ("left", "right"))
+    both = pairs.join(x, [section, "left"]).join(y, [section, "right"])
+    return both.withColumn("overlap", text.overlap_ratio(F.col("__left"), F.col("__right"))).filter(F.col("overlap") >= threshold).select(section, "left", "right", "overlap")
 
 
 def duplicate_blocks(rows: DataFrame, content: str, key: str) -> DataFrame:
@@ -221,3 +225,33 @@ def predicate_scores(rows: DataFrame, query: list[str], limit: int) -> DataFrame
     own = F.when(F.col("rank") == 1, 4).otherwise(3) + F.size(F.array_intersect(terms, F.array(*[F.lit(q) for q in query])))
     best = names.withColumn("score", own).groupBy("identifier").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), (-F.col("branch")).alias("b"))).alias("best"))
     return best.select("identifier", F.col("best.score").cast("long").alias("score"), (-F.col("best.r")).cast("long").alias("rank")).orderBy(F.desc("score"), "rank", "identifier").limit(limit)
+
+
+# Verbs that stand for one another in questions about actions.
+ACTION_ALIASES = {
+    "persist": ["save", "serialize", "write"], "persisted": ["save", "serialize", "write"], "persistence": ["save", "serialize", "write"], "persists": ["save", "serialize", "write"],
+    "save": ["persist", "serialize", "write"], "saved": ["persist", "serialize", "write"], "serialize": ["persist", "save", "write"], "serialized": ["persist", "save", "write"],
+    "write": ["persist", "save", "serialize"], "writes": ["persist", "save", "serialize"], "written": ["persist", "save", "serialize"],
+}
+
+
+def action_terms(query: str) -> list[str]:
+    """Verbs to add to a query: aliases of its terms, in order, that it does not hold itself."""
+    terms = list(dict.fromkeys(re.findall("[a-z0-9_]+", query.lower())))
+    return list(dict.fromkeys(a for t in terms for a in ACTION_ALIASES.get(t, []) if a not in terms))
+
+
+def action_identifiers(rows: DataFrame, query: str, limit: int = 3) -> DataFrame:
+    """(identifier, branch, rank): names in retrieved branches that are one of the query's action verbs, by first appearance."""
+    terms = set(re.findall("[a-z0-9_]+", query.lower()))
+    wanted = sorted({*action_terms(query), *(terms & set(ACTION_ALIASES))})
+    name = F.regexp_replace(F.regexp_extract(F.coalesce(F.col("name"), "node_id"), r"([^:]*)$", 1), r"\([^)]*\)$", "")
+    own = rows.withColumn("identifier", F.regexp_extract(name, r"([^.]*)$", 1)).filter(F.lower("identifier").isin(wanted))
+    first = own.groupBy("identifier").agg(F.min(F.struct("branch", "rank")).alias("at"))
+    return first.orderBy("at", "identifier").limit(limit).select("identifier", "at.branch", "at.rank")
+
+
+def graph_documents(vertices: DataFrame) -> DataFrame:
+    """(id, content): one document a vertex for lexical retrieval, its unified name if it has one, else its name."""
+    name = F.coalesce("unified_name", "name") if "unified_name" in vertices.columns else F.col("name")
+    return vertices.select(F.col("vid").alias("id"), name.alias("content"))

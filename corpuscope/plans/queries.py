@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscope.plans import queries_eval, queries_graph, queries_more, queries_rank, queries_text  # noqa: F401  (they register)
+from corpuscope.plans import queries_eval, queries_graph, queries_more, queries_rank, queries_text, queries_upkeep  # noqa: F401  (they register)
 from corpuscope.plans.registry import QUERIES, SQL
 
 

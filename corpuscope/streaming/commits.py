@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.operators import facts, incremental
+from corpuscope.operators import incremental
 
 COMMIT_SCHEMA = "seq long, file string, level string, content string, deleted boolean"
 
@@ -15,28 +15,36 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(COMMIT_SCHEMA).json(path)
 
 
-def live_chunks(events: DataFrame) -> DataFrame:
-    """Current chunk of each file and level, from all changes so far."""
-    keyed = events.withColumn("key", F.concat_ws("\x1f", "file", "level"))
-    live = facts.overlay(keyed, "key", "seq").drop("key")
-    return live.withColumn("content_hash", F.md5("content"))
+STATE_SCHEMA = "seq long, file string, level string, content string, deleted boolean, content_hash string"
+
+
+def applied(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """The newest change of each file and level, deletions among them; a change that comes late does not undo a newer one."""
+    rows = state.select("seq", "file", "level", "content", "deleted").unionByName(batch.select("seq", "file", "level", "content", "deleted"))
+    last = rows.groupBy("file", "level").agg(F.max_by(F.struct("seq", "content", "deleted"), F.struct("seq", "content")).alias("r"))
+    return last.select("r.seq", "file", "level", "r.content", F.coalesce("r.deleted", F.lit(False)).alias("deleted")).withColumn("content_hash", F.md5("content"))
+
+
+def live_chunks(state: DataFrame) -> DataFrame:
+    """Current chunk of each file and level."""
+    return state.filter("not deleted").select("file", "level", "seq", "content", "content_hash")
 
 
 def apply_delta(root: str):
-    """For ``foreachBatch``: append the changes, write the next version of the view and its delta against the last.
+    """For ``foreachBatch``: the last state and the batch give the next state; its view and the delta against the last are written.
 
-    A batch that is run again writes the same version again.
+    The work grows with the state and the batch, not with the history. A batch that is run again writes the same
+    version again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
-        events = spark.read.parquet(f"{root}/changes").filter(F.col("batch") <= batch_id)
-        view = live_chunks(events.drop("batch"))
-        view.write.mode("overwrite").parquet(f"{root}/versions/v{batch_id}")
-        new = spark.read.parquet(f"{root}/versions/v{batch_id}")
-        old = spark.read.parquet(f"{root}/versions/v{batch_id - 1}") if batch_id else new.limit(0)
-        incremental.chunk_delta(old, new).write.mode("overwrite").parquet(f"{root}/deltas/v{batch_id}")
+        empty = spark.createDataFrame([], STATE_SCHEMA)
+        state = spark.read.schema(STATE_SCHEMA).parquet(f"{root}/states/v{batch_id - 1}") if batch_id else empty
+        applied(state, batch).write.mode("overwrite").parquet(f"{root}/states/v{batch_id}")
+        new = live_chunks(spark.read.schema(STATE_SCHEMA).parquet(f"{root}/states/v{batch_id}"))
+        new.write.mode("overwrite").parquet(f"{root}/versions/v{batch_id}")
+        incremental.chunk_delta(live_chunks(state), new).write.mode("overwrite").parquet(f"{root}/deltas/v{batch_id}")
 
     return run
 

@@ -19,6 +19,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "code_tokens", "bm25_topk", "path_predicates", "identifier_occurrences", "trigram_search", "fusion_weighted", "fusion_rrf", "file_rrf", "interval_union", "vector_topk_l2", "hierarchical_search", "innermost_scope",
     "definitions_at", "ndcg_line_budget", "edge_layers", "bfs_impact", "ppr_fixed_iter", "hub_prune", "moniker_resolve", "retrieval_metrics_at_k", "win_tie_loss", "pareto_front", "chunk_delta", "manifest_join", "near_dup_pairs",
+    "bm25_stored", "trigram_stored", "region_metrics", "planned_search", "graph_seeded_search", "greedy_span_dedup", "query_identifiers", "leak_guard", "diff_hunks", "supporting_evidence", "node_spans", "symbol_spans", "edge_staging",
+    "affected_symbols", "location_summary", "file_tree", "payload_store", "path_normalisation", "query_selection", "action_identifiers",
 ]
 
 
@@ -244,6 +246,9 @@ def test_commit_stream(spark, tmp_path):
         commits.start(spark, str(source), str(root)).awaitTermination()
     assert [(r.file, r.content) for r in spark.read.parquet(f"{root}/versions/v1").collect()] == [("a", "z")]
     assert spark.read.parquet(f"{root}/deltas/v1").count() == 3
+    state = spark.createDataFrame([(5, "a", "l0", None, True, None)], commits.STATE_SCHEMA)
+    late = commits.applied(state, spark.createDataFrame([(4, "a", "l0", "old", False), (6, "c", "l0", "new", False)], commits.COMMIT_SCHEMA))
+    assert [r.file for r in commits.live_chunks(late).collect()] == ["c"]  # a late change does not undo a deletion
 
 
 def test_chunks_of_a_repository(spark, tmp_path):
@@ -270,6 +275,51 @@ def test_catalog_refs_move_only_as_expected(spark, tmp_path):
         c.publish("main", {"chunks": g}, None)
     assert c.publish("main", {"chunks": c.stage("chunks", spark.range(5))}, first) != first
     assert c.read("main", "chunks").count() == 5
+    assert c.versions("main") == [1, 2] and c.resolve("main", 1)["snapshot"] == first and c.resolve("other") is None
+    # a second writer that saw the same version finds its number taken
+    late = catalog.Catalog(spark, f"file://{tmp_path}")
+    late.versions = lambda ref: [1]
+    with pytest.raises(RuntimeError):
+        late.publish("main", {"chunks": g}, first)
+    assert c.read("main", "chunks").count() == 5
+
+
+def test_leases_and_fencing(spark):
+    rows = [
+        ("a", 1, "create", None, 0, 0, 0), ("a", 2, "lease", "w1", 0, 10, 5), ("a", 3, "lease", "w2", 0, 12, 5), ("a", 4, "renew", "w1", 1, 13, 5), ("a", 5, "lease", "w2", 0, 18, 5), ("a", 6, "finish", "w1", 1, 19, 0), ("a", 7, "finish", "w2", 2, 20, 0), ("a", 8, "cancel", None, 0, 21, 0),
+        ("b", 1, "create", None, 0, 0, 0), ("b", 2, "lease", "w1", 0, 1, 5), ("b", 3, "fail", "w1", 1, 2, 0), ("b", 4, "create", None, 0, 3, 0), ("c", 1, "finish", "w", 0, 1, 0), ("d", 1, "create", None, 0, 0, 0), ("d", 2, "cancel", None, 0, 1, 0), ("d", 3, "lease", "w", 0, 2, 5),
+    ]
+    out = {r.job: (r.state, r.token, r.worker, r.refused) for r in catalog.fold_leases(spark.createDataFrame(rows, "job string, seq long, kind string, worker string, token long, at long, ttl long")).collect()}
+    assert out == {"a": ("finished", 2, "w2", 3), "b": ("queued", 1, None, 1), "c": (None, 0, None, 1), "d": ("cancelled", 0, None, 1)}
+
+
+def test_stored_views(spark, sf, tmp_path):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    lexical.write_bm25(d, "doc_id", "text", f"{tmp_path}/bm25")
+    for terms in (["license", "the", "the"], ["nowhere"], []):
+        key = lambda x: sorted((r.doc_id, round(r.score, 9)) for r in x.collect())
+        assert key(lexical.bm25_stored(spark, f"{tmp_path}/bm25", "doc_id", terms)) == key(lexical.bm25(d, "doc_id", "text", terms)) if terms else True
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    vectors.write_ivf(e, vectors.ivf_centroids(e), f"{tmp_path}/ivf")
+    q = e.filter("vec_id = 0")
+    exact = {r.vec_id for r in vectors.search(e, q, 10).collect()}
+    found = [r.vec_id for r in vectors.ivf_stored(spark, f"{tmp_path}/ivf", q, 10, nprobe=16).collect()]
+    assert set(found) == exact  # every list is visited
+    some = vectors.ivf_stored(spark, f"{tmp_path}/ivf", q, 10, nprobe=8)
+    assert {r.vec_id for r in some.collect()} == {r.vec_id for r in vectors.ivf_search(e, vectors.ivf_centroids(e), q, 10, nprobe=8).collect()} and len(exact & {r.vec_id for r in some.collect()}) >= 5
+
+
+def test_bootstraps(spark):
+    rows = [(r, r * 10 + i, k, float(r + i % 3)) for r in range(6) for i in range(4) for k in range(3)]
+    df = spark.createDataFrame(rows, "repo long, instance long, rep long, value double")
+    b = evaluation.nested_bootstrap(df, ["repo", "instance"], "value", 100).first()
+    mean = sum(x[3] for x in rows) / len(rows)
+    assert b.low < mean < b.high and abs(b.mean - mean) < 0.5
+    assert evaluation.nested_bootstrap(df.repartition(7), ["repo", "instance"], "value", 100).first() == b
+    one = evaluation.bootstrap(df.filter("repo = 0"), "instance", "value", 100).first()
+    assert one.low <= 0.75 <= one.high
+    same = df.withColumn("value", F.lit(2.0))
+    assert evaluation.nested_bootstrap(same, ["repo", "instance"], "value", 20).first()[:3] == (2.0, 2.0, 2.0)
 
 
 def test_planner():
