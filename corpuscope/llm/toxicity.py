@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -217,6 +219,20 @@ def train(texts: list, toxic: np.ndarray, lang: list, share: float | None = None
     return net
 
 
+def _in_parts(net: ConvNet, batch: WordBatch, words: int = 1 << 18):
+    """The language group and the logit of each text, some texts at a time, so that little is held beside the batch."""
+    table, per_word = net.tables(batch)
+    group, logit, a = [], [], 0
+    while a < len(batch.first) - 1:
+        b = max(a + 1, int(np.searchsorted(batch.first, batch.first[a] + words, side="right")) - 1)
+        part = copy.copy(batch)
+        part.first, part.ids = batch.first[a : b + 1] - batch.first[a], batch.ids[batch.first[a] : batch.first[b]]
+        group.append(net.tongue(part, per_word))
+        logit.append(net.logits(part, table))
+        a = b
+    return np.concatenate(group), np.concatenate(logit)
+
+
 def _gram_rows(own, begin, long, touched, share):
     n = long[touched]
     at = np.repeat(begin[touched], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -236,8 +252,7 @@ def _calibrate(net: ConvNet, batch: WordBatch, features, toxic, held, lang, clea
     seen[:, 0] = 0
     net.tongues = (np.log(seen + 0.5) - np.log(seen.sum(1, keepdims=True) + 0.5 * seen.shape[1])).T.astype(np.float32)
     net.tongues[0] = 0
-    table, per_word = net.tables(batch)
-    group, logit = net.tongue(batch, per_word), net.logits(batch, table)
+    group, logit = _in_parts(net, batch)
 
     def cut(rows, default):
         """The logit with the best F1, midway between its neighbours."""
