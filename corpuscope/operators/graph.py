@@ -81,6 +81,7 @@ def expand_one_hop(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, per_
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """(vid, depth): least distance from any seed, to ``depth``. One frontier join a level."""
     steps = adjacent(edges, direction).select("from", "to").distinct()
+    steps = checkpoint(steps) if depth > 1 else steps  # joined once a level
     seen = checkpoint(seeds.select("vid").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
@@ -134,13 +135,13 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 10,
     n = start.count()
     reset = start.withColumn("reset", F.lit(1.0 / max(n, 1)))
     rank = reset.select("vid", F.col("reset").alias("rank"))
-    for _ in range(rounds):
+    for i in range(rounds):
         moved = rank.join(flow, rank["vid"] == flow["src"]).groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("rank") * F.col("share")).alias("m"))
         kept = moved.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("kept"))
         rank = moved.join(reset, "vid", "full_outer").crossJoin(F.broadcast(kept)).select(
             "vid", (damping * F.coalesce("m", F.lit(0.0)) + F.coalesce("reset", F.lit(0.0)) * (1 - damping + damping * (1 - F.col("kept")))).alias("rank")
         )
-        rank = checkpoint(rank)
+        rank = checkpoint(rank) if i % 3 == 2 or i == rounds - 1 else rank
     return rank
 
 
@@ -264,17 +265,35 @@ def coverage(tracked: DataFrame, represented: DataFrame, group: str, file: str =
     return rows.groupBy(group).agg(F.count("*").alias("tracked"), F.count("__in").alias("represented")).withColumn("ratio", F.col("represented") / F.col("tracked"))
 
 
-def roles(terms: Column) -> Column:
-    """Role of a route node by its name's terms."""
-    has = lambda *w: F.arrays_overlap(terms, F.array(*[F.lit(x) for x in w]))
+# Terms that tell the role of a symbol on a route.
+ENDPOINT_TERMS = ["apply", "check", "detect", "handle", "handler", "main", "process", "run", "validate"]
+BRIDGE_TERMS = ["adapter", "build", "builder", "download", "factory", "fetch", "make", "new", "open", "replace", "replacement", "resolver", "retrieve", "template"]
+PROVIDER_TERMS = ["cache", "config", "default", "directory", "env", "location", "path", "provider", "property", "setting", "url", "value"]
+
+
+def roles(terms: Column, query: Column, kind: Column, leaf: Column, lines: Column) -> Column:
+    """Role of a route node: by its type, by how its name begins, or by telling terms where it shares any with the query."""
+    has = lambda words: F.arrays_overlap(terms, F.array(*[F.lit(x) for x in words]))
+    shared = F.arrays_overlap(terms, query)
     return (
-        F.when(has("apply", "check", "detect", "handle", "handler", "main", "process", "run", "validate"), "endpoint")
-        .when(has("adapter", "build", "builder", "download", "factory", "fetch", "make", "new", "open", "replace", "replacement", "resolver", "retrieve", "template"), "bridge")
-        .when(has("cache", "config", "default", "directory", "env", "location", "path", "provider", "property", "setting", "url", "value"), "provider")
+        F.when(kind.isin("class", "field"), "type")
+        .when(F.lower(leaf).rlike("^(get|default)") | (has(PROVIDER_TERMS) & shared), "provider")
+        .when(F.lower(leaf).rlike("^(new|make|build)") | (has(BRIDGE_TERMS) & shared), "bridge")
+        .when(kind.isin("function", "method") & ((lines > 1) | has(ENDPOINT_TERMS)), "endpoint")
         .otherwise("support")
     )
 
 
+def trace(edges: DataFrame, source: int, target: int, max_hops: int = 6) -> DataFrame:
+    """(step, vid) of a shortest path of at most ``max_hops`` edges, forwards or else backwards; empty if there is none."""
+    there = shortest_path(edges, source, target, max_hops)
+    if not there.isEmpty():
+        return there
+    back = shortest_path(edges, target, source, max_hops)
+    last = back.agg(F.max("step").alias("last"))  # one row
+    return back.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("step")).alias("step"), "vid")
+
+
 def file_tree(files: DataFrame, limit: int | None = None) -> DataFrame:
     """(path, depth, line): folders and files as an indented tree, a folder before what it holds, in order of ``path``."""
     parts = F.split("file", "/")

@@ -41,13 +41,36 @@ def references(targets: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(W.partitionBy("vid").orderBy("anchor_file", "anchor_line"))).filter(F.col("n") <= limit)
 
 
+# Terms that a route query may mean by its own, and the bonus of each role.
+ROUTE_SYNONYMS = {
+    "cached": ["cache"], "caching": ["cache"], "directory": ["dir", "location", "path"], "directories": ["dir", "location", "path"], "fetch": ["download", "retrieve"], "fetches": ["download", "retrieve"], "fetching": ["download", "retrieve"],
+    "location": ["path"], "locations": ["path"], "placeholder": ["replace", "replacer", "replacement", "template"], "placeholders": ["replace", "replacer", "replacement", "template"], "property": ["provider", "value"], "properties": ["provider", "value"],
+    "retrieval": ["retrieve", "download", "cache"], "retrieve": ["download", "cache"], "retrieves": ["download", "cache"], "retrieving": ["download", "cache"], "resolution": ["resolve", "resolver", "replace", "replacer"], "resolved": ["resolve", "resolver", "replace", "replacer"],
+    "substitution": ["replace", "replacer", "replacement"], "substitute": ["replace", "replacer", "replacement"], "token": ["replace", "replacer", "replacement", "template"], "tokens": ["replace", "replacer", "replacement", "template"],
+    "variable": ["replace", "replacer", "replacement"], "variables": ["replace", "replacer", "replacement"],
+}
+ROLE_BONUS = {"endpoint": 4.0, "bridge": 3.0, "provider": 2.0, "type": 1.0}
+
+
+def route_terms(query: list[str]) -> list[str]:
+    """A query's terms with those that they may mean."""
+    return sorted({*query, *(x for t in query for x in ROUTE_SYNONYMS.get(t, []))})
+
+
 def route_scores(nodes: DataFrame, query_terms: list[str], name: str = "name", rank: str = "rank") -> DataFrame:
-    """Route order: five for each shared term, a bonus for rank, one for the role."""
-    terms = text.subword_terms(F.col(name))
-    shared = F.size(F.array_intersect(terms, F.array(*[F.lit(t) for t in query_terms])))
-    own = nodes.withColumn("role", graph.roles(terms)).withColumn("shared", shared)
-    bonus = F.when(F.col("role") == "endpoint", 3).when(F.col("role") == "bridge", 2).when(F.col("role") == "provider", 1).otherwise(0)
-    return own.withColumn("score", 5 * F.col("shared") + F.greatest(F.lit(0.0), (10 - F.col(rank)) / 3.0) + bonus)
+    """Route order of nodes (name, type, start_line, end_line, and the rank of a direct seed, from 0, or null).
+
+    Five for each term shared with the query or its synonyms, 8 less the rank for a seed and 3 for what was
+    found around seeds, and the role's bonus.
+    """
+    terms, query = text.subword_terms(F.col(name)), F.array(*[F.lit(t) for t in route_terms(query_terms)])
+    leaf = F.regexp_extract(F.regexp_replace(F.col(name), r"\(.*$", ""), r"([^.:]*)$", 1)
+    lines = F.coalesce(F.col("end_line") - F.col("start_line") + 1, F.lit(0))
+    own = nodes.withColumn("role", graph.roles(terms, query, F.col("type"), leaf, lines)).withColumn("shared", F.size(F.array_intersect(terms, query)))
+    bonus = F.lit(0.0)
+    for role, value in ROLE_BONUS.items():
+        bonus = F.when(F.col("role") == role, value).otherwise(bonus)
+    return own.withColumn("score", 5.0 * F.col("shared") + F.when(F.col(rank).isNotNull(), F.greatest(F.lit(0), 8 - F.col(rank))).otherwise(3) + bonus)
 
 
 def expand_candidates(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, limit: int, hops: int = 2) -> DataFrame:

@@ -159,3 +159,25 @@ def _reranked(rows: DataFrame, plan: Plan, query: str, docs: DataFrame, vecs: Da
     order = [F.desc(F.col("__again").isNotNull()), F.desc("__again"), F.col("rank")]
     again = own.withColumn("place", F.row_number().over(W.orderBy(*order))).select("id", F.col("place").alias("rank"), F.coalesce("__again", "__first").alias("score"))
     return again.unionByName(rows.filter(F.col("rank") > plan.rerank_candidates))
+
+
+def dense_graph_search(vecs: DataFrame, query_vector: DataFrame, edges: DataFrame, vertices: DataFrame, top_k: int, seeds: int = 20, per_seed: int = 5, keep=None, types: tuple = ("reference",), by_file: bool = False) -> DataFrame:
+    """Dense seeds and their neighbours, filtered, each vertex once, reranked by vector: (id, score), or (file, score) fused by file.
+
+    ``vertices`` has vid, name and file; ``keep`` is a condition on them. Neighbours without a vector follow those with one.
+    """
+    hits = vectors.search(vecs, query_vector, seeds).select(F.col("vec_id").alias("vid"), "score")
+    first = ranking.ranked(hits, F.desc("score"), "vid", into="rank").select("vid", F.col("rank").cast("long").alias("rank"), "score")
+    near = graph.expand_one_hop(first, edges, vertices, per_seed, types).select("vid", F.lit(1).alias("tier"), (F.col("seed_rank") * 1000 + F.col("n")).cast("long").alias("place"), "score")
+    every = first.select("vid", F.lit(0).alias("tier"), F.col("rank").alias("place"), "score").unionByName(near)
+    once = every.groupBy("vid").agg(F.min_by(F.struct("tier", "place", "score"), F.struct("tier", "place")).alias("r")).join(vertices.select("vid", "file"), "vid")
+    once = once.filter(keep) if keep is not None else once
+    listed = ranking.ranked(once.select("vid", "file", "r.*"), "tier", "place", "vid", into="rank")
+    q = query_vector.select(F.col("embedding").alias("__q")).limit(1)
+    again = vecs.select(F.col("vec_id").alias("vid"), "embedding").join(listed.select("vid"), "vid", "left_semi").crossJoin(F.broadcast(q)).select("vid", vectors.dot("embedding", "__q").alias("again"))
+    order = [F.desc(F.col("again").isNotNull()), F.desc("again"), F.col("rank")]
+    rows = listed.join(again, "vid", "left").withColumn("place", F.row_number().over(W.orderBy(*order)))
+    if by_file:
+        best = rows.select(F.lit("dense").alias("branch"), F.col("place").alias("rank"), F.col("vid").alias("node_id"), "file", "score", F.lit(None).cast("string").alias("content"))
+        return ranking.fuse_by_file(best).select("file", "score").orderBy(F.desc("score"), "file").limit(top_k)
+    return rows.orderBy("place").limit(top_k).select(F.col("vid").alias("id"), F.coalesce("again", "score").alias("score"))

@@ -32,10 +32,18 @@ def lsp_references(spark, sf):
     return navigation.references(vertices(spark, sf).filter("type = 'part'"), edges(spark, sf), 4).select("vid", "anchor_file", "anchor_line")
 
 
-@query()
+@query(
+    """WITH w AS (SELECT p_partkey, unnest(list_filter(string_split(lower('run ' || p_name || ' cache'), ' '), lambda x: length(x) >= 3)) AS t FROM part),
+t AS (SELECT p_partkey, t FROM w UNION SELECT p_partkey, left(t, CAST(length(t) - length(x) AS BIGINT)) FROM w, (VALUES ('ing'), ('ers'), ('er'), ('ments'), ('ment'), ('es'), ('s')) v(x) WHERE length(t) > length(x) + 2 AND ends_with(t, x)),
+n AS (SELECT p_partkey, count(*) FILTER (WHERE t IN ('widget', 'anvil', 'retrieval', 'retrieve', 'download', 'cache')) AS shared FROM t GROUP BY p_partkey)
+SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'type' WHEN shared > 0 THEN 'provider' ELSE 'endpoint' END AS role, CAST(shared AS INT) AS shared,
+  5.0 * shared + CASE WHEN p_size % 2 = 0 THEN greatest(0, 8 - p_size) ELSE 3 END + CASE WHEN p_size % 5 = 0 THEN 1.0 WHEN shared > 0 THEN 2.0 ELSE 4.0 END AS score FROM n JOIN part USING (p_partkey)"""
+)
 def lsp_route(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("run_"), F.regexp_replace("p_name", " ", "_")).alias("name"), F.col("p_size").alias("rank"))
-    return navigation.route_scores(p, ["widget", "anvil"]).select("p_partkey", "role", "shared", F.round("score", 6).alias("score"))
+    p = table(spark, sf, "part")
+    kind = F.when(F.col("p_size") % 5 == 0, "class").otherwise("function")
+    nodes = p.select("p_partkey", F.concat(F.lit("run_"), F.regexp_replace("p_name", " ", "_"), F.lit("_cache()")).alias("name"), kind.alias("type"), F.lit(1).alias("start_line"), F.lit(5).alias("end_line"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("rank"))
+    return navigation.route_scores(nodes, ["widget", "anvil", "retrieval"]).select("p_partkey", "role", "shared", F.round("score", 6).alias("score"))
 
 
 @query(

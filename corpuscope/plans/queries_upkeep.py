@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import paths
 from corpuscope.operators import evaluation, facts, filters, graph, incremental, intervals, lexical
+from corpuscope.plans import planner
+from corpuscope.plans.queries_rank import VEC
 from corpuscope.plans.queries_text import bm25_sql
 from corpuscope.plans.registry import query
 from corpuscope.plans.views import EDGES_SQL, FILES_SQL, VERTICES_SQL, edges, files, table, vertices
@@ -177,3 +179,32 @@ def graph_store(spark, sf):
     path = f"{shared_folder(spark)}/views/vertices-{uuid.uuid4().hex}"
     repository.write_view(vertices(spark, sf), path, "type")
     return spark.read.parquet(path).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH h AS (SELECT e.vec_id + 3000000000 AS vid, {VEC} AS score, row_number() OVER (ORDER BY {VEC} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q), seed AS (SELECT * FROM h WHERE rank <= 8),
+m AS (SELECT s.vid AS seed, s.rank, x.src AS t, min(x.eid) AS eid FROM seed s JOIN edges x ON x.dst = s.vid WHERE type = 'reference' GROUP BY ALL), k AS (SELECT t AS vid, rank * 1000 + n AS place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY eid, t) AS n FROM m) WHERE n <= 3),
+every AS (SELECT vid, 0 AS tier, rank AS place FROM seed UNION ALL SELECT vid, 1, min(place) FROM k GROUP BY vid), one AS (SELECT vid, min(tier * 10000000 + place) AS place FROM every WHERE vid IN (SELECT vid FROM vertices) GROUP BY vid)
+SELECT CAST(vid AS BIGINT) AS id FROM (SELECT one.vid, score, place FROM one LEFT JOIN h USING (vid) ORDER BY score IS NULL, score DESC, place, vid LIMIT 20)""",
+    EDGES_SQL, VERTICES_SQL,
+)
+def dense_graph_search(spark, sf):
+    """Parts near a vector, what refers to them, reranked."""
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") + 3000000000).alias("vec_id"), "embedding")
+    return planner.dense_graph_search(e, e.filter("vec_id = 3000000000"), edges(spark, sf), vertices(spark, sf), 20, 8, 3).select("id")
+
+
+@query("SELECT event_type, arg_max(user_id, event_id) AS newest, max(event_id) AS seq FROM events WHERE event_id <= (SELECT median(event_id) FROM events) GROUP BY event_type")
+def snapshot_at(spark, sf):
+    """The view as of a change: what a key was then."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.col("user_id").alias("value"), F.lit(False).alias("deleted"))
+    then = e.agg(F.median("seq").alias("then"))  # one row
+    past = e.crossJoin(F.broadcast(then)).filter(F.col("seq") <= F.col("then")).drop("then")
+    return facts.overlay(past, "key", "seq").select(F.col("key").alias("event_type"), F.col("value").alias("newest"), "seq")
+
+
+@query("SELECT CAST(unnest([0, 1]) AS INT) AS step, CAST(unnest([c, 4000000007]) AS BIGINT) AS vid FROM (SELECT 1000000000 + o_custkey AS c FROM orders WHERE o_orderkey = 7)")
+def trace_path(spark, sf):
+    """From a customer back to one of their orders."""
+    row = table(spark, sf, "orders").filter("o_orderkey = 7").first()
+    return graph.trace(edges(spark, sf), 1000000000 + row.o_custkey, 4000000007, 3)

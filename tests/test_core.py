@@ -20,7 +20,7 @@ CHECKED = [
     "code_tokens", "bm25_topk", "path_predicates", "identifier_occurrences", "trigram_search", "fusion_weighted", "fusion_rrf", "file_rrf", "interval_union", "vector_topk_l2", "hierarchical_search", "innermost_scope",
     "definitions_at", "ndcg_line_budget", "edge_layers", "bfs_impact", "ppr_fixed_iter", "hub_prune", "moniker_resolve", "retrieval_metrics_at_k", "win_tie_loss", "pareto_front", "chunk_delta", "manifest_join", "near_dup_pairs",
     "bm25_stored", "trigram_stored", "region_metrics", "planned_search", "graph_seeded_search", "greedy_span_dedup", "query_identifiers", "leak_guard", "diff_hunks", "supporting_evidence", "node_spans", "symbol_spans", "edge_staging",
-    "affected_symbols", "location_summary", "file_tree", "payload_store", "path_normalisation", "query_selection", "action_identifiers",
+    "affected_symbols", "location_summary", "file_tree", "payload_store", "path_normalisation", "query_selection", "action_identifiers", "lsp_route", "dense_graph_search", "snapshot_at", "trace_path",
 ]
 
 
@@ -309,6 +309,27 @@ def test_stored_views(spark, sf, tmp_path):
     assert {r.vec_id for r in some.collect()} == {r.vec_id for r in vectors.ivf_search(e, vectors.ivf_centroids(e), q, 10, nprobe=8).collect()} and len(exact & {r.vec_id for r in some.collect()}) >= 5
 
 
+def test_bundles(tmp_path):
+    from corpuscope.sources import bundles
+
+    view = tmp_path / "view" / "a"
+    view.mkdir(parents=True)
+    (view / "x").write_bytes(b"1" * 5000)
+    (tmp_path / "view" / "y").write_bytes(b"")
+    one, two = (bundles.pack(str(tmp_path / "view"), str(tmp_path / n), commit="c1") for n in ("one", "two"))
+    assert one == two and bundles.verify(str(tmp_path / "one"), one)["about"] == {"commit": "c1"}
+    bundles.unpack(str(tmp_path / "one"), str(tmp_path / "out"), one)
+    assert (tmp_path / "out" / "a" / "x").read_bytes() == b"1" * 5000 and (tmp_path / "out" / "y").exists()
+    with pytest.raises(FileExistsError):
+        bundles.unpack(str(tmp_path / "one"), str(tmp_path / "out"))
+    damaged = (tmp_path / "one").read_bytes().replace(b"1" * 4000, b"2" * 4000)
+    (tmp_path / "bad").write_bytes(damaged)
+    with pytest.raises((ValueError, OSError)):
+        bundles.verify(str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        bundles.verify(str(tmp_path / "one"), "0" * 64)
+
+
 def test_bootstraps(spark):
     rows = [(r, r * 10 + i, k, float(r + i % 3)) for r in range(6) for i in range(4) for k in range(3)]
     df = spark.createDataFrame(rows, "repo long, instance long, rep long, value double")
