@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,8 +37,9 @@ SEMANTIC = r"\b(how|why|what|when|where|explain|behavior|logic|flow|handle|suppo
 def code_tokens(text: Column) -> Column:
     """Alphanumeric runs in lower case, empty call brackets removed first."""
     bare = F.replace(F.coalesce(text, F.lit("")), F.lit("()"), F.lit(""))
-    # lower case only once nothing but ASCII is left; no function is called token by token
-    return F.array_remove(F.split(F.lower(F.regexp_replace(bare, "[^A-Za-z0-9]+", " ")), " ", -1), "")
+    # A-Z alone become lower case, so that no other letter turns into one of these; two ranges match much faster than three
+    low = F.translate(bare, string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(low, "[^a-z0-9]+", -1), "")
 
 
 def focus_terms(query: Column, stop: list[str]) -> Column:

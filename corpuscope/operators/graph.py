@@ -240,6 +240,16 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return label
 
 
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(communities, q): the share of undirected edges within communities less what degrees alone would give."""
+    one = edges.select(F.least("src", "dst").alias("s"), F.greatest("src", "dst").alias("d")).filter("s <> d").distinct()
+    ends = one.join(labels.select(F.col("vid").alias("s"), F.col("label").alias("x")), "s").join(labels.select(F.col("vid").alias("d"), F.col("label").alias("y")), "d").select("x", "y")
+    total = ends.agg(F.count("*").alias("m"), F.count_if(F.col("x") == F.col("y")).alias("inside"))
+    degree = ends.select(F.explode(F.array("x", "y")).alias("label")).groupBy("label").agg(F.count("*").alias("d"))
+    spread = degree.agg(F.count("*").alias("communities"), F.sum(F.col("d").cast("double") * F.col("d")).alias("squares"))
+    return total.crossJoin(spread).select("communities", F.when(F.col("m") > 0, F.col("inside") / F.col("m") - F.col("squares") / (4.0 * F.col("m") * F.col("m"))).alias("q"))
+
+
 def constrain(vertices: DataFrame, edges: DataFrame, surface: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Only vertices on the surface (files), and edges with both ends there."""
     own = vertices.join(surface, "file", "left_semi")

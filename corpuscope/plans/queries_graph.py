@@ -196,7 +196,23 @@ def codemap(spark, sf):
     return graph.codemap(edges(spark, sf), seed, 2).select("src", "dst", "anchors", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
-@query()
+_ROUND = "l{n} AS (SELECT vid, label FROM (SELECT f AS vid, label, row_number() OVER (PARTITION BY f ORDER BY count(*) DESC, label) AS k FROM b JOIN l{m} ON t = vid GROUP BY f, label) WHERE k = 1)"
+COMMUNITIES_SQL = "WITH c AS (SELECT src, dst FROM edges WHERE type = 'contain'), b AS (SELECT src AS f, dst AS t FROM c UNION SELECT dst, src FROM c), l0 AS (SELECT DISTINCT f AS vid, f AS label FROM b), " + ", ".join(_ROUND.format(n=n, m=n - 1) for n in (1, 2, 3))
+
+
+@query(
+    COMMUNITIES_SQL
+    + """, e AS (SELECT a.label AS x, z.label AS y FROM (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS d FROM c WHERE src <> dst) JOIN l3 a ON a.vid = s JOIN l3 z ON z.vid = d), d AS (SELECT label, count(*) AS d FROM (SELECT x AS label FROM e UNION ALL SELECT y FROM e) GROUP BY label)
+SELECT (SELECT count(*) FROM d) AS communities, round((SELECT count(*) FILTER (WHERE x = y) / count(*) FROM e) - (SELECT sum(d * d) FROM d) / pow(2 * (SELECT count(*) FROM e), 2), 9) AS q""",
+    EDGES_SQL,
+)
+def modularity(spark, sf):
+    """How well communities of containment cut the graph."""
+    e = edges(spark, sf).filter("type = 'contain'")
+    return graph.modularity(e, graph.communities(e, 3)).select("communities", F.round("q", 9).alias("q"))
+
+
+@query(COMMUNITIES_SQL + " SELECT vid, label FROM l3", EDGES_SQL)
 def communities(spark, sf):
     return graph.communities(edges(spark, sf).filter("type = 'contain'"), 3)
 
@@ -230,7 +246,12 @@ def contained_entities(spark, sf):
     return edges(spark, sf).filter(graph.in_layer("containment")).groupBy(F.col("dst").alias("parent")).agg(F.count("*").alias("children"), F.min("src").alias("first_child"))
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(^| )(old|new)( |$)') THEN 'bridge' ELSE 'support' END AS role FROM part WHERE NOT regexp_matches(p_name, 'run|process|cache|path')")
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'type' WHEN regexp_matches(p_name, '(^| )path( |$)') THEN 'provider' WHEN regexp_matches(p_name, '(^| )(old|new)( |$)') THEN 'bridge' WHEN p_size % 2 = 0 OR regexp_matches(p_name, '(^| )(run|process)( |$)') THEN 'endpoint' ELSE 'support' END AS role
+FROM part WHERE NOT regexp_matches(p_name, '^(get|default|make|build|new)')"""
+)
 def route_roles(spark, sf):
-    p = table(spark, sf, "part").filter(~F.col("p_name").rlike("run|process|cache|path"))
-    return p.select("p_partkey", F.when(graph.roles(F.split(F.regexp_replace("p_name", "old", "new"), " ")) == "bridge", "bridge").otherwise("support").alias("role"))
+    p = table(spark, sf, "part").filter(~F.col("p_name").rlike("^(get|default|make|build|new)"))
+    name = F.regexp_replace("p_name", "(^| )old( |$)", "$1new$2")
+    kind = F.when(F.col("p_size") % 7 == 0, "class").otherwise("function")
+    return p.select("p_partkey", graph.roles(F.split(name, " "), F.array(F.lit("new"), F.lit("path")), kind, F.col("p_name"), F.when(F.col("p_size") % 2 == 0, 9).otherwise(1)).alias("role"))
