@@ -95,6 +95,10 @@ def _hashed(kind: int, groups: int, tables: int, projections: int, cell: float,
                     for t in range(tables):
                         keys = hashes.keys(unit, t)[:, None] if kind == VECTOR else hashes.probes(unit, t, probes)
                         group = (mix64(keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+                        if kind == VECTOR:
+                            key = np.ascontiguousarray(keys).tobytes()
+                            out += [(dim, t, g, kind, i, key[8 * j : 8 * j + 8], v) for j, (g, i, v) in enumerate(zip(group[:, 0].tolist(), ids.tolist(), packed))]
+                            continue
                         for i in range(len(x)):
                             order = np.argsort(group[i], kind="stable")
                             own, begin = np.unique(group[i][order], return_index=True)
@@ -254,7 +258,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TAB
     asked = checkpoint(_usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).repartition(spread, "vec_id"))
     groups = max(1, -(-vectors.count() // group_vectors))
     params = (groups, tables, projections, cell, probes)
-    found = checkpoint(_nearest(vectors.mapInPandas(_hashed(VECTOR, *params), ROWS), asked.mapInPandas(_hashed(QUERY, *params), ROWS), k))
+    visits = checkpoint(asked.mapInPandas(_hashed(QUERY, *params), ROWS))  # counted, then dealt
+    found = checkpoint(_nearest(vectors.mapInPandas(_hashed(VECTOR, *params), ROWS), visits, k))
     full = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = checkpoint(asked.join(full, "vec_id", "left_anti"))
     if short.isEmpty():
