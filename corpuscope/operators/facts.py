@@ -92,8 +92,3 @@ def import_edges(spans: DataFrame, occurrences: DataFrame, definitions: DataFram
     refs = occurrences.filter(F.col("roles").bitwiseAND(1) == 0).select("file", F.col("start_line").alias("rs"), F.col("start_line").alias("re"), "symbol")
     hits = overlap_join(spans.select("file", F.col("s").alias("ls"), F.col("e").alias("le")), refs, "file", "ls", "le", "rs", "re")
     return hits.join(definitions.select("symbol", F.col("file").alias("target")).distinct(), "symbol").filter("file <> target").groupBy(F.col("file").alias("source"), "target").agg(F.min("rs").alias("anchor_line"))
-
-
-def nearest_release(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Successive versions of a key with the one before."""
-    return rows.withColumn("previous", F.lag(order).over(W.partitionBy(key).orderBy(order)))

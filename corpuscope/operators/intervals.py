@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -262,10 +260,6 @@ def parse_answer(answer: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"[\w./-]+\.[A-Za-z]+(?::[\w.]+)?"), F.lit(0)))
 
 
-def valid_identifier(name: str) -> bool:
-    return re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name) is not None
-
-
 def hunks(diff: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(key, n, old_start, old_end, new_start, new_end): changed lines of both sides of diffs without context, from 0, ends included.
 

@@ -137,3 +137,44 @@ def ivf_search(vectors: DataFrame, centroids: DataFrame, query: DataFrame, k: in
     probes = centroids.crossJoin(F.broadcast(q)).orderBy(F.desc(dot("centroid", "__q") - dot("centroid", "centroid") / 2), "list_id").limit(nprobe).select("list_id")
     own = ivf_assign(vectors, centroids).join(F.broadcast(probes), "list_id", "left_semi").drop("list_id")
     return search(own, query, k, key)
+
+
+def hashed_encoder(dim: int = 64, n: int = 3):
+    """A stand-in for a model: unit vectors of hashed character n-grams. Equal texts give equal vectors, anywhere."""
+    import zlib
+
+    import numpy as np
+
+    def encode(texts: list[str]):
+        out = np.zeros((len(texts), dim))
+        for row, t in zip(out, texts):
+            data = f"^{t.lower()}$".encode("utf-8", "surrogatepass")
+            for i in range(max(1, len(data) - n + 1)):
+                h = zlib.crc32(data[i : i + n])
+                row[h % dim] += 1.0 if h & 1 << 20 else -1.0
+            size = float(np.sqrt((row * row).sum()))
+            row /= size or 1.0
+        return out
+
+    return encode
+
+
+def embed(rows: DataFrame, content: str, make_encoder, batch: int = 64, into: str = "embedding") -> DataFrame:
+    """``rows`` with a vector of their content; null or blank content has none.
+
+    ``make_encoder`` is called once in each Python worker's task, so that a model is loaded there and not sent; it
+    returns a function from a list of texts to a matrix.
+    """
+    import pandas as pd
+
+    def run(batches):
+        encode = make_encoder()
+        for texts in batches:
+            out, own = [None] * len(texts), [i for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
+            for s in range(0, len(own), batch):
+                part = own[s : s + batch]
+                for i, v in zip(part, encode([texts.iloc[i] for i in part])):
+                    out[i] = [float(x) for x in v]
+            yield pd.Series(out, dtype=object)
+
+    return rows.withColumn(into, F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)(F.col(content)))

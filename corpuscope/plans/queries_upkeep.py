@@ -15,6 +15,7 @@ from corpuscope.plans.registry import query
 from corpuscope.plans.views import EDGES_SQL, FILES_SQL, VERTICES_SQL, edges, files, table, vertices
 from corpuscope.session import shared_folder
 from corpuscope.sources import repository
+from corpuscope.streaming import commits
 
 
 @query("SELECT doc_id, n, old_start, old_end, new_start, new_end FROM (SELECT doc_id, CAST(0 AS BIGINT) AS n, n_chars AS old_start, n_chars + 1 AS old_end, doc_id AS new_start, doc_id AS new_end FROM documents UNION ALL SELECT doc_id, 1, 8, 8, 10, 10 FROM documents)")
@@ -208,3 +209,19 @@ def trace_path(spark, sf):
     """From a customer back to one of their orders."""
     row = table(spark, sf, "orders").filter("o_orderkey = 7").first()
     return graph.trace(edges(spark, sf), 1000000000 + row.o_custkey, 4000000007, 3)
+
+
+@query("SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_activity(spark, sf):
+    """The streaming aggregate over a bounded input: events by type and day."""
+    w = commits.windowed_activity(table(spark, sf, "events"))
+    return w.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT p_partkey, 'parts.py:' || p_brand || '.go()' || chr(10) || CASE WHEN p_size % 2 = 0 THEN 'class ' || p_brand || ':' || chr(10) ELSE '' END || p_name AS content FROM part")
+def chunk_prefix(spark, sf):
+    """Chunks as they are indexed: their id, the class of a method, the content."""
+    name = F.concat("p_brand", F.lit(".go"))
+    kind = F.when(F.col("p_size") % 2 == 0, "method").otherwise("function")
+    c = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("parts.py:"), name, F.lit("()")).alias("node_id"), name.alias("name"), kind.alias("chunk_type"), F.col("p_name").alias("content"))
+    return repository.with_prefix(c).select("p_partkey", "content")

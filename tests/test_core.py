@@ -20,7 +20,7 @@ CHECKED = [
     "code_tokens", "bm25_topk", "path_predicates", "identifier_occurrences", "trigram_search", "fusion_weighted", "fusion_rrf", "file_rrf", "interval_union", "vector_topk_l2", "hierarchical_search", "innermost_scope",
     "definitions_at", "ndcg_line_budget", "edge_layers", "bfs_impact", "ppr_fixed_iter", "hub_prune", "moniker_resolve", "retrieval_metrics_at_k", "win_tie_loss", "pareto_front", "chunk_delta", "manifest_join", "near_dup_pairs",
     "bm25_stored", "trigram_stored", "region_metrics", "planned_search", "graph_seeded_search", "greedy_span_dedup", "query_identifiers", "leak_guard", "diff_hunks", "supporting_evidence", "node_spans", "symbol_spans", "edge_staging",
-    "affected_symbols", "location_summary", "file_tree", "payload_store", "path_normalisation", "query_selection", "action_identifiers", "lsp_route", "dense_graph_search", "snapshot_at", "trace_path",
+    "affected_symbols", "location_summary", "file_tree", "payload_store", "path_normalisation", "query_selection", "action_identifiers", "lsp_route", "dense_graph_search", "snapshot_at", "trace_path", "windowed_activity", "chunk_prefix", "communities",
 ]
 
 
@@ -309,6 +309,27 @@ def test_stored_views(spark, sf, tmp_path):
     assert {r.vec_id for r in some.collect()} == {r.vec_id for r in vectors.ivf_search(e, vectors.ivf_centroids(e), q, 10, nprobe=8).collect()} and len(exact & {r.vec_id for r in some.collect()}) >= 5
 
 
+def test_files_in_and_out(spark, tmp_path):
+    (tmp_path / "status.tsv").write_text("c1\tR100\tnew.py\told.py\nc1\tA\tx.py\t\n")
+    changes = incremental.file_changes(repository.git_status(spark, f"{tmp_path}/status.tsv")).collect()
+    assert {(r.file, r.status) for r in changes} == {("old.py", "deleted"), ("new.py", "modified"), ("x.py", "added")}
+    for i, cell in enumerate([{"arm": "a", "success": True, "metrics_meaningful": True}, {"arm": "b", "success": None, "metrics_meaningful": True}, {"arm": "c", "success": True, "metrics_meaningful": False}]):
+        (tmp_path / f"cell{i}.json").write_text(json.dumps(cell, indent=1))
+    assert [r.arm for r in repository.load_cells(spark, f"{tmp_path}/cell*.json", "arm string, success boolean, metrics_meaningful boolean").collect()] == ["a"]
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "k int, v string")
+    repository.write_csv(df, f"{tmp_path}/csv")
+    assert sorted(map(tuple, repository.load_dataset(spark, f"{tmp_path}/csv", "k int, v string", "csv").collect())) == [(1, "a,b"), (2, None)]
+    repository.write_view(df, f"{tmp_path}/view", "k")
+    assert spark.read.parquet(f"{tmp_path}/view").filter("k = 1").first().v == "a,b"
+
+
+def test_embedding_by_a_pluggable_encoder(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", "alpha beta", "gamma", "", None, "  "])], "i int, t string").repartition(3)
+    got = {r.i: r.embedding for r in vectors.embed(rows, "t", lambda: vectors.hashed_encoder(32), batch=1).collect()}
+    assert got[0] == got[1] != got[2] and got[3] is None and got[4] is None and got[5] is None
+    assert sum(x * x for x in got[2]) == pytest.approx(1) and len(got[2]) == 32
+
+
 def test_bundles(tmp_path):
     from corpuscope.sources import bundles
 
