@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpuscope.llm import decontamination, jaccard, langid, neighbours, packing, passages, pii, secrets, templates, toxicity
 from corpuscope.llm.common import read
