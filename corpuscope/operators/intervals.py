@@ -63,13 +63,6 @@ def normalize_span(df: DataFrame, start: str, end: str, base: int = 1) -> DataFr
     return df.withColumn("s", F.least(a, b)).withColumn("e", F.greatest(a, b)).filter(a.isNotNull() & b.isNotNull() & (F.least(a, b) >= 0))
 
 
-def resolve_bounds(df: DataFrame, length: str = "n_lines") -> DataFrame:
-    """A negative start counts from the file's end, an end of -1 is its last line; both clamped."""
-    s = F.when(F.col("start") < 0, F.col(length) + F.col("start")).otherwise(F.col("start"))
-    e = F.when(F.col("end") == -1, F.col(length) - 1).otherwise(F.col("end"))
-    return df.withColumn("s", F.greatest(s, F.lit(0))).withColumn("e", F.least(e, F.col(length) - 1)).filter("s <= e")
-
-
 def greedy_dedup(df: DataFrame, query: str, rank: str, file: str, start: str, end: str) -> DataFrame:
     """In rank order, drop a span that meets one already kept. Kept spans alone count, so order matters:
     each query's ranked list is folded."""

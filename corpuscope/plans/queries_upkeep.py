@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuscope.functions import paths
-from corpuscope.operators import evaluation, facts, filters, graph, incremental, intervals, lexical
+from corpuscope.operators import evaluation, facts, filters, graph, incremental, intervals, lexical, ranking
 from corpuscope.plans import planner
 from corpuscope.plans.queries_rank import VEC
 from corpuscope.plans.queries_text import bm25_sql
@@ -225,3 +225,24 @@ def chunk_prefix(spark, sf):
     kind = F.when(F.col("p_size") % 2 == 0, "method").otherwise("function")
     c = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("parts.py:"), name, F.lit("()")).alias("node_id"), name.alias("name"), kind.alias("chunk_type"), F.col("p_name").alias("content"))
     return repository.with_prefix(c).select("p_partkey", "content")
+
+
+@query(
+    """SELECT vid, CASE WHEN vid % 3 = 0 THEN file || ':1:9' ELSE file || ':f' END AS node, file AS path FROM files""",
+    FILES_SQL,
+)
+def result_keys(spark, sf):
+    """What tells results apart: their id, else their span; and the path that their id or file gives."""
+    f = files(spark, sf)
+    node = F.when(F.col("vid") % 3 != 0, F.concat("file", F.lit(":f")))
+    own = f.select("vid", "file", node.alias("node_id"), F.concat(F.lit("/build/"), "file").alias("built"))
+    key = ranking.node_key(F.col("node_id"), F.col("file"), F.lit(1), F.lit(9))
+    return own.select("vid", key.alias("node"), ranking.file_key(F.coalesce("node_id", F.concat("file", F.lit(":x"))), F.col("built")).alias("path"))
+
+
+@query("SELECT l_partkey, l_linenumber, min(l_orderkey) AS first_order FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY ALL")
+def distinct_chunks(spark, sf):
+    line = table(spark, sf, "lineitem").groupBy("l_partkey", "l_linenumber", "l_orderkey").agg(F.lit(1).alias("one"))
+    p = F.col("l_partkey")
+    rows = line.select("l_partkey", "l_linenumber", "l_orderkey", F.when(p % 5 != 0, p.cast("string")).alias("node_id"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.col("l_orderkey").alias("position"))
+    return lexical.distinct_chunks(rows).select("l_partkey", "l_linenumber", F.col("l_orderkey").alias("first_order"))
