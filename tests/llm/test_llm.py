@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscope.llm.common import byte_table, mix64
 from corpuscope.llm.words import WordBatch
@@ -50,6 +51,41 @@ def documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").cache()
 
 
+# -- shared helpers
+
+
+def test_known_keys_are_kept_by_broadcast_and_by_salted_join(spark, monkeypatch):
+    from corpuscope.llm import common
+
+    rows = spark.createDataFrame([(k, i, "x") for i in range(40) for k in (1, 1, i)], "k long, i long, salt string")
+    known = spark.createDataFrame([(1,), (7,), (99,)], "k long")
+    want = sorted((k, i) for i in range(40) for k in (1, 1, i) if k in (1, 7))
+    for few in (200_000, 0):
+        monkeypatch.setattr(common, "FEW_ROWS", few)
+        kept = common.keep_known(rows, known, ["k"], "i")
+        assert sorted((r.k, r.i) for r in kept.collect()) == want and kept.columns == rows.columns
+
+
+def test_sieve_loses_nothing_that_is_wanted(spark):
+    from corpuscope.llm import common
+
+    rows = spark.range(20_000).withColumn("t", F.lit("x")).union(spark.createDataFrame([(None, "y")], "id long, t string"))
+    wanted = spark.range(0, 20_000, 97).select("id")
+    out = common.sieved(rows, wanted, "id")
+    ids = [r.id for r in out.collect()]
+    assert set(range(0, 20_000, 97)) <= set(ids) and len(ids) == len(set(ids)) and len(ids) < 400 and out.columns == rows.columns
+    assert common.sieved(rows, wanted.limit(0), "id").count() == 0
+
+
+def test_sample_is_bounded_in_rows_and_characters(spark):
+    from corpuscope.llm import common
+
+    ids = spark.createDataFrame([(i, 10) for i in range(100)], "doc_id long, chars int")
+    assert common.bounded_sample(ids, 30, 10_000).count() == 30
+    few = {r.doc_id for r in common.bounded_sample(ids, 30, 75).collect()}
+    assert len(few) == 7 and few == {r.doc_id for r in common.bounded_sample(ids.repartition(5), 30, 75).collect()}
+
+
 # -- 1 toxicity
 
 
