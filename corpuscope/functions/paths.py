@@ -122,3 +122,11 @@ def normalize(path: Column) -> Column:
     out = F.aggregate(parts, F.array().cast("array<string>"), step)
     bad = path.startswith("/") | posix(path).rlike(r"^[A-Za-z]:|^/") | path.contains("\x00")
     return F.when(~bad & (F.size(out) > 0), F.array_join(out, "/"))
+
+
+def normalize_symbol(symbol: Column) -> Column:
+    """``path:Symbol`` with a canonical path; null for a drive or a path that escapes; names without a path stay."""
+    file = normalize(F.substring_index(symbol, ":", 1))
+    rest = F.substring(symbol, F.instr(symbol, ":"), F.length(symbol))
+    own = F.when(file.isNotNull(), F.concat(file, rest))
+    return F.when(symbol.rlike("^[A-Za-z]:") | (symbol == ""), F.lit(None)).when(symbol.contains(":"), own).otherwise(symbol)

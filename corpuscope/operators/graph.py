@@ -318,3 +318,14 @@ def edge_labels(edges: DataFrame, cache: DataFrame, fields: list[str]) -> DataFr
     """Edges with the label cached under the SHA-256 of their fields, or null where one has to be written."""
     keyed = edges.withColumn("label_key", F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256))
     return keyed.join(cache.select("label_key", "label"), "label_key", "left")
+
+
+def range_query_by_symbol(vertices: DataFrame, anchors: DataFrame, symbol: str) -> DataFrame:
+    """As ``range_query`` for the spans of every vertex (vid, name, file, start_line, end_line) of a unified name: (role, id)."""
+    own = vertices.filter(F.coalesce(F.col("unified_name") if "unified_name" in vertices.columns else F.col("name"), F.col("name")) == symbol)
+    s = own.select("file", F.col("start_line").alias("__s"), F.col("end_line").alias("__e")).distinct()
+    defined = vertices.join(s, "file").filter((F.col("start_line") <= F.col("__e")) & (F.col("end_line") >= F.col("__s"))).select("vid").distinct()
+    outgoing = anchors.join(s, anchors["anchor_file"] == s["file"]).filter(F.col("anchor_line").between(F.col("__s"), F.col("__e"))).select("eid").distinct()
+    incoming = anchors.filter("src <> dst").join(defined.select(F.col("vid").alias("dst")), "dst", "left_semi").select("eid")
+    role = lambda df, c, r: df.select(F.lit(r).alias("role"), F.col(c).cast("long").alias("id"))
+    return role(defined, "vid", "defined").union(role(outgoing, "eid", "outgoing")).union(role(incoming, "eid", "incoming"))

@@ -110,3 +110,31 @@ def admit(updates: DataFrame, policy: str = "always", verified: DataFrame | None
     if policy != "verified" or verified is None:
         raise ValueError("policy is always, never, or verified with a table")
     return updates.join(verified.select(key).distinct(), key, "left_semi")
+
+
+def renamed_files(status: DataFrame, suffixes: list[str]) -> DataFrame:
+    """(commit, status, file, old_file) of files with one of the suffixes; a rename stays one row with both paths."""
+    kind = F.when(F.col("status").startswith("R"), "renamed").when(F.col("status").startswith("A"), "added").when(F.col("status").startswith("D"), "deleted").otherwise("modified")
+    own = status.select("commit", kind.alias("status"), F.col("path").alias("file"), F.when(F.col("status").startswith("R"), F.col("old_path")).alias("old_file"))
+    wanted = F.lit(False)
+    for s in suffixes:
+        wanted = wanted | F.col("file").endswith(s) | F.coalesce(F.col("old_file").endswith(s), F.lit(False))
+    return own.filter(wanted)
+
+
+def surface_classes(files: DataFrame, tracked: DataFrame, submodules: DataFrame) -> DataFrame:
+    """(file, class): files of a commit's tree (``tracked``), below or at one of its submodules (``submodule``), or ``outside``."""
+    parts = F.split("file", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("root")
+    own = files.select("file").distinct()
+    inside = own.select("file", above).join(submodules.select(F.col("file").alias("root")).distinct(), "root").select("file").distinct()
+    mark = lambda df, c: df.select("file").distinct().withColumn(c, F.lit(True))
+    out = own.join(mark(tracked, "__t"), "file", "left").join(mark(inside, "__s"), "file", "left")
+    return out.select("file", F.when(F.col("__t"), "tracked").when(F.col("__s"), "submodule").otherwise("outside").alias("class"))
+
+
+def convergence(incremental_view: DataFrame, rebuilt: DataFrame, key: list[str]) -> DataFrame:
+    """(missing, extra, converged): keys of a rebuilt view that the maintained one lacks or has beside, as multisets."""
+    a, b = incremental_view.select(*key), rebuilt.select(*key)
+    n = lambda df, c: df.agg(F.count("*").alias(c))
+    return n(b.exceptAll(a), "missing").crossJoin(n(a.exceptAll(b), "extra")).withColumn("converged", (F.col("missing") == 0) & (F.col("extra") == 0))

@@ -137,3 +137,20 @@ def parse_permutation(answer: Column, n: Column) -> Column:
     valid = F.array_distinct(F.filter(said, lambda x: (x >= 0) & (x < n)))
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.concat(valid, F.array_except(every, valid))
+
+
+def run_stages(stages: list[tuple[str, DataFrame]], key: str, top_k: int, fusion: str = "weighted", weights: list[float] | None = None, k: int = 60) -> DataFrame:
+    """The results of retrieval stages (name, rows with rank, score and content): one list is cut, several are fused.
+
+    Weights count if there is one for each stage, else all stages count alike.
+    """
+    if not stages or top_k <= 0:
+        raise ValueError("a stage at least, and a positive top_k")
+    if len(stages) == 1:
+        return stages[0][1].orderBy("rank").limit(top_k).select(key, "score")
+    rows = None
+    for i, (_, own) in enumerate(stages):
+        part = own.select(F.lit(i).cast("long").alias("branch"), F.col("rank").cast("long").alias("rank"), key, "score", "content")
+        rows = part if rows is None else rows.unionByName(part)
+    own_weights = dict(enumerate(weights)) if weights is not None and len(weights) == len(stages) else {}
+    return fuse(rows, key, fusion, own_weights, k).orderBy(F.desc("score"), "branch", "rank", key).limit(top_k).select(key, "score")

@@ -12,7 +12,7 @@ from corpuscope.plans import planner
 from corpuscope.plans.queries_rank import VEC
 from corpuscope.plans.queries_text import bm25_sql
 from corpuscope.plans.registry import query
-from corpuscope.plans.views import EDGES_SQL, FILES_SQL, VERTICES_SQL, edges, files, table, vertices
+from corpuscope.plans.views import CANDIDATES_SQL, EDGES_SQL, FILES_SQL, VERTICES_SQL, candidates, edges, files, table, vertices
 from corpuscope.session import shared_folder
 from corpuscope.sources import repository
 from corpuscope.streaming import commits
@@ -246,3 +246,48 @@ def distinct_chunks(spark, sf):
     p = F.col("l_partkey")
     rows = line.select("l_partkey", "l_linenumber", "l_orderkey", F.when(p % 5 != 0, p.cast("string")).alias("node_id"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.col("l_orderkey").alias("position"))
     return lexical.distinct_chunks(rows).select("l_partkey", "l_linenumber", F.col("l_orderkey").alias("first_order"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'renamed' WHEN event_id % 3 = 0 THEN 'added' ELSE 'modified' END AS status, event_type || '.py' AS file, CASE WHEN event_id % 8 = 0 THEN 'old.go' END AS old_file FROM events")
+def renamed_files(spark, sf):
+    i = F.col("event_id")
+    status = F.when(i % 8 == 0, "R090").when(i % 3 == 0, "A").otherwise("M")
+    e = table(spark, sf, "events").select(i.alias("commit"), status.alias("status"), F.concat("event_type", F.lit(".py")).alias("path"), F.lit("old.go").alias("old_path"))
+    return incremental.renamed_files(e, [".py"]).withColumnRenamed("commit", "event_id")
+
+
+@query("SELECT DISTINCT file, CASE WHEN vid % 4 = 0 THEN 'tracked' WHEN file LIKE 'src1/%' OR file LIKE 'src2/tests/%' THEN 'submodule' ELSE 'outside' END AS class FROM files", FILES_SQL)
+def surface_classes(spark, sf):
+    f = files(spark, sf)
+    roots = spark.createDataFrame([("src1",), ("src2/tests",)], "file string")
+    return incremental.surface_classes(f, f.filter("vid % 4 = 0"), roots)
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 10 = 0) AS missing, CAST(0 AS BIGINT) AS extra, count(*) FILTER (WHERE doc_id % 10 = 0) = 0 AS converged FROM documents")
+def convergence(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
+    return incremental.convergence(d.filter("doc_id % 10 <> 0"), d, ["doc_id", "h"])
+
+
+@query(
+    """WITH v AS (SELECT *, vid % 100 AS a, vid % 100 + 5 AS b FROM vertices), s AS (SELECT DISTINCT file, a, b FROM v WHERE name = 'NATION_3'), d AS (SELECT DISTINCT v.vid FROM v JOIN s ON v.file = s.file AND v.a <= s.b AND v.b >= s.a)
+SELECT 'defined' AS role, CAST(vid AS BIGINT) AS id FROM d UNION ALL SELECT 'incoming', CAST(eid AS BIGINT) FROM edges WHERE src <> dst AND dst IN (SELECT vid FROM d)""",
+    VERTICES_SQL, EDGES_SQL,
+)
+def range_query_by_symbol(spark, sf):
+    v = vertices(spark, sf).withColumn("start_line", F.col("vid") % 100).withColumn("end_line", F.col("vid") % 100 + 5)
+    return graph.range_query_by_symbol(v, edges(spark, sf).withColumn("anchor_file", F.col("anchor_file").cast("string")), "NATION_3")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'plain' WHEN 1 THEN source || '/x.py:A.f()' WHEN 2 THEN NULL ELSE NULL END AS symbol FROM documents")
+def symbol_normalisation(spark, sf):
+    i = F.col("doc_id") % 4
+    raw = F.when(i == 0, "plain").when(i == 1, F.concat(F.lit("./"), "source", F.lit("//x.py:A.f()"))).when(i == 2, F.lit("C:x.py:f")).otherwise(F.concat(F.lit("../"), "source", F.lit(":f")))
+    return table(spark, sf, "documents").select("doc_id", paths.normalize_symbol(raw).alias("symbol"))
+
+
+@query("WITH w AS (SELECT node_id, CASE branch WHEN 0 THEN 0.7 ELSE 0.3 END / (60 + rank) AS s FROM candidates WHERE branch < 2) SELECT node_id, round(sum(s), 9) AS score FROM w GROUP BY node_id", CANDIDATES_SQL)
+def stage_fusion(spark, sf):
+    c = candidates(spark, sf)
+    stages = [(n, c.filter(F.col("branch") == b)) for n, b in (("dense", 0), ("sparse", 1))]
+    return ranking.run_stages(stages, "node_id", 1000, "rrf", [0.7, 0.3]).select("node_id", F.round("score", 9).alias("score"))

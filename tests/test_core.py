@@ -20,7 +20,7 @@ CHECKED = [
     "code_tokens", "bm25_topk", "path_predicates", "identifier_occurrences", "trigram_search", "fusion_weighted", "fusion_rrf", "file_rrf", "interval_union", "vector_topk_l2", "hierarchical_search", "innermost_scope",
     "definitions_at", "ndcg_line_budget", "edge_layers", "bfs_impact", "ppr_fixed_iter", "hub_prune", "moniker_resolve", "retrieval_metrics_at_k", "win_tie_loss", "pareto_front", "chunk_delta", "manifest_join", "near_dup_pairs",
     "bm25_stored", "trigram_stored", "region_metrics", "planned_search", "graph_seeded_search", "greedy_span_dedup", "query_identifiers", "leak_guard", "diff_hunks", "supporting_evidence", "node_spans", "symbol_spans", "edge_staging",
-    "affected_symbols", "location_summary", "file_tree", "payload_store", "path_normalisation", "query_selection", "action_identifiers", "lsp_route", "dense_graph_search", "snapshot_at", "trace_path", "windowed_activity", "chunk_prefix", "communities",
+    "affected_symbols", "location_summary", "file_tree", "payload_store", "path_normalisation", "query_selection", "action_identifiers", "lsp_route", "dense_graph_search", "snapshot_at", "trace_path", "windowed_activity", "chunk_prefix", "communities", "renamed_files", "surface_classes", "range_query_by_symbol", "symbol_normalisation", "stage_fusion",
 ]
 
 
@@ -330,6 +330,26 @@ def test_embedding_by_a_pluggable_encoder(spark):
     assert sum(x * x for x in got[2]) == pytest.approx(1) and len(got[2]) == 32
 
 
+def test_request_bounds():
+    from corpuscope.plans import requests
+
+    assert requests.required_text(" x ", "query", 5) == "x" and requests.bounded_integer(3, "top_k", 20) == 3 and requests.bounded_text("", "note", 3) == ""
+    for bad in ((requests.required_text, "  ", "q"), (requests.required_text, None, "q"), (requests.required_text, "abc", "q", 2), (requests.bounded_integer, True, "k", 9), (requests.bounded_integer, 0, "k", 9), (requests.bounded_integer, "3", "k", 9), (requests.bounded_text, 3, "t", 9)):
+        with pytest.raises(ValueError):
+            bad[0](*bad[1:])
+
+
+def test_stages_need_a_weight_each(spark):
+    rows = branch(spark, [(0, 1, "a", "f", 0.9, ""), (0, 2, "b", "f", 0.5, ""), (1, 1, "b", "f", 1.0, "")])
+    stages = [("x", rows.filter("branch = 0")), ("y", rows.filter("branch = 1"))]
+    got = lambda **more: [(r.node_id, round(r.score, 3)) for r in ranking.run_stages(stages, "node_id", 5, **more).collect()]
+    assert got() == got(weights=[0.1]) == [("b", 1.5), ("a", 0.9)]
+    assert got(weights=[1.0, 0.1]) == [("a", 0.9), ("b", 0.6)]
+    assert [r.node_id for r in ranking.run_stages(stages[:1], "node_id", 1).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        ranking.run_stages([], "node_id", 3)
+
+
 def test_bundles(tmp_path):
     from corpuscope.sources import bundles
 
