@@ -53,8 +53,12 @@ def occurrence_at(points: DataFrame, occurrences: DataFrame, key: str) -> DataFr
 def locations(found: DataFrame, occurrences: DataFrame, key: str, definitions: bool, limit: int) -> DataFrame:
     """Definition or reference places of found symbols: distinct, sorted, cut. Symbols ``local ...`` stay in their file."""
     bit = F.col("roles").bitwiseAND(1) == (1 if definitions else 0)
-    rows = found.join(occurrences.filter(bit), "symbol").select(key, "symbol", "file", "start_line", "start_char").distinct()
-    return rows.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("file", "start_line", "start_char"))).filter(F.col("n") <= limit)
+    order = ["file", "start_line", "start_char"]
+    places = occurrences.filter(bit).select("symbol", *order).distinct()
+    # of a symbol's places no more than ``limit`` can be among the first of a key: cut before the join, not after it
+    first = places.withColumn("__n", F.row_number().over(W.partitionBy("symbol").orderBy(*order))).filter(F.col("__n") <= limit).drop("__n")
+    rows = found.select(key, "symbol").distinct().join(first, "symbol")
+    return rows.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("n") <= limit).select(key, "symbol", *order, "n")
 
 
 def normalize_span(df: DataFrame, start: str, end: str, base: int = 1) -> DataFrame:
