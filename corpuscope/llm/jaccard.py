@@ -2,8 +2,11 @@
 
 Documents with equal n-gram sets form one class. Each class's n-grams are put in one global order, rare
 first. Two sets whose similarity reaches the threshold must share n-grams among the first few of both
-(their prefixes), so the product runs over the prefixes: overlap counts are accumulated by pair, and
-pairs whose count is below the bound that their sizes imply go. n-grams in very many prefixes would
+(their prefixes). The order knows rare n-grams by hashed counts only, which tell less the larger the table
+is; so a prefix is sent half as long again, the prefixes it is found in are counted exactly, and as many of
+its most common n-grams go as the longer prefixes of two such sets must share besides the first. The product
+runs over what is left: overlap counts are accumulated by pair, and pairs whose count is below the bound
+that their sizes imply go. n-grams in very many prefixes would
 make all pairs of a group; there each document is tied to one of like size instead, by star. What is left
 ties classes into small clusters. A second product over the whole sets decides every pair within a cluster
 that could still join two components. A large cluster is cut in blocks: first each block is linked within
@@ -28,7 +31,8 @@ from corpuscope.llm.components import connected_components
 SEPARATORS = [0x20, *range(0x09, 0x0E)]
 
 #: n-grams are counted in so many hash buckets for the global order: a table of fixed size.
-ORDER_BITS = 18
+ORDER_BITS = 22
+BLOCK_BITS = 12
 
 #: From so many classes with an n-gram in their prefix on, stars replace pairs; from so many in one batch on, before the shuffle.
 HOT = 48
@@ -38,6 +42,9 @@ BLOCK_NGRAMS = 2_000_000
 HEADS = 4
 
 SLICE_CHARS = 1 << 20
+#: Rows whose texts are Python strings at a time; prefix rows that are tied and sent together.
+SLICE_ROWS = 1024
+SEND_ROWS = 1 << 19
 
 
 def shingle_sets(texts, n: int, table):
@@ -68,29 +75,79 @@ def required(theta: int, a, b):
     return -(-theta * (a + b) // (100 + theta))
 
 
+def prefix_length(n, theta: int):
+    """So many n-grams of a set of ``n``, in any one order, hold one that a set of similarity theta / 100 or more has as well."""
+    return n - -(-theta * n // 100) + 1
+
+
+def surplus(n, theta: int):
+    """By so many n-grams a prefix is sent longer. It never falls as ``n`` rises."""
+    p = prefix_length(n, theta)
+    return min(p // 2, n - p)
+
+
+def spare(n, theta: int):
+    """So many n-grams of a longer prefix need not be looked at: the least surplus of a set of like size.
+
+    The longer prefixes of two like sets share the first 1 + (the smaller surplus) of all that the two share,
+    so in whatever order each of them may leave out its last ``spare``.
+    """
+    return surplus(-(-theta * n // 100), theta)
+
+
+def _texts(batches):
+    """The texts of Arrow batches, some rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.column("text").slice(at, SLICE_ROWS).to_pylist()
+
+
 def _classes(n: int, table):
     def run(batches):
         for texts in batches:
-            rows = [(len(s), class_of(s) if len(s) else None) for s in shingle_sets(texts.tolist(), n, table)]
+            rows = [(len(s), class_of(s) if len(s) else None) for at in range(0, len(texts), SLICE_ROWS) for s in shingle_sets(texts[at : at + SLICE_ROWS].tolist(), n, table)]
             yield pd.DataFrame({"n": np.array([r[0] for r in rows], np.int64), "class": pd.array([r[1] for r in rows], "Int64")})
 
     return F.pandas_udf(run, "n long, class long", F.PandasUDFType.SCALAR_ITER)
 
 
+def bucket_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
 def _bucket_counts(n: int, table):
+    """Counts by bucket, up to 255 a task, one byte each: (block, counts) for every run of 2 ** ``BLOCK_BITS`` buckets."""
+
     def run(batches):
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
-        for pdf in batches:
-            for s in shingle_sets(pdf["text"].tolist(), n, table):
-                counts += np.bincount((s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts)) if len(s) > 20_000 else 0
-                if len(s) <= 20_000:
-                    np.add.at(counts, (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
+        counts = np.zeros(1 << ORDER_BITS, np.uint32)
+        for texts in _texts(batches):
+            for s in shingle_sets(texts, n, table):
+                np.add.at(counts, bucket_of(s), np.uint32(1))
+        blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
+        some = np.flatnonzero(blocks.any(axis=1))
+        for at in range(0, len(some), 128):
+            own = some[at : at + 128]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([blocks[i].tobytes() for i in own], pa.binary())], names=["block", "counts"])
 
     return run
 
 
+def _block_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(1 << BLOCK_BITS, np.int64)
+    for counts in pdf["counts"]:
+        total += np.frombuffer(counts, np.uint8)
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
+
+
+def bucket_counts(text: DataFrame, n: int, table) -> np.ndarray:
+    """How often n-grams of all texts fall in each bucket, about: a table of fixed size, of two bytes a bucket."""
+    parts = text.mapInArrow(_bucket_counts(n, table), "block int, counts binary")
+    counts = np.zeros((1 << (ORDER_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
+    for row in parts.groupBy("block").applyInPandas(_block_sums, "block int, counts binary").toLocalIterator():
+        counts[row.block] = np.frombuffer(row.counts, "<u2")
+    return counts.ravel()
+
+
 def tied_here(gram: np.ndarray, key: np.ndarray, band: np.ndarray, here: int):
     """Of a batch's prefix rows: which to send, which are of an n-gram that is common here, and ties (row, other row).
 
@@ -113,45 +170,61 @@ def tied_here(gram: np.ndarray, key: np.ndarray, band: np.ndarray, here: int):
     return send, hot, row[~new], head[~new]
 
 
-PREFIXES = "gram long, class long, n long, band int, hot boolean, tie long"
+PREFIXES = "gram long, class long, n long, band int, hot boolean, held int, tie long"
 
 
 def _prefixes(n: int, theta: int, table, order, here: int):
-    """Prefix rows, and ties between classes (``tie`` is the other one) in place of those of n-grams common in a batch."""
+    """Rows of the longer prefixes, and ties between classes (``tie`` is the other one) in place of those of n-grams common in a batch.
+
+    ``held`` is how many rows of a class stayed behind.
+    """
     step = math.log(100 / theta) * 1.0001  # like sizes are at most one band apart
 
+    def rows(grams, classes, sizes):
+        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        gram, key, size = np.concatenate(grams).view(np.int64), np.array(classes, np.int64)[of], np.array(sizes, np.int64)[of]
+        band = np.floor(np.log(size) / step).astype(np.int32)
+        send, hot, one, two = tied_here(gram, key, band, here)
+        held = np.bincount(of[~send], minlength=len(grams)).astype(np.int32)[of]
+        ties = np.unique(np.column_stack([key[one], key[two]]), axis=0) if len(one) else np.zeros((0, 2), np.int64)
+        some = np.flatnonzero(send)
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            columns = [pa.array(x[own]) for x in (gram, key, size, band, hot, held)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(own), pa.int64())], names=names)
+        if len(ties):  # a tie travels by its class
+            none = np.zeros(len(ties), np.int64)
+            columns = [ties[:, 0], ties[:, 0], none, none.astype(np.int32), none > 0, none.astype(np.int32), ties[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=names)
+
+    names = [x.split()[0] for x in PREFIXES.split(", ")]
+
     def run(batches):
         counts, seen = order.value, set()
         for batch in batches:
-            grams, classes, sizes = [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), n, table):
-                if not len(s) or (c := class_of(s)) in seen:
-                    continue
-                seen.add(c)  # copies in one partition: once
-                p = len(s) - -(-theta * len(s) // 100) + 1
-                rank = counts[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-                g = s[np.lexsort((s, rank))[:p]]
-                grams.append(g)
-                classes.append(np.full(p, c))
-                sizes.append(np.full(p, len(s)))
-            if not grams:
-                continue
-            gram, key, size = np.concatenate(grams).view(np.int64), np.concatenate(classes), np.concatenate(sizes).astype(np.int64)
-            band = np.floor(np.log(size) / step).astype(np.int32)
-            send, hot, one, two = tied_here(gram, key, band, here)
-            ties = np.unique(np.column_stack([key[one], key[two]]), axis=0) if len(one) else np.zeros((0, 2), np.int64)
-            rest = np.zeros(len(ties), np.int64)
-            # a tie travels by its class
-            columns = [np.append(gram[send], ties[:, 0]), np.append(key[send], ties[:, 0]), np.append(size[send], rest), np.append(band[send], rest).astype(np.int32), np.append(hot[send], rest > 0)]
-            tie = pa.array(np.append(np.zeros(int(send.sum()), np.int64), ties[:, 1]), mask=np.append(np.ones(int(send.sum()), bool), rest > 0))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), tie], names=["gram", "class", "n", "band", "hot", "tie"])
+            grams, classes, sizes, total = [], [], [], 0
+            for texts in _texts([batch]):
+                for s in shingle_sets(texts, n, table):
+                    if not len(s) or (c := class_of(s)) in seen:
+                        continue
+                    seen.add(c)  # copies in one partition: once
+                    p = prefix_length(len(s), theta) + surplus(len(s), theta)
+                    grams.append(s[np.lexsort((s, counts[bucket_of(s)]))[:p]])
+                    classes.append(c)
+                    sizes.append(len(s))
+                    total += p
+                    if total >= SEND_ROWS:
+                        yield from rows(grams, classes, sizes)
+                        grams, classes, sizes, total = [], [], [], 0
+            if grams:
+                yield from rows(grams, classes, sizes)
 
     return run
 
 
 def _sets(n: int, table):
     def run(batches):
-        for pdf in batches:
+        for pdf in (batch.iloc[at : at + SLICE_ROWS] for batch in batches for at in range(0, len(batch), SLICE_ROWS)):
             sets = list(shingle_sets(pdf["text"].tolist(), n, table))
             same = [len(s) > 0 and class_of(s) == c for s, c in zip(sets, pdf["class"].tolist())]
             out = pdf[["root", "class", "blocks", "head"]].assign(grams=[s.tobytes() for s in sets])
@@ -223,7 +296,7 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
     whole sequence as its one n-gram; null texts and texts without words are empty and linked with
     nothing. Equal texts are linked; repeated rows come back as often. Rows without an id take part in
     links, but name no component: theirs is the smallest id in it, or null. All texts are read whole.
-    Intermediate tables: prefixes (about 100 - theta % of the n-grams, one row each), candidate pairs,
+    Intermediate tables: prefixes (about 1.5 * (100 - theta) % of the n-grams, one row each), candidate pairs,
     and the sets of those classes alone that are in a cluster. Keys are 64-bit hashes.
     """
     table = byte_table(SEPARATORS)
@@ -234,13 +307,9 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
     text = docs.select("text")
 
     # the order: bucket counts over all documents, a table of fixed size
-    counted = text.mapInPandas(_bucket_counts(n, table), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << ORDER_BITS, np.int64)
-    for row in counted.toLocalIterator():
-        counts[row.bucket] = row.n
-    order = docs.sparkSession.sparkContext.broadcast(counts)
+    order = docs.sparkSession.sparkContext.broadcast(bucket_counts(text, n, table))
 
-    prefixes = checkpoint(_shared(text.mapInArrow(_prefixes(n, theta, table, order, HOT), PREFIXES)))
+    prefixes = checkpoint(_rarest(_shared(text.mapInArrow(_prefixes(n, theta, table, order, HOT), PREFIXES)), theta))
     cool = prefixes.filter(f"tie is null and not hot and df <= {HOT}").select("gram", "class", "n")
     x, y = cool.alias("x"), cool.alias("y")
     pairs = (
@@ -248,10 +317,11 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
         .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
         .agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
     )
-    # hot n-grams are not counted here, so each one in either prefix may be shared
-    beyond = lambda c: F.expr(f"{c} - ({c} - ceil({theta} * {c} / 100D) + 1)")
+    # what two sets share beyond the longer prefixes, and in what these leave out; sets that share a hot n-gram are tied by it
+    beyond = lambda c: F.expr(f"{c} - {_prefix_length(c, theta)} - {_surplus(c, theta)}")
+    left_out = F.greatest(F.expr(_spare("na", theta)), F.expr(_spare("nb", theta)))
     least = F.ceil(F.lit(theta) * (F.col("na") + F.col("nb")) / F.lit(100.0 + theta) - 1e-9)
-    pairs = pairs.filter(F.col("c") >= least - F.greatest(beyond("na"), beyond("nb")))
+    pairs = pairs.filter(F.col("c") >= least - F.greatest(beyond("na"), beyond("nb")) - left_out)
     hot = prefixes.filter(f"tie is null and (hot or df > {HOT})").select("gram", "class", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     star = hot.groupBy("gram", "band").agg(F.min("class").alias("b"))
     stars = hot.join(star, ["gram", "band"]).select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
@@ -270,16 +340,18 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
         first = large.groupBy("root").agg(F.array(*[F.min_by("class", F.xxhash64("class", F.lit(i))) for i in range(HEADS)]).alias("heads"))
         own = own.join(first, "root", "left").withColumn("head", F.coalesce(F.array_contains("heads", F.col("class")), F.lit(False)))
     own = own.select("root", "class", "rid", "blocks", "head")
-    # a map over rows, not a function of the text: that would be evaluated for all texts, below the join
-    texts = sieved(docs.select(rid, "text"), own, "rid")
-    picked = own.join(texts, "rid").select("root", "class", "blocks", "head", "text").mapInPandas(_sets(n, table), "root long, class long, blocks int, head boolean, grams binary")
-    if some_large:
-        picked = checkpoint(picked)
+
+    def sets_of(own):
+        # a map over rows, not a function of the text: that would be evaluated for all texts, below the join
+        texts = sieved(docs.select(rid, "text"), own, "rid")
+        return own.join(texts, "rid").select("root", "class", "blocks", "head", "text").mapInPandas(_sets(n, table), "root long, class long, blocks int, head boolean, grams binary")
+
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("i")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
-    dealt = picked.select("root", block, "class", "grams")
+    dealt = sets_of(own.filter("blocks = 1")).select("root", block, "class", "grams")
     if some_large:
-        dealt = dealt.unionByName(picked.filter("head").select("root", everywhere, "class", "grams"))
+        picked = checkpoint(sets_of(own.filter("blocks > 1")))  # read more than once; the others' sets are not kept
+        dealt = dealt.unionByName(picked.select("root", block, "class", "grams")).unionByName(picked.filter("head").select("root", everywhere, "class", "grams"))
     links = checkpoint(dealt.groupBy("root", "i").applyInPandas(_link_group(theta), "a long, b long"))
     if some_large:
         # what is outside the largest component of its cluster meets every block of it
@@ -305,14 +377,39 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _prefix_length(n: str, theta: int) -> str:
+    return f"({n} - ({theta} * {n} + 99) div 100 + 1)"
+
+
+def _surplus(n: str, theta: int) -> str:
+    return f"least({_prefix_length(n, theta)} div 2, {n} - {_prefix_length(n, theta)})"
+
+
+def _spare(n: str, theta: int) -> str:
+    return _surplus(f"(({theta} * {n} + 99) div 100)", theta)
+
+
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Distinct prefix rows of the n-grams that two classes or more have there, with how many do; and ties."""
-    rows = prefixes.repartition("gram").distinct()
+    """Distinct prefix rows of the n-grams that two classes or more have there, with how many do; and ties. ``first``: others are tied to it."""
+    rows = prefixes.repartition("gram").groupBy("gram", "class", "n", "band", "tie").agg(F.max("hot").alias("first"), F.max("held").alias("held"))
     of = W.partitionBy("gram")
-    counted = rows.withColumn("df", F.count("*").over(of)).withColumn("hot", F.max("hot").over(of))
+    counted = rows.withColumn("df", F.count("*").over(of)).withColumn("hot", F.max("first").over(of))
     return counted.filter("df > 1 or hot or tie is not null")
 
 
+def _rarest(shared: DataFrame, theta: int) -> DataFrame:
+    """Without the ``spare`` most common rows of each class; those held back are hot, and count as such.
+
+    Ties stay, and so do the rows that others are tied to.
+
+    All classes rank an n-gram alike: by whether it is hot, the prefixes it is found in, and itself.
+    """
+    of = W.partitionBy("class", "is_tie")
+    rows = shared.withColumn("is_tie", F.col("tie").isNotNull())
+    rows = rows.withColumn("rank", F.row_number().over(of.orderBy("hot", "df", "gram"))).withColumn("rows", F.count("*").over(of)).withColumn("away", F.max("held").over(of))
+    return rows.filter(F.col("is_tie") | F.col("first") | (F.col("rank") <= F.col("rows") + F.col("away") - F.expr(_spare("n", theta)))).select("gram", "class", "n", "band", "df", "hot", "tie")
+
+
 def report(docs: DataFrame, n: int = 3, theta: int = 90) -> DataFrame:
     return components(docs, n, theta)
 

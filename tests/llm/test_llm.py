@@ -648,6 +648,34 @@ def test_jaccard_chains_across_blocks(spark, monkeypatch):
         assert sorted(r.component_id for r in got if r.doc_id is None) == sorted([want[5], want[100]])
 
 
+def test_jaccard_unlike_documents_are_no_candidates(spark):
+    """An order that tells nothing of n-grams: chance repeats among unlike documents leave no rows, all near copies meet."""
+    import numpy as np
+
+    n, theta, table = 3, 90, jaccard.byte_table(jaccard.SEPARATORS)
+    r = random.Random(11)
+    phrases = [words(12, 300 + i, 5000) for i in range(40)]
+    rows = [" ".join(x for j in range(8) for x in (r.choice(phrases), words(60, 1000 * i + j, 10**7))) for i in range(300)]
+    near = [words(200, 900 + i, 10**7) for i in range(20)]
+    docs = spark.createDataFrame([(x,) for x in rows + near + [x.rsplit(" ", 2)[0] + f" new{i}" for i, x in enumerate(near)]], "text string").repartition(4)
+    blind = spark.sparkContext.broadcast(np.zeros(1 << jaccard.ORDER_BITS, np.uint16))
+    sent = jaccard._shared(docs.mapInArrow(jaccard._prefixes(n, theta, table, blind, jaccard.HOT), jaccard.PREFIXES)).localCheckpoint()
+    kept = jaccard._rarest(sent, theta).localCheckpoint()
+    unlike = {jaccard.class_of(s) for s in jaccard.shingle_sets(rows, n, table)}
+    ids = lambda df: [x["class"] for x in df.select("class").collect()]
+    assert sum(c in unlike for c in ids(sent)) > 1000 and not any(c in unlike for c in ids(kept))
+    assert len(set(ids(kept)) - unlike) == 40
+
+
+def test_jaccard_prefix_bounds(spark):
+    """Lengths in Python and SQL agree; a surplus never falls, and no more is left out than any like set's surplus."""
+    for theta in (80, 90, 100):
+        rows = spark.range(1, 700).selectExpr("id", f"{jaccard._prefix_length('id', theta)} p", f"{jaccard._surplus('id', theta)} e", f"{jaccard._spare('id', theta)} s").collect()
+        assert [tuple(x) for x in rows] == [(i, jaccard.prefix_length(i, theta), jaccard.surplus(i, theta), jaccard.spare(i, theta)) for i in range(1, 700)]
+        e = [x.e for x in rows]
+        assert e == sorted(e) and all(x.s <= x.e and x.p + x.e <= x.id for x in rows)
+
+
 def test_jaccard_keep_one_odd(odd, none):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
