@@ -667,6 +667,28 @@ def test_jaccard_unlike_documents_are_no_candidates(spark):
     assert len(set(ids(kept)) - unlike) == 40
 
 
+def test_jaccard_batches_are_cut(monkeypatch):
+    """Of a large Arrow batch, some rows at a time are Python strings, and prefix rows leave in small batches."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    given, whole = [], jaccard.shingle_sets
+
+    def spied(texts, n, table):
+        given.append(len(texts))
+        return whole(texts, n, table)
+
+    monkeypatch.setattr(jaccard, "shingle_sets", spied)
+    texts = [words(60, i, 10**6) for i in range(9000)]
+    batch, table = pa.RecordBatch.from_pydict({"text": texts}), jaccard.byte_table(jaccard.SEPARATORS)
+    order = types.SimpleNamespace(value=np.zeros(1 << 22, np.uint16))
+    out = list(jaccard._prefixes(5, 80, table, order, jaccard.HOT)([batch]))
+    assert sum(x.num_rows for x in out) > 1 << 17 and max(x.num_rows for x in out) <= 1 << 16
+    assert sum(given) == len(texts) and max(given) <= 1024
+
+
 def test_jaccard_prefix_bounds(spark):
     """Lengths in Python and SQL agree; a surplus never falls, and no more is left out than any like set's surplus."""
     for theta in (80, 90, 100):
