@@ -34,7 +34,9 @@ SEPARATORS = [0x20, *range(0x09, 0x0E)]
 ORDER_BITS = 22
 BLOCK_BITS = 12
 
-#: From so many classes with an n-gram in their prefix on, stars replace pairs; from so many in one batch on, before the shuffle.
+#: Of n-grams in so many prefixes pairs are made; of more, stars: these are one row a prefix row, pairs half as many as the prefixes.
+PAIRED = 8
+#: From so many prefix rows of an n-gram in one batch on, stars are made before the shuffle.
 HOT = 48
 
 #: n-grams of the sets that meet in one block of a cluster; classes of a large cluster that every block meets.
@@ -279,6 +281,19 @@ def link_block(keys: np.ndarray, sets: list[np.ndarray], theta: int, known: np.n
     return [(int(keys[k]), int(keys[root[k]])) for k in np.unique(given).tolist() if root[k] != k]
 
 
+def _link_texts(n: int, theta: int, table):
+    """As ``_link_group``, of texts: these are half as large as their sets when they are dealt."""
+    link = _link_group(theta)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[["class", "text"]]
+        sets = list(shingle_sets(pdf["text"].tolist(), n, table))
+        same = [len(s) > 0 and class_of(s) == c for s, c in zip(sets, pdf["class"].tolist())]
+        return link(pdf[["class"]].assign(grams=sets)[same])
+
+    return run
+
+
 def _link_group(theta: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("class").sort_values("class")
@@ -310,7 +325,7 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(bucket_counts(text, n, table))
 
     prefixes = checkpoint(_rarest(_shared(text.mapInArrow(_prefixes(n, theta, table, order, HOT), PREFIXES)), theta))
-    cool = prefixes.filter(f"tie is null and not hot and df <= {HOT}").select("gram", "class", "n")
+    cool = prefixes.filter(f"tie is null and not hot and df <= {PAIRED}").select("gram", "class", "n")
     x, y = cool.alias("x"), cool.alias("y")
     pairs = (
         x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.n") * 100 >= F.col("y.n") * theta) & (F.col("y.n") * 100 >= F.col("x.n") * theta))
@@ -322,7 +337,7 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
     left_out = F.greatest(F.expr(_spare("na", theta)), F.expr(_spare("nb", theta)))
     least = F.ceil(F.lit(theta) * (F.col("na") + F.col("nb")) / F.lit(100.0 + theta) - 1e-9)
     pairs = pairs.filter(F.col("c") >= least - F.greatest(beyond("na"), beyond("nb")) - left_out)
-    hot = prefixes.filter(f"tie is null and (hot or df > {HOT})").select("gram", "class", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    hot = prefixes.filter(f"tie is null and (hot or df > {PAIRED})").select("gram", "class", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     star = hot.groupBy("gram", "band").agg(F.min("class").alias("b"))
     stars = hot.join(star, ["gram", "band"]).select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
     stars = stars.unionByName(prefixes.filter("tie is not null").select(F.col("class").alias("a"), F.col("tie").alias("b")))
@@ -341,19 +356,17 @@ def components(docs: DataFrame, n: int = 5, theta: int = 80) -> DataFrame:
         own = own.join(first, "root", "left").withColumn("head", F.coalesce(F.array_contains("heads", F.col("class")), F.lit(False)))
     own = own.select("root", "class", "rid", "blocks", "head")
 
-    def sets_of(own):
-        # a map over rows, not a function of the text: that would be evaluated for all texts, below the join
-        texts = sieved(docs.select(rid, "text"), own, "rid")
-        return own.join(texts, "rid").select("root", "class", "blocks", "head", "text").mapInPandas(_sets(n, table), "root long, class long, blocks int, head boolean, grams binary")
+    def texts_of(own):
+        return own.join(sieved(docs.select(rid, "text"), own, "rid"), "rid").select("root", "class", "blocks", "head", "text")
 
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("i")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
-    dealt = sets_of(own.filter("blocks = 1")).select("root", block, "class", "grams")
-    if some_large:
-        picked = checkpoint(sets_of(own.filter("blocks > 1")))  # read more than once; the others' sets are not kept
-        dealt = dealt.unionByName(picked.select("root", block, "class", "grams")).unionByName(picked.filter("head").select("root", everywhere, "class", "grams"))
-    links = checkpoint(dealt.groupBy("root", "i").applyInPandas(_link_group(theta), "a long, b long"))
+    links = checkpoint(texts_of(own.filter("blocks = 1")).select("root", "class", "text").groupBy("root").applyInPandas(_link_texts(n, theta, table), "a long, b long"))
     if some_large:
+        # read more than once; a map over rows, not a function of the text: that would be evaluated for all texts, below the join
+        picked = checkpoint(texts_of(own.filter("blocks > 1")).mapInPandas(_sets(n, table), "root long, class long, blocks int, head boolean, grams binary"))
+        dealt = picked.select("root", block, "class", "grams").unionByName(picked.filter("head").select("root", everywhere, "class", "grams"))
+        links = links.unionByName(checkpoint(dealt.groupBy("root", "i").applyInPandas(_link_group(theta), "a long, b long")))
         # what is outside the largest component of its cluster meets every block of it
         roots = connected_components(links)
         labelled = checkpoint(large.select(F.col("root").alias("cluster"), "class", "n", "blocks").join(roots, F.col("class") == F.col("node"), "left").select("cluster", "class", "n", "blocks", F.coalesce("root", "class").alias("label")))

@@ -667,6 +667,26 @@ def test_jaccard_unlike_documents_are_no_candidates(spark):
     assert len(set(ids(kept)) - unlike) == 40
 
 
+def test_jaccard_many_near_copies_make_few_pairs(spark, monkeypatch):
+    """Candidate ties grow with the rows of n-grams, not with the square of the copies of a document."""
+    made, whole = [], jaccard.connected_components
+
+    def spied(edges, *args):
+        made.append(edges.distinct().count())
+        return whole(edges, *args)
+
+    monkeypatch.setattr(jaccard, "connected_components", spied)
+    rows = []
+    for group in range(3):
+        for copy in range(40):
+            text = words(200, group, 10**6).split(" ")
+            text[copy * 5] = f"edit{copy}"
+            rows.append((group * 40 + copy, " ".join(text)))
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 40 * 40) for i, _ in rows}
+    assert made[0] < 3 * 40 * 39 / 4  # half of all pairs
+
+
 def test_jaccard_batches_are_cut(monkeypatch):
     """Of a large Arrow batch, some rows at a time are Python strings, and prefix rows leave in small batches."""
     import types
