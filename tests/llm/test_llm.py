@@ -837,6 +837,64 @@ def test_passages_of_very_many_documents(spark, monkeypatch):
     assert {r.doc_id for r in out if r.start_word <= 42 and r.end_word >= 98} == set(range(120))
 
 
+def test_passages_in_large_groups_are_those_of_all_pairs(monkeypatch):
+    """What any two windows of a large group have in common lies in a passage of the pairs that are made."""
+    for here, chunk in ((256, 4 << 20), (3, 500)):  # in blocks, too
+        monkeypatch.setattr(passages, "HERE", here)
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+        r = np.random.default_rng(12)
+        fresh = lambda n: r.integers(0, 1 << 60, n).astype(np.uint64)
+        core, sides = fresh(61), [fresh(160) for _ in range(6)]
+        texts = []
+        for i in range(48):
+            text = fresh(160)
+            text[50:111] = core
+            a, b = r.integers(0, 50, 2)
+            text[a:50], text[111 : 160 - b] = sides[i % 6][a:50], sides[i % 5][111 : 160 - b]
+            for at in r.choice(np.append(np.arange(76), np.arange(82, 156)), i % 4, replace=False):
+                text[at : at + 5] = fresh(5)
+            texts.append(text)
+        texts += [np.append(np.resize(sides[0][:2], 2 * n), fresh(9)) for n in (30, 47, 47, 80)]  # two n-grams by turns
+        windows = [np.array([[80], [0], [159]], np.int32)] * 48
+        windows += [np.array([[c, max(0, c - 1), len(x) - 1] for c in range(0, len(x) - 9, 2)], np.int32).T for x in texts[48:]]
+        for some in (range(48), range(48, 52)):
+            own = [windows[i] for i in some]
+            made = passages.Group(list(some), [0] * len(some), [texts[i] for i in some], own, 46, 80).met()
+            found = defaultdict(set)
+
+            def verify(a, b, la, lb, n, found):
+                for a0, a1, b0, b1 in passages.verified(texts[a][la : la + n], texts[b][lb : lb + n], 46, 80, 0):
+                    found[a].add((la + a0, la + a1))
+                    found[b].add((lb + b0, lb + b1))
+
+            pairs = [p for seeds in made for p in zip(*(x.tolist() for x in seeds))]
+            for p in pairs:
+                verify(*p, found)
+            want = defaultdict(set)
+            for i in some:
+                for j in range(i + 1, some.stop):
+                    for c, l, x in windows[i].T.tolist():
+                        for d, m, y in windows[j].T.tolist():
+                            left, right = min(c - l, d - m), min(x - c, y - d)
+                            if left + right >= 45:
+                                verify(i, j, c - left, d - left, left + right + 1, want)
+            assert len(want) == len(some)
+            for i, spans in want.items():
+                for s, e in spans:
+                    assert any(a <= s and e <= b for a, b in found[i]), (i, s, e)
+
+
+def test_passages_longer_than_what_all_share(spark):
+    """Two of very many documents that share a passage share more with each other than with the rest."""
+    common, order = words(100, 300_000, 10**6), random.Random(5).sample(range(120), 120)
+    rows = []
+    for i in range(60):
+        longer = words(40, 301_000 + i, 10**6) + " " + common
+        rows += [(order[2 * i + j], " ".join([words(30, 302_000 + 2 * i + j, 10**6), longer, words(30, 303_000 + 2 * i + j, 10**6)])) for j in range(2)]
+    out = passages.report(spark.createDataFrame(rows, "doc_id long, text string"), hashes=1).collect()
+    assert {r.doc_id for r in out if r.start_word <= 30 and r.end_word >= 170} == set(range(120))
+
+
 def test_passages_against_all_pairs(documents):
     """Every verbatim repeat is covered, and every reported passage is as similar as it must be."""
     rows = {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
