@@ -867,7 +867,7 @@ def test_passages_in_large_groups_are_those_of_all_pairs(monkeypatch):
                     found[a].add((la + a0, la + a1))
                     found[b].add((lb + b0, lb + b1))
 
-            pairs = [p for seeds in made for p in zip(*(x.tolist() for x in seeds))]
+            pairs = [p for _, seeds in made for p in zip(*(x.tolist() for x in seeds))]
             for p in pairs:
                 verify(*p, found)
             want = defaultdict(set)
