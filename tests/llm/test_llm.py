@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -884,6 +885,35 @@ def test_passages_in_large_groups_are_those_of_all_pairs(monkeypatch):
                     assert any(a <= s and e <= b for a, b in found[i]), (i, s, e)
 
 
+def test_passages_seeds_merged_before_they_are_sent(spark):
+    """Seeds are merged where they are made, in parts too, and the regions stay those of all seeds."""
+    r = np.random.default_rng(21)
+    n = 6000
+    la, lb, size = r.integers(0, 400, n), r.integers(0, 400, n), r.integers(46, 120, n)
+    a = r.integers(0, 3, n)
+    k = (1 << r.integers(0, 4, n)) + (1 << 16) * r.integers(0, 2, n) + passages.ALONE * (r.random(n) < 0.02)
+    rows = [k, a, a + 10 + r.integers(0, 2, n), la, la + size - 1, lb, lb + size - 1, la - lb]
+    halves = [passages.merged(*(x[own] for x in rows)) for own in (slice(0, n // 2), slice(n // 2, n))]
+    small = passages.merged(*(np.concatenate(x) for x in zip(*halves)))
+    assert len(small[0]) < n / 3
+
+    def regions(columns):
+        seeds = spark.createDataFrame(list(zip(*(x.tolist() for x in columns))), passages.SEEDS)
+        return sorted(map(tuple, passages._regions(seeds, 2).collect()))
+
+    assert regions(small) == regions(rows) != []
+
+
+def test_passages_pieces_that_overlap_are_sent_once():
+    text = words(300, 198_000, 10**6)
+    piece = lambda a, l, r: {"a": a, "salt": 0, "side": 1, "b": 7, "la": l, "ra": r, "l": l, "r": r, "d": 0}
+    pieces = [piece(1, 0, 90), piece(1, 200, 250), piece(1, 50, 130), piece(2, 60, 70)]
+    pdf = pd.DataFrame({"text": [text], "pieces": [pieces]})
+    out = pd.concat(passages._cut(5, passages.byte_table(passages.SEPARATORS))([pdf]))
+    found = [(r.a, r.b, r.l, len(r.words) // passages.WORD_BYTES, np.frombuffer(r.spots, np.int32).reshape(-1, 5)[:, 2:4].tolist()) for r in out.itertuples()]
+    assert found == [(1, 7, 0, 135, [[0, 90], [50, 130]]), (1, 7, 200, 55, [[200, 250]]), (2, 7, 60, 15, [[60, 70]])]
+
+
 def test_passages_longer_than_what_all_share(spark):
     """Two of very many documents that share a passage share more with each other than with the rest."""
     common, order = words(100, 300_000, 10**6), random.Random(5).sample(range(120), 120)
