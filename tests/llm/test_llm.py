@@ -885,6 +885,36 @@ def test_passages_in_large_groups_are_those_of_all_pairs(monkeypatch):
                     assert any(a <= s and e <= b for a, b in found[i]), (i, s, e)
 
 
+def test_passages_in_runs_of_one_word_meet_the_longest(spark):
+    """Texts of which many repeat one word, each so often that all others are shorter or longer, are not crossed."""
+    r = random.Random(11)
+    table = passages.byte_table(passages.SEPARATORS)
+    texts = []
+    for i in range(60):
+        runs = [[w] * r.randrange(50, 130) for w in r.sample([f"c{j}" for j in range(40)], 4)]
+        runs.insert(r.randrange(5), ["is"] * (60 + 2 * i))
+        texts.append([w for run in runs for w in run])
+    grams = list(passages.grams([" ".join(x) for x in texts], 5, table))
+    centre = next(passages.grams(["is is is is is"], 5, table))[0]
+    own = []
+    for g in grams:
+        w = passages.compact_windows(np.where(g == centre, np.uint64(0), passages.hashed(g, 0) | np.uint64(1)), 46)
+        w = w[g[w[:, 1]] == centre]
+        own.append(np.stack([w[:, 1], w[:, 0], w[:, 2]]).astype(np.int32))
+    windows, covered, made = sum(x.shape[1] for x in own), [set() for _ in texts], 0
+    for _, (a, b, la, lb, n) in passages.Group(list(range(60)), [0] * 60, grams, own, 46, 80).met():
+        made += len(a)
+        for a, b, la, lb, n in zip(a, b, la, lb, n):
+            for a0, a1, b0, b1 in passages.verified(grams[a][la : la + n], grams[b][lb : lb + n], 46, 80, 0):
+                covered[a].update(range(la + a0, la + a1 + 1))
+                covered[b].update(range(lb + b0, lb + b1 + 1))
+    assert made < 4 * windows
+    most = max(x.count("is") for x in texts[:-1]) - 4
+    for g, have in zip(grams, covered):
+        run = np.flatnonzero(g == centre)
+        assert set(run.tolist()) <= have and len(run) <= most + 2
+
+
 def test_passages_seeds_merged_before_they_are_sent(spark):
     """Seeds are merged where they are made, in parts too, and the regions stay those of all seeds."""
     r = np.random.default_rng(21)
