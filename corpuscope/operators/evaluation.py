@@ -110,14 +110,16 @@ def index_percentile(values: Column, q: float) -> Column:
 def bootstrap(deltas: DataFrame, key: str, value: str, rounds: int = 200, seed: int = 7, cluster: str | None = None) -> DataFrame:
     """Mean and 2.5 / 97.5 % bounds of resampled means (by whole clusters if given).
 
-    Draws are hashes of seed, round and draw, so runs agree whatever the partitioning.
+    Draws are hashes of seed, round and draw, so runs agree whatever the partitioning. They are many more than Spark's
+    statistics say of a generated table, so they meet the units by a merge, never by a broadcast.
     """
     unit = cluster or key
     units = deltas.groupBy(unit).agg(F.sum(value).alias("s"), F.count("*").alias("n")).withColumn("i", F.row_number().over(W.orderBy(unit)) - 1)
     total = units.agg(F.count("*").alias("u"))
-    draws = total.select("u", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).filter("u > 0").select("round", "u", F.explode(F.sequence(F.lit(1), F.col("u").cast("int"))).alias("draw"))
-    picked = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "round", "draw"), F.col("u")))
-    means = picked.join(units, "i").groupBy("round").agg((F.sum("s") / F.sum("n")).alias("m"))
+    each = deltas.sparkSession.range(1, rounds + 1).select(F.col("id").cast("int").alias("round")).crossJoin(F.broadcast(total.filter("u > 0")))  # one row
+    draws = each.select("round", "u", F.explode(F.sequence(F.lit(1), F.col("u").cast("int"))).alias("draw"))
+    picked = draws.select("round", F.pmod(F.xxhash64(F.lit(seed), "round", "draw"), F.col("u")).alias("i"))
+    means = picked.hint("merge").join(units, "i").groupBy("round").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), index_percentile(F.collect_list("m"), 0.025).alias("low"), index_percentile(F.collect_list("m"), 0.975).alias("high"))
 
 
@@ -186,7 +188,8 @@ def nested_bootstrap(rows: DataFrame, levels: list[str], value: str, rounds: int
     """Mean and 2.5 / 97.5 % bounds of means resampled level by level: clusters, then their members, then repetitions.
 
     Every level draws as many units as there are, with replacement, and weighs them alike. Draws are hashes of seed,
-    round, place and draw, so runs agree whatever the partitioning. Only evaluation units are expanded, ``rounds`` times.
+    round, place and draw, so runs agree whatever the partitioning. Only evaluation units are expanded, ``rounds`` times;
+    draws meet them by a merge, as in ``bootstrap``.
     """
     numbered = rows.select(*levels, value)
     tree, path = None, []
@@ -198,10 +201,10 @@ def nested_bootstrap(rows: DataFrame, levels: list[str], value: str, rounds: int
             tops = units.agg(F.count("*").alias("__size"))
             tree = rows.sparkSession.range(rounds).select(F.col("id").alias("__round"), F.lit("").alias("__place"), F.lit(1.0).alias("__w")).crossJoin(F.broadcast(tops))
         else:
-            tree = tree.join(units.select(*path, F.col("__n").alias("__size")).distinct(), path)
+            tree = tree.hint("merge").join(units.select(*path, F.col("__n").alias("__size")).distinct(), path)
         draws = tree.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.col("__size").cast("int")))).withColumn("__i", F.pmod(F.xxhash64(F.lit(seed), "__round", "__place", "__draw"), F.col("__size")).cast("int"))
         draws = draws.withColumn("__place", F.concat_ws("/", "__place", F.col("__draw").cast("string"))).withColumn("__w", F.col("__w") / F.col("__size"))
-        tree = draws.drop("__size", "__draw").join(units.drop("__n"), [*path, "__i"]).drop("__i")
+        tree = draws.drop("__size", "__draw").hint("merge").join(units.drop("__n"), [*path, "__i"]).drop("__i")
         path.append(level)
-    means = tree.join(numbered.groupBy(*levels).agg(F.avg(value).alias("__v")), levels).groupBy("__round").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("m"))
+    means = tree.hint("merge").join(numbered.groupBy(*levels).agg(F.avg(value).alias("__v")), levels).groupBy("__round").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), index_percentile(F.collect_list("m"), 0.025).alias("low"), index_percentile(F.collect_list("m"), 0.975).alias("high"))

@@ -436,3 +436,13 @@ def test_diff_ranges_of_all_orders(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()
     want = sorted((o.o_orderkey, f"f{o.o_orderkey}.py", o.o_custkey, o.o_custkey + 2) for o in orders)
     assert sorted(map(tuple, __spark_entry__.queries()["diff_ranges"](spark, sf).collect())) == want
+
+
+
+def test_bootstrap_draws_are_not_broadcast(spark):
+    """They come from a table of few rows, by which Spark takes them for a small side."""
+    cells = spark.range(3000).select(F.col("id").alias("query_id"), (F.col("id") % 7).cast("double").alias("delta"), (F.col("id") % 10).alias("repo"))
+    for out in (evaluation.bootstrap(cells, "query_id", "delta", 20), evaluation.nested_bootstrap(cells, ["repo", "query_id"], "delta", 4)):
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and rows[0].low <= rows[0].mean <= rows[0].high
