@@ -43,7 +43,9 @@ def _weights(stats: DataFrame, query: list[str], epsilon: float) -> DataFrame:
 
 def _scored(hits: DataFrame, key: str, k1: float, b: float) -> DataFrame:
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(key).agg(F.sum(part).alias("score"))
+    # in order of the terms, one row each: equal texts have equal scores to the last bit, and ties fall to the key
+    parts = F.sort_array(F.collect_list(F.struct("term", part.alias("part"))))
+    return hits.groupBy(key).agg(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x["part"]).alias("score"))
 
 
 def term_stats(docs: DataFrame, content: str) -> DataFrame:

@@ -439,6 +439,15 @@ def test_diff_ranges_of_all_orders(spark, sf):
 
 
 
+def test_bm25_scores_of_equal_texts_are_equal(spark):
+    """Whatever the order in which the terms of a document come."""
+    terms = [("a", 0.1), ("b", 0.2), ("c", 0.3)]
+    rows = [(k, t, w, 1, 1, 1.0) for k, order in ((1, terms), (2, terms[::-1]), (3, terms[1:] + terms[:1])) for t, w in order]
+    hits = spark.createDataFrame(rows, "doc_id long, term string, weight double, tf long, dl long, avgdl double").coalesce(1)
+    assert len({r.score for r in lexical._scored(hits, "doc_id", 1.5, 0.75).collect()}) == 1
+
+
+
 def test_bootstrap_draws_are_not_broadcast(spark):
     """They come from a table of few rows, by which Spark takes them for a small side."""
     cells = spark.range(3000).select(F.col("id").alias("query_id"), (F.col("id") % 7).cast("double").alias("delta"), (F.col("id") % 10).alias("repo"))
