@@ -128,7 +128,7 @@ def common_lines(rows: DataFrame, cover: DataFrame, keys: list[str], into: str)
     columns = rows.columns
     own = rows.withColumn("__row", F.monotonically_increasing_id()) if "rank" not in columns else rows
     by = columns + [c for c in own.columns if c not in columns]
-    shared = F.when(F.col("__cs").isNotNull(), F.least("e", "__ce") - F.greatest("s", "__cs") + 1)
+    shared = F.when(F.col("__cs").isNotNull(), F.greatest(F.least("e", "__ce") - F.greatest("s", "__cs") + 1, F.lit(0)))  # a reversed interval has none
     meets = [F.col(f"r.{k}") == F.col(f"c.{k}") for k in keys] + [F.col("s") <= F.col("__ce"), F.col("__cs") <= F.col("e")]
     hit = own.alias("r").join(c.alias("c"), meets, "left")
     out = hit.groupBy(*[F.col(f"r.{x}") for x in by]).agg(F.coalesce(F.sum(shared), F.lit(0)).alias(into))

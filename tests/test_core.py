@@ -439,6 +439,14 @@ def test_diff_ranges_of_all_orders(spark, sf):
 
 
 
+def test_lines_of_a_reversed_region(spark):
+    """A region that ends before it begins has no line, even where both lie in one interval."""
+    rows = spark.createDataFrame([(1, 1, 30, 20), (1, 2, 12, 14), (1, 3, 50, 60)], "q long, rank long, s long, e long")
+    cover = spark.createDataFrame([(1, 10, 40)], "q long, s long, e long")
+    assert {r.rank: r.n for r in intervals.common_lines(rows, cover, ["q"], "n").collect()} == {1: 0, 2: 3, 3: 0}
+
+
+
 def test_bm25_scores_of_equal_texts_are_equal(spark):
     """Whatever the order in which the terms of a document come."""
     terms = [("a", 0.1), ("b", 0.2), ("c", 0.3)]
