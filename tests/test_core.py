@@ -463,3 +463,21 @@ def test_bootstrap_draws_are_not_broadcast(spark):
         rows = out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and rows[0].low <= rows[0].mean <= rows[0].high
+
+
+@pytest.mark.parametrize("pairs", [50, 1 << 25])
+def test_import_edges_of_files_that_share_most_symbols(spark, monkeypatch, pairs):
+    """All pairs of files: they meet by blocks, and no pair is shuffled."""
+    monkeypatch.setattr(facts, "BLOCK_PAIRS", pairs)
+    monkeypatch.setattr(facts, "FEW_PAIRS", 0)
+    rows = [(f, (f * 7 + k * 3) % 11, (f + k) % 12, (f + k) % 2) for f in range(25) for k in range(40)]
+    o = spark.createDataFrame(sorted(set(rows)), "file long, start_line long, symbol long, roles int")
+    spans = spark.createDataFrame([(f, 0, 3) for f in range(25)], "file long, s long, e long")
+    out = facts.import_edges(spans, o, o.filter("roles = 1"))
+    want = {}
+    for f, line, symbol, role in set(rows):
+        for g, _, other, definition in set(rows) if role == 0 and line <= 3 else ():
+            if definition == 1 and other == symbol and g != f:
+                want[f, g] = min(line, want.get((f, g), line))
+    assert sorted((r.source, r.target, r.anchor_line) for r in out.collect()) == sorted((*k, v) for k, v in want.items())
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
