@@ -470,7 +470,7 @@ def test_import_edges_of_files_that_share_most_symbols(spark, monkeypatch, pairs
     """All pairs of files: they meet by blocks, and no pair is shuffled."""
     monkeypatch.setattr(facts, "BLOCK_PAIRS", pairs)
     monkeypatch.setattr(facts, "FEW_PAIRS", 0)
-    rows = [(f, (f * 7 + k * 3) % 11, (f + k) % 12, (f + k) % 2) for f in range(25) for k in range(40)]
+    rows = [(f, (f * 7 + k * 3) % 11, (f + k) % 12, k // 5 % 2) for f in range(25) for k in range(40)]
     o = spark.createDataFrame(sorted(set(rows)), "file long, start_line long, symbol long, roles int")
     spans = spark.createDataFrame([(f, 0, 3) for f in range(25)], "file long, s long, e long")
     out = facts.import_edges(spans, o, o.filter("roles = 1"))
