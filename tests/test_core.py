@@ -481,3 +481,16 @@ def test_import_edges_of_files_that_share_most_symbols(spark, monkeypatch, pairs
                 want[f, g] = min(line, want.get((f, g), line))
     assert sorted((r.source, r.target, r.anchor_line) for r in out.collect()) == sorted((*k, v) for k, v in want.items())
     assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_rows_are_dealt_out_by_the_size_of_the_table(spark, sf, monkeypatch):
+    from corpuscope import session
+    from corpuscope.plans import views
+
+    monkeypatch.setattr(session, "PART_INPUT", 1 << 12)
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey")
+    out = session.distinct(line)
+    assert out.rdd.getNumPartitions() == -(-session.size_of(line) // (1 << 12)) > 4
+    assert out.count() == line.distinct().count()
+    plan = views.edges(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3
