@@ -82,13 +82,13 @@ def manifest_states(entries: DataFrame, current: DataFrame) -> DataFrame:
 
 def stage_edges(known: DataFrame, staged: DataFrame, identity: list[str], order: str = "seq") -> DataFrame:
     """What one flush adds: staged edges that are not known, each identity once, the first staged."""
-    first = staged.groupBy(*identity).agg(F.min_by(F.struct(*[c for c in staged.columns if c not in identity]), order).alias("r"))
-    same = lambda c: F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
-    match = same(identity[0])
-    for c in identity[1:]:
-        match = match & same(c)
-    new = first.alias("n").join(known.select(*identity).alias("k"), match, "left_anti")
-    return new.select(*identity, "r.*")
+    rest = [c for c in staged.columns if c not in identity]
+    at = F.when(~F.col("__known"), F.col(order))
+    first = F.struct(F.min(at).alias(order)) if rest == [order] else F.min_by(F.struct(*rest), at)  # whole numbers are held in a hash table
+    # known and staged rows of an identity meet in one exchange
+    both = staged.withColumn("__known", F.lit(False)).unionByName(known.select(*identity).withColumn("__known", F.lit(True)), allowMissingColumns=True)
+    one = both.groupBy(*identity).agg(first.alias("r"), F.max("__known").alias("__known"))
+    return one.filter(~F.col("__known")).select(*identity, "r.*")
 
 
 def affected_symbols(symbols: DataFrame, hunks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -494,3 +494,11 @@ def test_distinct_rows_are_dealt_out_by_the_size_of_the_table(spark, sf, monkeyp
     assert out.count() == line.distinct().count()
     plan = views.edges(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 3
+
+
+def test_staged_edges_meet_the_known_ones_in_one_exchange(spark):
+    staged = spark.createDataFrame([(1, 2, None, 5), (1, 2, None, 3), (1, 3, 7, 4), (2, 2, None, 9)], "src long, dst long, at long, eid long")
+    known = spark.createDataFrame([(1, 3, 7), (2, 2, 1)], "src long, dst long, at long")
+    out = incremental.stage_edges(known, staged, ["src", "dst", "at"], "eid")
+    assert sorted((r.src, r.dst, r.at is None, r.eid) for r in out.collect()) == [(1, 2, True, 3), (2, 2, True, 9)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
