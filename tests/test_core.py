@@ -502,3 +502,10 @@ def test_staged_edges_meet_the_known_ones_in_one_exchange(spark):
     out = incremental.stage_edges(known, staged, ["src", "dst", "at"], "eid")
     assert sorted((r.src, r.dst, r.at is None, r.eid) for r in out.collect()) == [(1, 2, True, 3), (2, 2, True, 9)]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layers_count_a_node_in_one_pass(spark):
+    e = spark.createDataFrame([(1, 1, 2, "contain"), (2, 2, 3, "import"), (3, 2, 3, "import"), (4, 4, 4, "other")], "eid long, src long, dst long, type string")
+    out = graph.layer_summary(e)
+    assert sorted(map(tuple, out.collect())) == [("all", 4, 4), ("containment", 1, 2), ("dependency", 2, 2), ("import", 2, 2)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
