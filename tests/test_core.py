@@ -509,3 +509,15 @@ def test_layers_count_a_node_in_one_pass(spark):
     out = graph.layer_summary(e)
     assert sorted(map(tuple, out.collect())) == [("all", 4, 4), ("containment", 1, 2), ("dependency", 2, 2), ("import", 2, 2)]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_read_once_for_all_levels(spark):
+    """A path that is sought both ways, and a neighbourhood, make their steps once."""
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "long")
+    rows = spark.createDataFrame([(i, i, i + 1, "reference") for i in range(6)], "eid long, src long, dst long, type string")
+    rows = rows.withColumn("src", count("src"))
+    assert [r.vid for r in graph.trace(rows, 3, 1, 3).orderBy("step").collect()] == [3, 2, 1]
+    assert seen.value <= 6
+    assert {r.vid: r.depth for r in graph.bfs(rows, spark.createDataFrame([(3,)], "vid long"), 2, "both").collect()} == {3: 0, 2: 1, 4: 1, 1: 2, 5: 2}
+    assert seen.value <= 12
