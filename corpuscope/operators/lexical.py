@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscope.functions import paths, text
-from corpuscope.session import checkpoint, spread
+from corpuscope.session import checkpoint, dealt, spread
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
@@ -23,8 +23,8 @@ BUCKETS = 64
 
 
 def postings(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, term, tf, dl): one shuffle; partial counts are made before it."""
-    own = spread(docs.select(key, content)).select(key, text.code_tokens(F.col(content)).alias("tokens"))
+    """(key, term, tf, dl): one shuffle, of the texts by key, in parts by their size; the terms of a part are counted where it is."""
+    own = dealt(docs.select(key, content), key).select(key, text.code_tokens(F.col(content)).alias("tokens"))
     terms = own.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 

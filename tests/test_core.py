@@ -521,3 +521,13 @@ def test_edges_are_read_once_for_all_levels(spark):
     assert seen.value <= 6
     assert {r.vid: r.depth for r in graph.bfs(rows, spark.createDataFrame([(3,)], "vid long"), 2, "both").collect()} == {3: 0, 2: 1, 4: 1, 1: 2, 5: 2}
     assert seen.value <= 12
+
+
+def test_postings_are_counted_where_the_texts_are(spark):
+    """Not one row a token is shuffled; rows that repeat a key count together."""
+    d = spark.createDataFrame([(1, "a b a"), (2, "b"), (1, "a c")], "doc_id long, text string")
+    out = lexical.postings(d, "doc_id", "text")
+    assert sorted((r.doc_id, r.term, r.tf) for r in out.collect()) == [(1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "b", 1)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ") == 1
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.index("Generate explode") < plan.index("Exchange ")
