@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuscope.session import checkpoint
+from corpuscope.session import checkpoint, parts
 
 #: Lines of one bucket: both sides of a range join meet in the buckets that they touch, hashed by file and bucket.
 BUCKET = 64
@@ -23,10 +23,17 @@ def overlap_join(left: DataFrame, right: DataFrame, file: str, ls: str, le: str,
     return a.join(b, [file, "__bucket"]).filter((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) & (F.col("__bucket") == first)).drop("__bucket")
 
 
+def _holding(points: DataFrame, spans: DataFrame, file: str, at: str, start: str, end: str) -> DataFrame:
+    """Points with each span that holds them. Both sides are dealt out in parts whose number grows with the tables."""
+    own, other = points.withColumn("__bucket", F.floor(F.col(at) / BUCKET)), _bucketed(spans, start, end)
+    n = parts(points, spans)
+    own, other = (x.repartition(*([n] if n else []), file, "__bucket") for x in (own, other))
+    return own.join(other, [file, "__bucket"]).filter(F.col(at).between(F.col(start), F.col(end)))
+
+
 def innermost(points: DataFrame, spans: DataFrame, file: str, at: str, start: str, end: str, key: str, tie: str) -> DataFrame:
     """For each point the span that holds it: one that begins exactly there, else the shortest, then by ``tie``; null if none."""
-    own = points.withColumn("__bucket", F.floor(F.col(at) / BUCKET))
-    hits = own.join(_bucketed(spans, start, end), [file, "__bucket"]).filter(F.col(at).between(F.col(start), F.col(end)))
+    hits = _holding(points, spans, file, at, start, end)
     order = F.struct((F.col(start) != F.col(at)).cast("int").alias("a"), (F.col(end) - F.col(start)).alias("b"), F.col(tie).alias("c"))
     best = hits.groupBy(key).agg(F.min_by(F.col(tie), order).alias("scope"))
     return points.join(best, key, "left")
@@ -34,8 +41,7 @@ def innermost(points: DataFrame, spans: DataFrame, file: str, at: str, start: st
 
 def narrowest(points: DataFrame, spans: DataFrame, file: str, at: str, start: str, end: str, key: str, tie: str) -> DataFrame:
     """As ``innermost``, by (length, later start, id)."""
-    own = points.withColumn("__bucket", F.floor(F.col(at) / BUCKET))
-    hits = own.join(_bucketed(spans, start, end), [file, "__bucket"]).filter(F.col(at).between(F.col(start), F.col(end)))
+    hits = _holding(points, spans, file, at, start, end)
     order = F.struct((F.col(end) - F.col(start)).alias("a"), (-F.col(start)).alias("b"), F.col(tie).alias("c"))
     return hits.groupBy(key).agg(F.min_by(F.col(tie), order).alias("entity"))
 

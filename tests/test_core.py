@@ -531,3 +531,14 @@ def test_postings_are_counted_where_the_texts_are(spark):
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ") == 1
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.index("Generate explode") < plan.index("Exchange ")
+
+
+def test_points_meet_spans_in_parts_by_the_size_of_the_tables(spark, sf, monkeypatch):
+    from corpuscope import session
+    from corpuscope.plans import views
+
+    monkeypatch.setattr(session, "PART_INPUT", 1 << 13)
+    p, x = views.points(spark, sf), views.spans(spark, sf)
+    plan = intervals.innermost(p, x, "file", "line", "s", "e", "event_id", "id")._jdf.queryExecution().optimizedPlan().toString()
+    n = session.parts(p, x)
+    assert n > 4 and plan.count(f"__bucket#") and plan.count(f", {n}\n") == 2
